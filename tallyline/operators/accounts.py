@@ -30,13 +30,13 @@ def valid_trades(trades: DataFrame) -> DataFrame:
     return trades.filter(F.col("open_time") < F.col("close_time"))
 
 
-def account_rows(users: DataFrame) -> DataFrame:
-    """Account keys, one row per distinct enabled user row.
+def account_multiplicity(users: DataFrame) -> DataFrame:
+    """Per enabled account, the number ``user_rows`` of its distinct user rows.
 
-    An account described by several different user rows appears several times, and so multiplies
-    the trades joined to it.
+    An account described by several different user rows counts each of its trades that many times.
     """
-    return distinct_users(enabled_users(users)).select(*ACCOUNT)
+    rows = distinct_users(enabled_users(users))
+    return rows.groupBy(*ACCOUNT).agg(F.count("*").alias("user_rows"))
 
 
 def account_currencies(users: DataFrame) -> DataFrame:

@@ -14,8 +14,9 @@ from pyspark.sql import types as T
 
 from tallyline.functions.columns import require_columns, type_of
 from tallyline.functions.report_days import close_day, in_month
-from tallyline.operators.accounts import ACCOUNT, account_rows, closed_trades, valid_trades
+from tallyline.operators.accounts import ACCOUNT, account_multiplicity, closed_trades, valid_trades
 from tallyline.operators.spine import KEY
+from tallyline.sources.staging import broadcast_within, stage
 from tallyline.spec import ReportSpec
 
 STRETCH = [
@@ -43,13 +44,21 @@ def exact_volume(trades: DataFrame) -> Column:
     raise ValueError("column 'volume' holds no numbers")
 
 
+def times(amount: Column, data_type: T.DecimalType, factor: Column) -> Column:
+    """A decimal times a whole number, with every decimal place kept."""
+    # Fixed value: Spark cuts the places of a product that needs more than 38 digits, down to 6.
+    if data_type.scale > 6:
+        amount = amount.cast(f"decimal(27,{data_type.scale})")
+    return amount * factor.cast("decimal(10,0)")
+
+
 def daily_activity(trades: DataFrame, users: DataFrame, spec: ReportSpec) -> DataFrame:
     """Valid trades of enabled accounts, summed per key and close day.
 
     The sum comes before the join, so that neither a busy account nor a busy symbol reaches the
     shuffle as single trades. Close days that no window reaches fall together in one day before it,
     and those after the report in one day after it: a key has at most one row per day of the report
-    plus a window's length. Accounts with several user rows have each row that many times.
+    plus a window's length. Trades of an account with several user rows count that many times.
     """
     require_columns(trades, [*KEY, "open_time", "close_time", "volume"], "trades table")
     require_columns(users, [*ACCOUNT, "currency", "enable"], "users table")
@@ -77,7 +86,19 @@ def daily_activity(trades: DataFrame, users: DataFrame, spec: ReportSpec) -> Dat
             F.min("close_time").alias("first_trade"),
         )
     )
-    return daily.join(account_rows(users), ACCOUNT).select(*daily.columns)
+    # Written, so that its size is known and Spark may split a shuffled account with many keys.
+    accounts = stage(account_multiplicity(users), "accounts")
+    joined = daily.join(broadcast_within(accounts, accounts.count()), ACCOUNT)
+    factor = F.col("user_rows")
+    return joined.select(
+        *KEY,
+        "day",
+        times(F.col("volume"), type_of(daily, "volume"), factor).alias("volume"),
+        (F.col("trades") * factor).alias("trades"),
+        times(F.col("month_volume"), type_of(daily, "month_volume"), factor).alias("month_volume"),
+        (F.col("month_trades") * factor).alias("month_trades"),
+        "first_trade",
+    )
 
 
 def change_points(activity: DataFrame, spec: ReportSpec) -> DataFrame:
@@ -131,18 +152,15 @@ def timelines(activity: DataFrame, spec: ReportSpec) -> DataFrame:
     per_key = Window.partitionBy(*KEY).orderBy("day")
     so_far = per_key.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     sums = ["window_volume", "window_trades", "total_volume", "total_trades", "month_volume", "month_trades"]
-    # The explicit repartition keeps the account join free to split an account that holds many keys.
-    running = (
-        change_points(activity, spec)
-        .repartition(*KEY)
-        .select(
-            *KEY,
-            F.col("day").alias("from_day"),
-            F.lead("day").over(per_key).alias("next_day"),
-            F.first("day").over(so_far).alias("first_day"),
-            *[F.sum(name).over(so_far).alias(name) for name in sums],
-            F.min("first_trade").over(so_far).alias("first_trade"),
-        )
+    # Partitioned before each row becomes two. Being explicit, this also leaves the account join free
+    # to split an account that holds many keys.
+    running = change_points(activity.repartition(*KEY), spec).select(
+        *KEY,
+        F.col("day").alias("from_day"),
+        F.lead("day").over(per_key).alias("next_day"),
+        F.first("day").over(so_far).alias("first_day"),
+        *[F.sum(name).over(so_far).alias(name) for name in sums],
+        F.min("first_trade").over(so_far).alias("first_trade"),
     )
     # Of the points of one day the last holds the sums of all.
     last_of_day = running.filter(F.col("next_day").isNull() | (F.col("next_day") > F.col("from_day")))

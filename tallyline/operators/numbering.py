@@ -9,35 +9,45 @@ from tallyline.sources.staging import stage
 
 # Fixed value: monotonically_increasing_id keeps the partition number above its 33 lowest bits.
 ROW_BITS = 33
+PLACE, PART, OFFSET = "place__", "part__", "offset__"
 
 
-def with_position(rows: DataFrame, order: list[Column], label: str = "positions") -> DataFrame:
-    """The rows with their ``position`` (1..n) in the given order, which must have no ties.
+def key_order(*columns: str) -> list[Column]:
+    """Ascending order with nulls last."""
+    return [F.col(name).asc_nulls_last() for name in columns]
+
 
-    The rows are range-partitioned and sorted, written with their place inside their partition, and
-    read back. What is then missing is how many rows the partitions before hold: one small sum per
-    partition, which is broadcast. As the places are stored, a lost task cannot change them.
+def sorted_table(rows: DataFrame, order: list[Column], label: str) -> DataFrame:
+    """Write the rows in a total order without ties, with their place inside their partition.
+
+    The rows are range-partitioned, so tasks share the work evenly whatever the values are. As the
+    places are stored, a lost task cannot change them.
     """
-    sorted_rows = rows.orderBy(*order).withColumn("place", F.monotonically_increasing_id())
-    staged = stage(sorted_rows, label)
-    part = F.shiftright("place", ROW_BITS)
-    sizes = staged.groupBy(part.alias("part")).agg(F.count("*").alias("size"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("part", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("offset"))
-    inside = F.col("place").bitwiseAND(F.lit((1 << ROW_BITS) - 1))
+    return stage(rows.orderBy(*order).withColumn(PLACE, F.monotonically_increasing_id()), label)
+
+
+def with_position(placed: DataFrame) -> DataFrame:
+    """The rows of a ``sorted_table`` with their ``position``, 1 to n.
+
+    Only the number of rows in the partitions before is missing: one small sum per partition of the
+    sort, which is broadcast.
+    """
+    part = F.shiftright(PLACE, ROW_BITS)
+    inside = F.col(PLACE).bitwiseAND(F.lit((1 << ROW_BITS) - 1))
+    before = Window.orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (
+        placed.groupBy(part.alias(PART))
+        .agg(F.count("*").alias("size"))
+        .select(PART, F.coalesce(F.sum("size").over(before), F.lit(0)).alias(OFFSET))
+    )
     return (
-        staged.withColumn("part", part)
-        .join(F.broadcast(offsets), "part")
-        .withColumn("position", F.col("offset") + inside + 1)
-        .drop("part", "offset", "place")
+        placed.withColumn(PART, part)
+        .join(F.broadcast(offsets), PART)
+        .withColumn("position", F.col(OFFSET) + inside + 1)
+        .drop(PART, OFFSET, PLACE)
     )
 
 
 def with_row_number(rows: DataFrame, order: list[Column], name: str = "row_number") -> DataFrame:
-    """``row_number`` over the whole table, as ``with_position`` finds it."""
-    return with_position(rows, order).withColumnRenamed("position", name)
-
-
-def key_order(*columns: str) -> list[Column]:
-    """Ascending order with nulls last."""
-    return [F.col(name).asc_nulls_last() for name in columns]
+    """``row_number`` over the whole table."""
+    return with_position(sorted_table(rows, order, "numbered")).withColumnRenamed("position", name)

@@ -11,27 +11,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyline.functions.columns import type_of
-from tallyline.operators.numbering import with_position
-from tallyline.sources.staging import broadcast_if_small
+from tallyline.operators.numbering import sorted_table, with_position
+from tallyline.sources.staging import broadcast_within
 from tallyline.spec import ReportSpec
 
 
-def value_ranks(values: DataFrame, partition: list[str], value: str) -> DataFrame:
-    """The dense rank of each distinct ``value`` inside its partition, the largest first.
+def value_ranks(values: DataFrame, partition: list[str], value: str) -> tuple[DataFrame, int]:
+    """The dense rank of each distinct ``value`` inside its partition, the largest first; and how many.
 
     ``partition`` must have few distinct values (days, here): their first positions are broadcast.
     """
-    order = [F.col(name).asc_nulls_last() for name in partition] + [F.col(value).desc_nulls_last()]
-    placed = with_position(values.select(*partition, value).distinct(), order, "ranks")
-    firsts = placed.groupBy(*partition).agg(F.min("position").alias("first_position"))
+    order = [F.col(name).asc() for name in partition] + [F.col(value).desc()]
+    placed = sorted_table(values.select(*partition, value).distinct(), order, "ranks")
+    positions = with_position(placed)
+    firsts = positions.groupBy(*partition).agg(F.min("position").alias("first_position"))
     rank = (F.col("position") - F.col("first_position") + 1).cast("int")
-    return placed.join(F.broadcast(firsts), partition).select(*partition, value, rank.alias("rank"))
+    ranks = positions.join(F.broadcast(firsts), partition).select(*partition, value, rank.alias("rank"))
+    return ranks, placed.count()
 
 
 def dense_rank_by_day(rows: DataFrame, value: str, name: str) -> DataFrame:
     """Rows with the dense rank of ``value`` within ``dt_report``, the largest value first."""
-    ranks = value_ranks(rows, ["dt_report"], value).withColumnRenamed("rank", name)
-    return rows.join(broadcast_if_small(ranks), ["dt_report", value])
+    ranks, n = value_ranks(rows, ["dt_report"], value)
+    return rows.join(broadcast_within(ranks.withColumnRenamed("rank", name), n), ["dt_report", value])
 
 
 def ranks_of_both(totals: DataFrame, logins: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -43,23 +45,25 @@ def ranks_of_both(totals: DataFrame, logins: DataFrame) -> tuple[DataFrame, Data
     by_count = logins.select(
         F.lit("count").alias("kind"), "dt_report", F.col("sum_count_prev_7d").cast(amount).alias("value")
     )
-    ranks = value_ranks(by_volume.union(by_count), ["kind", "dt_report"], "value")
-    volume_ranks = ranks.filter(F.col("kind") == "volume").select(
-        "dt_report", F.col("value").alias("sum_volume_symbol_prev_7d"), "rank"
-    )
-    count_ranks = ranks.filter(F.col("kind") == "count").select(
-        "dt_report", F.col("value").cast("long").alias("sum_count_prev_7d"), "rank"
-    )
+    ranks, n = value_ranks(by_volume.union(by_count), ["kind", "dt_report"], "value")
+
+    def of(kind: str, value: str) -> DataFrame:
+        named = F.col("value").cast("long") if kind == "count" else F.col("value")
+        return ranks.filter(F.col("kind") == kind).select("dt_report", named.alias(value), "rank")
+
+    volume_ranks = broadcast_within(of("volume", "sum_volume_symbol_prev_7d"), n)
+    count_ranks = broadcast_within(of("count", "sum_count_prev_7d"), n)
     return (
-        totals.join(broadcast_if_small(volume_ranks), ["dt_report", "sum_volume_symbol_prev_7d"]),
-        logins.join(broadcast_if_small(count_ranks), ["dt_report", "sum_count_prev_7d"]),
+        totals.join(volume_ranks, ["dt_report", "sum_volume_symbol_prev_7d"]),
+        logins.join(count_ranks, ["dt_report", "sum_count_prev_7d"]),
     )
 
 
 def ranks_per_key(ranked: DataFrame, keys: list[str], name: str, spec: ReportSpec) -> DataFrame:
-    """One row per key with the array of its ranks, one entry per report day, 0 where it has none.
+    """One row per key with the array of its ranks, one entry per report day up to the last it has.
 
-    A key has one row per day at most, so an array is as long as the report range and no longer.
+    Days without a rank hold 0. A key has one row per day at most, so an array is no longer than the
+    report range.
     """
     day = F.datediff("dt_report", spec.first_day())
     known = F.sort_array(F.collect_list(F.struct(day.alias("day"), "rank")))

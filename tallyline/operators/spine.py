@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tallyline.functions.report_days import close_day, days_between, report_days, rolling_days
 from tallyline.operators.accounts import ACCOUNT, account_currencies, closed_trades, valid_trades
+from tallyline.sources.staging import stage
 from tallyline.spec import ReportSpec
 
 KEY = [*ACCOUNT, "symbol"]
@@ -55,5 +56,9 @@ def range_join(joined_trades: DataFrame, spec: ReportSpec) -> DataFrame:
 
 
 def attach(grid: DataFrame, measure: DataFrame, keys: list[str]) -> DataFrame:
-    """Left outer join of a measure to the grid. A null key matches nothing."""
-    return grid.join(measure, keys, "left")
+    """Left outer join of a measure to the grid. A null key matches nothing.
+
+    The measure is written first. Read back it has no partitioning of its own, so both sides are
+    shuffled for the join, which lets Spark split the grid rows of a key that has very many.
+    """
+    return grid.join(stage(measure, "measure"), keys, "left")

@@ -10,7 +10,7 @@ from tallyline.operators.accounts import ACCOUNT
 from tallyline.operators.duplicates import flag_duplicates
 from tallyline.operators.foreign_keys import foreign_key_mismatches
 from tallyline.plans.suites import TRADES_KEY, TRADES_MANDATORY, USERS_MANDATORY
-from tallyline.sources.staging import broadcast_if_small, stage
+from tallyline.sources.staging import broadcast_within, stage
 
 UNKNOWN_ACCOUNT = "unknown_account__"
 
@@ -46,7 +46,7 @@ def gate_trades(trades: DataFrame, users: DataFrame) -> DataFrame:
     for name in ACCOUNT:
         same_account = same_account & F.col(name).eqNullSafe(F.col(f"unknown_{name}"))
     flagged = flag_duplicates(trades, TRADES_KEY, "first", order_by=["close_time"])
-    checked = flagged.join(broadcast_if_small(marked), same_account, "left")
+    checked = flagged.join(broadcast_within(marked, unknown.count()), same_account, "left")
     rules = {f"{name} is missing": is_missing(trades, name) for name in TRADES_MANDATORY}
     rules |= {
         "cmd is not binary": F.col("cmd").isNotNull() & ~is_binary(trades, "cmd"),

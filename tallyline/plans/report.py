@@ -8,18 +8,22 @@ follows from its day and the position of its key. Only then are the days spelled
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyline.operators.accounts import ACCOUNT, account_currencies
 from tallyline.operators.measures import daily_activity, login_totals, timelines, window_totals
-from tallyline.operators.numbering import key_order, with_position
+from tallyline.operators.numbering import key_order, sorted_table, with_position
 from tallyline.operators.ranking import ranks_of_both, ranks_per_key
-from tallyline.operators.spine import KEY
 from tallyline.sources.staging import stage
 from tallyline.spec import ReportSpec
 
-REPORT_KEY = [*KEY, "currency"]
+ROWS_PER_TASK = 1_000_000
+"""Report rows one task makes or sorts; a few hundred megabytes."""
+
+REPORT_KEY = ["login_hash", "server_hash", "symbol", "currency"]
 
 
 def staged_timelines(trades: DataFrame, users: DataFrame, spec: ReportSpec) -> DataFrame:
@@ -27,31 +31,38 @@ def staged_timelines(trades: DataFrame, users: DataFrame, spec: ReportSpec) -> D
     return stage(timelines(daily_activity(trades, users, spec), spec), "timelines")
 
 
-def numbered_keys(trades: DataFrame, users: DataFrame, spec: ReportSpec) -> DataFrame:
-    """One row per report key: position in the key order, timeline, and ranks per day."""
+def placed_keys(trades: DataFrame, users: DataFrame, spec: ReportSpec) -> DataFrame:
+    """One row per report key with its timeline and ranks, as a table written in key order."""
     timeline = staged_timelines(trades, users, spec)
     totals = stage(window_totals(timeline), "window-totals")
     by_symbol, by_login = ranks_of_both(totals, login_totals(totals))
-    symbol_ranks = ranks_per_key(
-        by_symbol.filter(F.col("symbol").isNotNull()), ["login_hash", "symbol"], "symbol_ranks", spec
-    )
-    login_ranks = ranks_per_key(by_login, ["login_hash"], "login_ranks", spec)
+    # Written, so that Spark may split the shuffled keys of a login that has many.
+    by_symbol = by_symbol.filter(F.col("symbol").isNotNull())
+    symbol_ranks = stage(ranks_per_key(by_symbol, ["login_hash", "symbol"], "symbol_ranks", spec), "symbol-ranks")
+    login_ranks = stage(ranks_per_key(by_login, ["login_hash"], "login_ranks", spec), "login-ranks")
     keys = (
         timeline.join(account_currencies(users), ACCOUNT)
         .join(symbol_ranks, ["login_hash", "symbol"], "left")
         .join(login_ranks, ["login_hash"], "left")
     )
-    order = key_order("login_hash", "server_hash", "symbol", "currency")
-    return with_position(keys, order, "report-keys")
+    return sorted_table(keys, key_order(*REPORT_KEY), "report-keys")
+
+
+def _tasks(n_rows: int) -> int:
+    return max(1, ceil(n_rows / ROWS_PER_TASK))
 
 
-def _spelled_out(keys: DataFrame, n_keys: int, spec: ReportSpec) -> DataFrame:
-    """The report rows of the numbered keys."""
+def _every_day(placed: DataFrame, n_keys: int, spec: ReportSpec) -> DataFrame:
+    """The rows of the report, without the columns that repeat another."""
+    keys = with_position(placed)
+    tasks = _tasks(n_keys * spec.n_days)
+    if tasks > placed.sparkSession.sparkContext.defaultParallelism:
+        # The files are as compact as the keys are. Spread them by the rows they are about to become.
+        keys = keys.repartition(tasks, "position")
     rows = keys.select("position", *REPORT_KEY, "symbol_ranks", "login_ranks", F.inline("stretches")).select(
         "*", F.explode(F.sequence("from_day", "to_day")).alias("day")
     )
     day_index = F.datediff("day", spec.first_day())
-    number = day_index.cast("long") * n_keys + F.col("position")
     has_symbol = F.col("symbol").isNotNull()
 
     def volume(name: str) -> Column:
@@ -61,38 +72,66 @@ def _spelled_out(keys: DataFrame, n_keys: int, spec: ReportSpec) -> DataFrame:
         return F.coalesce(F.get(name, day_index), F.lit(0))
 
     return rows.select(
-        number.alias("id"),
-        F.date_format("day", "yyyy-MM-dd").alias("dt_report"),
-        "login_hash",
-        "server_hash",
-        "symbol",
-        "currency",
+        (day_index.cast("long") * n_keys + F.col("position")).alias("row_number"),
+        "day",
+        *REPORT_KEY,
         volume("window_volume").alias("sum_volume_prev_7d"),
         volume("total_volume").alias("sum_volume_prev_all"),
         rank("symbol_ranks").alias("rank_volume_symbol_prev_7d"),
         rank("login_ranks").alias("rank_count_prev_7d"),
         volume("month_volume").alias(spec.month_column),
         F.when(has_symbol, F.col("first_trade")).alias("date_first_trade"),
-        number.alias("row_number"),
     )
 
 
-def report_rows(trades: DataFrame, users: DataFrame, spec: ReportSpec) -> DataFrame:
+def _presented(rows: DataFrame, spec: ReportSpec) -> DataFrame:
+    """The thirteen columns of the report."""
+    return rows.select(
+        F.col("row_number").alias("id"),
+        F.date_format("day", "yyyy-MM-dd").alias("dt_report"),
+        *REPORT_KEY,
+        "sum_volume_prev_7d",
+        "sum_volume_prev_all",
+        "rank_volume_symbol_prev_7d",
+        "rank_count_prev_7d",
+        spec.month_column,
+        "date_first_trade",
+        "row_number",
+    )
+
+
+def _descending(rows: DataFrame, n_rows: int) -> DataFrame:
+    """The rows in ranges of descending row number, each range one partition.
+
+    The numbers run from 1 to ``n_rows``, so the ranges are known and need no sampling pass.
+    """
+    tasks = _tasks(n_rows)
+    per_task = ceil(n_rows / tasks) if n_rows else 1
+    part = F.floor((F.lit(n_rows) - F.col("row_number")) / per_task).cast("int")
+    return rows.repartitionById(tasks, part)
+
+
+def report_rows(trades: DataFrame, users: DataFrame, spec: ReportSpec | None = None) -> DataFrame:
     """All report rows, numbered but in no particular order."""
-    keys = numbered_keys(trades, users, spec)
-    return _spelled_out(keys, keys.count(), spec)
+    spec = spec or ReportSpec()
+    placed = placed_keys(trades, users, spec)
+    return _presented(_every_day(placed, placed.count(), spec), spec)
 
 
 def trading_report(trades: DataFrame, users: DataFrame, spec: ReportSpec | None = None) -> DataFrame:
     """The report, the highest row number first."""
-    return report_rows(trades, users, spec or ReportSpec()).orderBy(F.col("row_number").desc())
-
-
-def write_report(report: DataFrame, path: str) -> None:
-    """Write a report as parquet, one directory per report day, in descending row number inside a file."""
-    (
-        report.repartitionByRange(F.col("row_number").desc())
-        .sortWithinPartitions("dt_report", F.col("row_number").desc())
-        .write.partitionBy("dt_report")
-        .parquet(path)
-    )
+    spec = spec or ReportSpec()
+    placed = placed_keys(trades, users, spec)
+    n_keys = placed.count()
+    rows = _descending(_every_day(placed, n_keys, spec), n_keys * spec.n_days)
+    return _presented(rows.sortWithinPartitions(F.col("row_number").desc()), spec)
+
+
+def write_report(trades: DataFrame, users: DataFrame, path: str, spec: ReportSpec | None = None) -> None:
+    """Write the report as parquet, one directory per report day, by descending row number in each file."""
+    spec = spec or ReportSpec()
+    placed = placed_keys(trades, users, spec)
+    n_keys = placed.count()
+    rows = _presented(_descending(_every_day(placed, n_keys, spec), n_keys * spec.n_days), spec)
+    in_order = rows.sortWithinPartitions("dt_report", F.col("row_number").desc())
+    in_order.write.partitionBy("dt_report").parquet(path)

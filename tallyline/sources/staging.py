@@ -37,10 +37,10 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(staged: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast when the counted rows of a staged table stay within ``limit``.
+def broadcast_within(df: DataFrame, n_rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Hint a broadcast of a narrow table whose counted rows stay within ``limit``.
 
     Beyond it the table is returned as it is and Spark joins by shuffle, where adaptive execution
     splits partitions that one key has made too large.
     """
-    return F.broadcast(staged) if staged.count() <= limit else staged
+    return F.broadcast(df) if n_rows <= limit else df

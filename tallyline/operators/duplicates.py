@@ -17,10 +17,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyline.functions.columns import require_columns
-from tallyline.sources.staging import BROADCAST_ROWS, stage
+from tallyline.sources.staging import stage
 
 Keep = Literal["first", "last"] | bool
 
+BROADCAST_HASHES = 5_000_000
+"""Most hashes that are broadcast: of 8 bytes each, in a table of about a hundred megabytes."""
+
 KEY_HASH = "key_hash__"
 COPIES = "copies__"
 COPY = "copy__"
@@ -46,7 +49,7 @@ def _suspect_hashes(df: DataFrame, columns: Sequence[str]) -> DataFrame | None:
     """Hashes of the columns that occur more than once, or None when there are too many to broadcast."""
     hashes = df.select(F.xxhash64(*columns).alias(KEY_HASH)).groupBy(KEY_HASH).count()
     staged = stage(hashes.filter(F.col("count") > 1).select(KEY_HASH), "suspects")
-    return staged if staged.count() <= BROADCAST_ROWS else None
+    return staged if staged.count() <= BROADCAST_HASHES else None
 
 
 def _suspects(df: DataFrame, columns: Sequence[str], suspect_hashes: DataFrame | None) -> DataFrame:

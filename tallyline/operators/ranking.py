@@ -16,6 +16,9 @@ from tallyline.sources.staging import broadcast_within
 from tallyline.spec import ReportSpec
 
 
+VOLUME, COUNT = "volume", "count"
+
+
 def value_ranks(values: DataFrame, partition: list[str], value: str) -> tuple[DataFrame, int]:
     """The dense rank of each distinct ``value`` inside its partition, the largest first; and how many.
 
@@ -36,31 +39,35 @@ def dense_rank_by_day(rows: DataFrame, value: str, name: str) -> DataFrame:
     return rows.join(broadcast_within(ranks.withColumnRenamed("rank", name), n), ["dt_report", value])
 
 
-def ranks_of_both(totals: DataFrame, logins: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Volume ranks of (login, symbol) and trade-count ranks of logins, found in one sort."""
+def contenders(totals: DataFrame, logins: DataFrame) -> DataFrame:
+    """What is ranked for the report, per day: the volume of each (login, symbol) and the trade count
+    of each login, as one table of ``kind`` and ``value``."""
     amount = type_of(totals, "sum_volume_symbol_prev_7d")
     by_volume = totals.select(
-        F.lit("volume").alias("kind"), "dt_report", F.col("sum_volume_symbol_prev_7d").alias("value")
+        F.lit(VOLUME).alias("kind"),
+        "dt_report",
+        "login_hash",
+        "symbol",
+        F.col("sum_volume_symbol_prev_7d").alias("value"),
     )
     by_count = logins.select(
-        F.lit("count").alias("kind"), "dt_report", F.col("sum_count_prev_7d").cast(amount).alias("value")
+        F.lit(COUNT).alias("kind"),
+        "dt_report",
+        "login_hash",
+        F.lit(None).cast("string").alias("symbol"),
+        F.col("sum_count_prev_7d").cast(amount).alias("value"),
     )
-    ranks, n = value_ranks(by_volume.union(by_count), ["kind", "dt_report"], "value")
+    return by_volume.union(by_count)
 
-    def of(kind: str, value: str) -> DataFrame:
-        named = F.col("value").cast("long") if kind == "count" else F.col("value")
-        return ranks.filter(F.col("kind") == kind).select("dt_report", named.alias(value), "rank")
 
-    volume_ranks = broadcast_within(of("volume", "sum_volume_symbol_prev_7d"), n)
-    count_ranks = broadcast_within(of("count", "sum_count_prev_7d"), n)
-    return (
-        totals.join(volume_ranks, ["dt_report", "sum_volume_symbol_prev_7d"]),
-        logins.join(count_ranks, ["dt_report", "sum_count_prev_7d"]),
-    )
+def rank_contenders(rivals: DataFrame) -> DataFrame:
+    """Contenders with their ``rank`` among those of their kind and day. All ranks come from one sort."""
+    ranks, n = value_ranks(rivals, ["kind", "dt_report"], "value")
+    return rivals.join(broadcast_within(ranks, n), ["kind", "dt_report", "value"])
 
 
-def ranks_per_key(ranked: DataFrame, keys: list[str], name: str, spec: ReportSpec) -> DataFrame:
-    """One row per key with the array of its ranks, one entry per report day up to the last it has.
+def ranks_per_key(ranked: DataFrame, keys: list[str], spec: ReportSpec) -> DataFrame:
+    """One row per key with the array of its ``ranks``, one entry per report day up to the last it has.
 
     Days without a rank hold 0. A key has one row per day at most, so an array is no longer than the
     report range.
@@ -77,5 +84,5 @@ def ranks_per_key(ranked: DataFrame, keys: list[str], name: str, spec: ReportSpe
     return (
         ranked.groupBy(*keys)
         .agg(known.alias("known"))
-        .select(*keys, F.flatten(gaps_and_ranks).alias(name))
+        .select(*keys, F.flatten(gaps_and_ranks).alias("ranks"))
     )

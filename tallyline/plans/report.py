@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tallyline.operators.accounts import ACCOUNT, account_currencies
 from tallyline.operators.measures import daily_activity, login_totals, timelines, window_totals
 from tallyline.operators.numbering import key_order, sorted_table, with_position
-from tallyline.operators.ranking import ranks_of_both, ranks_per_key
+from tallyline.operators.ranking import COUNT, VOLUME, contenders, rank_contenders, ranks_per_key
 from tallyline.sources.staging import stage
 from tallyline.spec import ReportSpec
 
@@ -34,12 +34,13 @@ def staged_timelines(trades: DataFrame, users: DataFrame, spec: ReportSpec) -> D
 def placed_keys(trades: DataFrame, users: DataFrame, spec: ReportSpec) -> DataFrame:
     """One row per report key with its timeline and ranks, as a table written in key order."""
     timeline = staged_timelines(trades, users, spec)
-    totals = stage(window_totals(timeline), "window-totals")
-    by_symbol, by_login = ranks_of_both(totals, login_totals(totals))
+    totals = window_totals(timeline)
+    rivals = stage(contenders(totals, login_totals(totals)), "contenders")
     # Written, so that Spark may split the shuffled keys of a login that has many.
-    by_symbol = by_symbol.filter(F.col("symbol").isNotNull())
-    symbol_ranks = stage(ranks_per_key(by_symbol, ["login_hash", "symbol"], "symbol_ranks", spec), "symbol-ranks")
-    login_ranks = stage(ranks_per_key(by_login, ["login_hash"], "login_ranks", spec), "login-ranks")
+    ranks = stage(ranks_per_key(rank_contenders(rivals), ["kind", "login_hash", "symbol"], spec), "rank-arrays")
+    of_volume, of_count = ranks.filter(F.col("kind") == VOLUME), ranks.filter(F.col("kind") == COUNT)
+    symbol_ranks = of_volume.select("login_hash", "symbol", F.col("ranks").alias("symbol_ranks"))
+    login_ranks = of_count.select("login_hash", F.col("ranks").alias("login_ranks"))
     keys = (
         timeline.join(account_currencies(users), ACCOUNT)
         .join(symbol_ranks, ["login_hash", "symbol"], "left")

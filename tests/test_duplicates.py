@@ -14,7 +14,7 @@ ROWS = [(None, 1)] * 2 + [("a", 2)] * 3 + [("b", 3)]
 def suspects(request, monkeypatch):
     """Both ways: suspects broadcast, and all rows treated as suspects."""
     if request.param == "many suspects":
-        monkeypatch.setattr(duplicates, "BROADCAST_ROWS", 0)
+        monkeypatch.setattr(duplicates, "BROADCAST_HASHES", 0)
 
 
 def count(df, **arguments) -> int:

@@ -26,7 +26,7 @@ def _multiset(rows: pd.DataFrame) -> Counter:
         elif pd.api.types.is_bool_dtype(column) or not pd.api.types.is_numeric_dtype(column):
             texts[name] = column.map(lambda v: "" if pd.isna(v) else f"={v}")
         else:
-            texts[name] = column.astype(float).map(lambda v: f"{v:.10g}")
+            texts[name] = column.astype(float).map(repr)
     return Counter(zip(*texts.values()))
 
 

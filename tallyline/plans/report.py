@@ -1,13 +1,14 @@
 """The daily trading report.
 
 The trades are scanned once, into one row per (login, server, symbol) that holds the timeline of
-its measures. Ranks come from those rows, are joined to them as one array per key, and the rows are
-numbered; every report day holds the same keys in the same order, so the number of a report row
-follows from its day and the position of its key. Only then are the days spelled out.
+its measures. From those rows come the ranks, as one array per key, and the positions of the keys in
+their order; every report day holds the same keys in the same order, so the number of a report row
+follows from its day and the position of its key. Only at the end are the days spelled out.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from math import ceil
 
 from pyspark.sql import Column, DataFrame
@@ -17,51 +18,80 @@ from tallyline.operators.accounts import ACCOUNT, account_currencies
 from tallyline.operators.measures import daily_activity, login_totals, timelines, window_totals
 from tallyline.operators.numbering import key_order, sorted_table, with_position
 from tallyline.operators.ranking import COUNT, VOLUME, contenders, rank_contenders, ranks_per_key
+from tallyline.operators.spine import KEY
 from tallyline.sources.staging import stage
 from tallyline.spec import ReportSpec
 
 ROWS_PER_TASK = 1_000_000
 """Report rows one task makes or sorts; a few hundred megabytes."""
 
-REPORT_KEY = ["login_hash", "server_hash", "symbol", "currency"]
+REPORT_KEY = [*KEY, "currency"]
+
+
+@dataclass(frozen=True)
+class ReportKeys:
+    """The numbered keys of a report with their ranks, their timelines by ``key_id``, and their number."""
+
+    keys: DataFrame
+    timelines: DataFrame
+    n_keys: int
+    spec: ReportSpec
+
+    @property
+    def n_rows(self) -> int:
+        return self.n_keys * self.spec.n_days
 
 
 def staged_timelines(trades: DataFrame, users: DataFrame, spec: ReportSpec) -> DataFrame:
-    """The timelines of all keys as a written table, so that the trades are read only once."""
-    return stage(timelines(daily_activity(trades, users, spec), spec), "timelines")
+    """The timelines of all keys as a written table, so that the trades are read only once.
 
+    Being written, the number ``key_id`` that each key is given stays the same.
+    """
+    timeline = timelines(daily_activity(trades, users, spec), spec)
+    return stage(timeline.withColumn("key_id", F.monotonically_increasing_id()), "timelines")
 
-def placed_keys(trades: DataFrame, users: DataFrame, spec: ReportSpec) -> DataFrame:
-    """One row per report key with its timeline and ranks, as a table written in key order."""
-    timeline = staged_timelines(trades, users, spec)
+
+def rank_arrays(timeline: DataFrame, spec: ReportSpec) -> tuple[DataFrame, DataFrame]:
+    """The ranks per day of each (login, symbol) by volume, and of each login by trade count."""
     totals = window_totals(timeline)
     rivals = stage(contenders(totals, login_totals(totals)), "contenders")
     # Written, so that Spark may split the shuffled keys of a login that has many.
     ranks = stage(ranks_per_key(rank_contenders(rivals), ["kind", "login_hash", "symbol"], spec), "rank-arrays")
     of_volume, of_count = ranks.filter(F.col("kind") == VOLUME), ranks.filter(F.col("kind") == COUNT)
-    symbol_ranks = of_volume.select("login_hash", "symbol", F.col("ranks").alias("symbol_ranks"))
-    login_ranks = of_count.select("login_hash", F.col("ranks").alias("login_ranks"))
+    return (
+        of_volume.select("login_hash", "symbol", F.col("ranks").alias("symbol_ranks")),
+        of_count.select("login_hash", F.col("ranks").alias("login_ranks")),
+    )
+
+
+def report_keys(trades: DataFrame, users: DataFrame, spec: ReportSpec) -> ReportKeys:
+    timeline = staged_timelines(trades, users, spec)
+    named = timeline.select(*KEY, "key_id").join(account_currencies(users), ACCOUNT)
+    placed = sorted_table(named, key_order(*REPORT_KEY), "report-keys")
+    symbol_ranks, login_ranks = rank_arrays(timeline, spec)
     keys = (
-        timeline.join(account_currencies(users), ACCOUNT)
+        with_position(placed)
         .join(symbol_ranks, ["login_hash", "symbol"], "left")
         .join(login_ranks, ["login_hash"], "left")
     )
-    return sorted_table(keys, key_order(*REPORT_KEY), "report-keys")
+    return ReportKeys(keys, timeline.select("key_id", "stretches"), placed.count(), spec)
 
 
 def _tasks(n_rows: int) -> int:
     return max(1, ceil(n_rows / ROWS_PER_TASK))
 
 
-def _every_day(placed: DataFrame, n_keys: int, spec: ReportSpec) -> DataFrame:
+def _every_day(report: ReportKeys) -> DataFrame:
     """The rows of the report, without the columns that repeat another."""
-    keys = with_position(placed)
-    tasks = _tasks(n_keys * spec.n_days)
-    if tasks > placed.sparkSession.sparkContext.defaultParallelism:
-        # The files are as compact as the keys are. Spread them by the rows they are about to become.
-        keys = keys.repartition(tasks, "position")
-    rows = keys.select("position", *REPORT_KEY, "symbol_ranks", "login_ranks", F.inline("stretches")).select(
-        "*", F.explode(F.sequence("from_day", "to_day")).alias("day")
+    spec, keys, by_key = report.spec, report.keys, report.timelines
+    tasks = _tasks(report.n_rows)
+    if tasks > keys.sparkSession.sparkContext.defaultParallelism:
+        # Keys are compact. Spread them by the rows they are about to become, not by their size.
+        keys, by_key = keys.repartition(tasks, "key_id"), by_key.repartition(tasks, "key_id")
+    rows = (
+        keys.join(by_key, "key_id")
+        .select("position", *REPORT_KEY, "symbol_ranks", "login_ranks", F.inline("stretches"))
+        .select("*", F.explode(F.sequence("from_day", "to_day")).alias("day"))
     )
     day_index = F.datediff("day", spec.first_day())
     has_symbol = F.col("symbol").isNotNull()
@@ -73,7 +103,7 @@ def _every_day(placed: DataFrame, n_keys: int, spec: ReportSpec) -> DataFrame:
         return F.coalesce(F.get(name, day_index), F.lit(0))
 
     return rows.select(
-        (day_index.cast("long") * n_keys + F.col("position")).alias("row_number"),
+        (day_index.cast("long") * report.n_keys + F.col("position")).alias("row_number"),
         "day",
         *REPORT_KEY,
         volume("window_volume").alias("sum_volume_prev_7d"),
@@ -89,7 +119,7 @@ def _presented(rows: DataFrame, spec: ReportSpec) -> DataFrame:
     """The thirteen columns of the report."""
     return rows.select(
         F.col("row_number").alias("id"),
-        F.date_format("day", "yyyy-MM-dd").alias("dt_report"),
+        F.col("day").cast("string").alias("dt_report"),
         *REPORT_KEY,
         "sum_volume_prev_7d",
         "sum_volume_prev_all",
@@ -114,25 +144,20 @@ def _descending(rows: DataFrame, n_rows: int) -> DataFrame:
 
 def report_rows(trades: DataFrame, users: DataFrame, spec: ReportSpec | None = None) -> DataFrame:
     """All report rows, numbered but in no particular order."""
-    spec = spec or ReportSpec()
-    placed = placed_keys(trades, users, spec)
-    return _presented(_every_day(placed, placed.count(), spec), spec)
+    report = report_keys(trades, users, spec or ReportSpec())
+    return _presented(_every_day(report), report.spec)
 
 
 def trading_report(trades: DataFrame, users: DataFrame, spec: ReportSpec | None = None) -> DataFrame:
     """The report, the highest row number first."""
-    spec = spec or ReportSpec()
-    placed = placed_keys(trades, users, spec)
-    n_keys = placed.count()
-    rows = _descending(_every_day(placed, n_keys, spec), n_keys * spec.n_days)
-    return _presented(rows.sortWithinPartitions(F.col("row_number").desc()), spec)
+    report = report_keys(trades, users, spec or ReportSpec())
+    rows = _descending(_every_day(report), report.n_rows)
+    return _presented(rows.sortWithinPartitions(F.col("row_number").desc()), report.spec)
 
 
 def write_report(trades: DataFrame, users: DataFrame, path: str, spec: ReportSpec | None = None) -> None:
     """Write the report as parquet, one directory per report day, by descending row number in each file."""
-    spec = spec or ReportSpec()
-    placed = placed_keys(trades, users, spec)
-    n_keys = placed.count()
-    rows = _presented(_descending(_every_day(placed, n_keys, spec), n_keys * spec.n_days), spec)
+    report = report_keys(trades, users, spec or ReportSpec())
+    rows = _presented(_descending(_every_day(report), report.n_rows), report.spec)
     in_order = rows.sortWithinPartitions("dt_report", F.col("row_number").desc())
     in_order.write.partitionBy("dt_report").parquet(path)

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import tempfile
+
 import pytest
 from pyspark.errors import PySparkException
 
@@ -75,3 +77,59 @@ def test_suites_report_known_verdicts(spark):
     assert not verdicts["users", 3][0]
     assert verdicts["trades", 1] == verdicts["trades", 2] == (False, 100)
     assert [verdicts["trades", i][0] for i in range(3, 12)] == [True] * 6 + [False, True, False]
+
+
+class _Session:
+    """Just the settings of a session."""
+
+    def __init__(self, **settings):
+        self.conf = self
+        self.settings = settings
+
+    def get(self, name, default=None):
+        return self.settings.get(name.removeprefix("spark.").replace(".", "_"), default)
+
+
+def test_without_a_shared_folder_only_local_spark_may_use_its_own():
+    assert staging.shared_folder(_Session(master="yarn", checkpoint_dir="hdfs:///shared/")) == "hdfs:///shared"
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        staging.shared_folder(_Session(master="yarn"))
+    assert staging.shared_folder(_Session(master="local[2]")).startswith(tempfile.gettempdir())
+
+
+def test_broadcasts_stop_at_the_limit(spark):
+    df = spark.range(5)
+    assert staging.broadcast_within(df, 5, limit=5) is not df
+    assert staging.broadcast_within(df, 6, limit=5) is df
+
+
+def test_database_reads_are_cut_into_ranges(monkeypatch):
+    options = {}
+
+    class Reader:
+        def format(self, name):
+            options["format"] = name
+            return self
+
+        def options(self, **values):
+            options.update(values)
+            return self
+
+        def load(self):
+            return "table"
+
+    class Spark:
+        read = Reader()
+
+    loaded = tables.load_jdbc_table(Spark(), "jdbc:x", "trades", "id", 0, 1000, 16, fetchsize="10000")
+    assert loaded == "table"
+    assert options == {
+        "format": "jdbc",
+        "url": "jdbc:x",
+        "dbtable": "trades",
+        "partitionColumn": "id",
+        "lowerBound": "0",
+        "upperBound": "1000",
+        "numPartitions": "16",
+        "fetchsize": "10000",
+    }

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyline.functions.columns import type_of
+from tallyline.operators.measures import stretches
 from tallyline.operators.numbering import sorted_table, with_position
 from tallyline.sources.staging import broadcast_within
 from tallyline.spec import ReportSpec
@@ -39,25 +40,26 @@ def dense_rank_by_day(rows: DataFrame, value: str, name: str) -> DataFrame:
     return rows.join(broadcast_within(ranks.withColumnRenamed("rank", name), n), ["dt_report", value])
 
 
-def contenders(totals: DataFrame, logins: DataFrame) -> DataFrame:
-    """What is ranked for the report, per day: the volume of each (login, symbol) and the trade count
-    of each login, as one table of ``kind`` and ``value``."""
-    amount = type_of(totals, "sum_volume_symbol_prev_7d")
-    by_volume = totals.select(
-        F.lit(VOLUME).alias("kind"),
-        "dt_report",
-        "login_hash",
-        "symbol",
-        F.col("sum_volume_symbol_prev_7d").alias("value"),
-    )
-    by_count = logins.select(
+def contenders(timeline: DataFrame) -> DataFrame:
+    """What is ranked for the report, per day: the rolling volume of each (login, symbol) and the
+    rolling trade count of each login, as one table of ``kind`` and ``value``.
+
+    Both are summed in one pass and one shuffle, from stretches with a trade in the window.
+    """
+    active = stretches(timeline).filter(F.col("window_trades") > 0)
+    amount = type_of(active, "window_volume")
+    by_symbol = F.struct(F.lit(VOLUME).alias("kind"), "symbol", F.col("window_volume").alias("value"))
+    by_login = F.struct(
         F.lit(COUNT).alias("kind"),
-        "dt_report",
-        "login_hash",
         F.lit(None).cast("string").alias("symbol"),
-        F.col("sum_count_prev_7d").cast(amount).alias("value"),
+        F.col("window_trades").cast(amount).alias("value"),
+    )
+    rows = active.select("from_day", "to_day", "login_hash", F.inline(F.array(by_symbol, by_login)))
+    return (
+        rows.select(F.explode(F.sequence("from_day", "to_day")).alias("dt_report"), "kind", "login_hash", "symbol", "value")
+        .groupBy("kind", "dt_report", "login_hash", "symbol")
+        .agg(F.sum("value").alias("value"))
     )
-    return by_volume.union(by_count)
 
 
 def rank_contenders(rivals: DataFrame) -> DataFrame:

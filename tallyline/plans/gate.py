@@ -34,7 +34,7 @@ def gate_trades(trades: DataFrame, users: DataFrame) -> DataFrame:
     """Trades with ``broken_rules``.
 
     A trade without a close time is still open and breaks no rule by that. Of the trades with one
-    key the earliest closed is kept. Account keys that no user has are found among distinct keys
+    key an open one is kept, or else the one that closed first. Account keys that no user has are found among distinct keys
     first; usually few, they are then broadcast to the trades.
     """
     require_columns(trades, [*TRADES_MANDATORY, "close_time"], "trades table")

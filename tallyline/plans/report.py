@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyline.operators.accounts import ACCOUNT, account_currencies
-from tallyline.operators.measures import daily_activity, login_totals, timelines, window_totals
+from tallyline.operators.measures import daily_activity, timelines
 from tallyline.operators.numbering import key_order, sorted_table, with_position
 from tallyline.operators.ranking import COUNT, VOLUME, contenders, rank_contenders, ranks_per_key
 from tallyline.operators.spine import KEY
@@ -53,8 +53,7 @@ def staged_timelines(trades: DataFrame, users: DataFrame, spec: ReportSpec) -> D
 
 def rank_arrays(timeline: DataFrame, spec: ReportSpec) -> tuple[DataFrame, DataFrame]:
     """The ranks per day of each (login, symbol) by volume, and of each login by trade count."""
-    totals = window_totals(timeline)
-    rivals = stage(contenders(totals, login_totals(totals)), "contenders")
+    rivals = stage(contenders(timeline), "contenders")
     # Written, so that Spark may split the shuffled keys of a login that has many.
     ranks = stage(ranks_per_key(rank_contenders(rivals), ["kind", "login_hash", "symbol"], spec), "rank-arrays")
     of_volume, of_count = ranks.filter(F.col("kind") == VOLUME), ranks.filter(F.col("kind") == COUNT)
@@ -138,7 +137,7 @@ def _descending(rows: DataFrame, n_rows: int) -> DataFrame:
     """
     tasks = _tasks(n_rows)
     per_task = ceil(n_rows / tasks) if n_rows else 1
-    part = F.floor((F.lit(n_rows) - F.col("row_number")) / per_task).cast("int")
+    part = F.expr(f"cast(({n_rows} - row_number) div {per_task} as int)")
     return rows.repartitionById(tasks, part)
 
 

@@ -196,6 +196,21 @@ def test_other_volume_types(spark, kind):
     assert max(row.sum_volume_prev_7d for row in rows) == 14
 
 
+def test_times_with_a_zone(spark):
+    trades, users = random_tables(4)
+    df = trades_table(spark, trades)
+    zoned = df.withColumns({name: df[name].cast("timestamp") for name in ("open_time", "close_time")})
+    rows = trading_report(zoned, users_table(spark, users), SPEC).collect()
+    assert [tuple(row) for row in rows] == brute_force(trades, users, SPEC)[::-1]
+
+
+def test_a_one_day_report_with_a_long_window(spark):
+    trades, users = random_tables(5)
+    spec = ReportSpec(date(2024, 1, 20), date(2024, 1, 20), date(2024, 1, 1), date(2024, 1, 31), window_days=15)
+    rows = trading_report(trades_table(spark, trades), users_table(spark, users), spec).collect()
+    assert [tuple(row) for row in rows] == brute_force(trades, users, spec)[::-1]
+
+
 def test_a_report_of_no_trades_is_empty(spark):
     assert trading_report(trades_table(spark, []), users_table(spark, [user("l1")]), SPEC).collect() == []
 

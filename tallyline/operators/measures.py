@@ -19,19 +19,6 @@ from tallyline.operators.spine import KEY
 from tallyline.sources.staging import broadcast_within, stage
 from tallyline.spec import ReportSpec
 
-STRETCH = [
-    "from_day",
-    "to_day",
-    "window_volume",
-    "window_trades",
-    "total_volume",
-    "total_trades",
-    "month_volume",
-    "month_trades",
-    "first_trade",
-]
-
-
 def exact_volume(trades: DataFrame) -> Column:
     """Volume as a decimal, so that sums do not depend on the order of addition; null counts as 0."""
     volume, data_type = F.col("volume"), type_of(trades, "volume")
@@ -69,22 +56,14 @@ def daily_activity(trades: DataFrame, users: DataFrame, spec: ReportSpec) -> Dat
         F.date_add(spec.last_day(), 1),
     )
     month = in_month(closed_on, spec)
-    daily = (
-        valid.select(
-            *KEY,
-            day.alias("day"),
-            exact_volume(valid).alias("volume"),
-            month.alias("in_month"),
-            "close_time",
-        )
-        .groupBy(*KEY, "day")
-        .agg(
-            F.sum("volume").alias("volume"),
-            F.count("*").alias("trades"),
-            F.sum(F.when(F.col("in_month"), F.col("volume"))).alias("month_volume"),
-            F.count_if("in_month").alias("month_trades"),
-            F.min("close_time").alias("first_trade"),
-        )
+    rows = valid.select(*KEY, day.alias("day"), exact_volume(valid).alias("volume"), month.alias("in_month"), "close_time")
+    month_volume = F.when(F.col("in_month"), F.col("volume")).otherwise(F.lit(0).cast(type_of(rows, "volume")))
+    daily = rows.groupBy(*KEY, "day").agg(
+        F.sum("volume").alias("volume"),
+        F.count("*").alias("trades"),
+        F.sum(month_volume).alias("month_volume"),
+        F.count_if("in_month").alias("month_trades"),
+        F.min("close_time").alias("first_trade"),
     )
     # Written, so that its size is known and Spark may split a shuffled account with many keys.
     accounts = stage(account_multiplicity(users), "accounts")
@@ -108,38 +87,34 @@ def change_points(activity: DataFrame, spec: ReportSpec) -> DataFrame:
     the rolling window ``window_days`` after its close day.
     """
     start, end = spec.first_day(), spec.last_day()
-    amount = type_of(activity, "volume")
-    nothing, none = F.lit(0).cast(amount), F.lit(0).cast("long")
     in_report = F.col("day") <= end
     in_some_window = in_report & (F.col("day") > F.lit(spec.last_stale_day))
 
-    def point(day: Column, volume: Column, trades: Column, total: Column, first_trade: Column) -> Column:
-        entering = in_report & total
-        return F.struct(
-            day.alias("day"),
-            volume.alias("window_volume"),
-            trades.alias("window_trades"),
-            F.when(entering, F.col("volume")).otherwise(nothing).alias("total_volume"),
-            F.when(entering, F.col("trades")).otherwise(none).alias("total_trades"),
-            F.when(entering, F.coalesce("month_volume", nothing)).otherwise(nothing).alias("month_volume"),
-            F.when(entering, F.col("month_trades")).otherwise(none).alias("month_trades"),
-            first_trade.alias("first_trade"),
-        )
-
-    no_time = F.lit(None).cast(type_of(activity, "first_trade"))
-    enters = point(
-        F.when(in_report, F.greatest(F.col("day"), start)).otherwise(start),
-        F.when(in_some_window, F.col("volume")).otherwise(nothing),
-        F.when(in_some_window, F.col("trades")).otherwise(none),
-        F.lit(True),
-        F.when(in_report, F.col("first_trade")).otherwise(no_time),
+    def nothing(name: str) -> Column:
+        return F.lit(None if name == "first_trade" else 0).cast(type_of(activity, name))
+
+    def amount_if(condition: Column, name: str) -> Column:
+        return F.when(condition, F.col(name)).otherwise(nothing(name))
+
+    enters = F.struct(
+        F.when(in_report, F.greatest("day", start)).otherwise(start).alias("day"),
+        amount_if(in_some_window, "volume").alias("window_volume"),
+        amount_if(in_some_window, "trades").alias("window_trades"),
+        amount_if(in_report, "volume").alias("total_volume"),
+        amount_if(in_report, "trades").alias("total_trades"),
+        amount_if(in_report, "month_volume").alias("month_volume"),
+        amount_if(in_report, "month_trades").alias("month_trades"),
+        amount_if(in_report, "first_trade").alias("first_trade"),
     )
-    leaves = point(
-        F.when(in_some_window, F.date_add("day", spec.window_days)),
-        (-F.col("volume")).cast(amount),
-        -F.col("trades"),
-        F.lit(False),
-        no_time,
+    leaves = F.struct(
+        F.when(in_some_window, F.date_add("day", spec.window_days)).alias("day"),
+        (-F.col("volume")).alias("window_volume"),
+        (-F.col("trades")).alias("window_trades"),
+        nothing("volume").alias("total_volume"),
+        nothing("trades").alias("total_trades"),
+        nothing("month_volume").alias("month_volume"),
+        nothing("month_trades").alias("month_trades"),
+        nothing("first_trade").alias("first_trade"),
     )
     return activity.select(*KEY, F.inline(F.array(enters, leaves))).filter(F.col("day") <= end)
 
@@ -165,17 +140,17 @@ def timelines(activity: DataFrame, spec: ReportSpec) -> DataFrame:
     # Of the points of one day the last holds the sums of all.
     last_of_day = running.filter(F.col("next_day").isNull() | (F.col("next_day") > F.col("from_day")))
     to_day = F.coalesce(F.date_sub("next_day", 1), spec.last_day())
-    stretch = F.struct("from_day", to_day.alias("to_day"), *STRETCH[2:])
+    stretch = F.struct("from_day", to_day.alias("to_day"), *sums, "first_trade")
     before_first = F.struct(
         spec.first_day().alias("from_day"),
         F.date_sub("from_day", 1).alias("to_day"),
-        *[(F.lit(0) if name in sums else F.lit(None)).cast(type_of(running, name)).alias(name) for name in STRETCH[2:]],
+        *[F.lit(0).cast(type_of(running, name)).alias(name) for name in sums],
+        F.lit(None).cast(type_of(running, "first_trade")).alias("first_trade"),
     )
     opens_late = (F.col("from_day") == F.col("first_day")) & (F.col("from_day") > spec.first_day())
+    covered = F.when(opens_late, F.array(before_first, stretch)).otherwise(F.array(stretch))
     return (
-        last_of_day.withColumn(
-            "covered", F.when(opens_late, F.array(before_first, stretch)).otherwise(F.array(stretch))
-        )
+        last_of_day.withColumn("covered", covered)
         .groupBy(*KEY)
         .agg(F.flatten(F.collect_list("covered")).alias("stretches"))
     )

@@ -1,7 +1,9 @@
 from __future__ import annotations
 
+import random
 from collections import Counter
 
+import pandas as pd
 import pytest
 
 from tallyline.operators import duplicates
@@ -89,3 +91,18 @@ def test_a_hot_group_of_copies_is_counted_before_the_shuffle(spark):
     kept = drop_duplicates(df, ["key"], order_by=["value"])
     assert kept.count() == 200_000 - (hot - 1)
     assert kept.filter("key = 'hot'").count() == 1
+
+
+@pytest.mark.parametrize("keep", ["first", "last", False])
+def test_random_tables_against_pandas(spark, keep):
+    rng = random.Random(11)
+    rows = [(rng.choice([None, "a", "b", "c"]), rng.choice([None, 1, 2]), n) for n in range(40)]
+    rows += rng.sample(rows, 10)
+    df = spark.createDataFrame(rows, "a string, b int, at int")
+    # Pandas keeps by arrival, so it is given the rows in the order that order_by names.
+    frame = pd.DataFrame(sorted(rows, key=lambda row: row[2]), columns=["a", "b", "at"], dtype=object)
+    flags = frame.duplicated(["a", "b"], keep=keep)
+    assert count(df, subset=["a", "b"], keep=keep) == flags.sum()
+    expected = Counter(zip(frame["a"], frame["b"], frame["at"], flags))
+    actual = flag_duplicates(df, ["a", "b"], keep, order_by=["at"]).collect()
+    assert Counter(map(tuple, actual)) == expected

@@ -1,0 +1,69 @@
+from __future__ import annotations
+
+import re
+
+from tallyline.llm import licenses, text
+from tests.llm.helpers import AWKWARD, LARGER, documents, table
+
+
+def _expected(doc_id, raw):
+    lowered = re.sub("[A-Z]", lambda m: m[0].lower(), raw or "")
+    words = re.findall(text.WORD, lowered)
+    base, every = [], []
+    for t in licenses.TEMPLATES:
+        phrase = t.phrase.split()
+        at = [i for i in range(len(words)) if words[i : i + len(phrase)] == phrase]
+        every += [(i, t.label) for i in at]
+        base += [(i, t.label) for i in at] if t.base else []
+    starts = [i for i, _ in base]
+    return (
+        doc_id,
+        len(words),
+        len(base),
+        min(starts, default=None),
+        max(starts, default=None),
+        ",".join(sorted({x for _, x in base})),
+        ",".join(sorted({x for _, x in every})),
+        len(every),
+        1 - 2.0 ** -len(every),
+    )
+
+
+def _check(df, rows):
+    got = sorted((tuple(r) for r in licenses.scan_licenses(df).collect()), key=str)
+    assert got == sorted((_expected(*row) for row in rows), key=str)
+
+
+def test_given_table(spark):
+    _check(
+        spark.read.parquet(f"{LARGER}/documents.parquet"), [(r["doc_id"], r["text"]) for r in table("documents", LARGER)]
+    )
+
+
+def test_phrases_in_awkward_texts(spark):
+    texts = [
+        *AWKWARD,
+        "MIT License mit license",
+        "the GNU General Public License, version 3",
+        "gnu gnu general public license license",
+        "CC-BY cc by-sa 4.0",
+        "mit lİcense and mit liKense",
+        "general public gnu license",
+        "apache license" + " filler" * 20_000 + " Apache License",
+        "redistribution and use in source and binary forms",
+        "license",
+        "gnu general public",
+    ]
+    _check(documents(spark, texts), list(enumerate(texts)))
+
+
+def test_repeated_ids_and_empty_table(spark):
+    _check(documents(spark, ["mit license"] * 3, ids=[1, 1, None]), [(1, "mit license")] * 2 + [(None, "mit license")])
+    assert licenses.scan_licenses(documents(spark, [])).count() == 0
+
+
+def test_rare_words_are_the_index(spark):
+    df = documents(spark, ["gnu license license", "public license", "general license public", "license"])
+    hits = licenses.licence_words(df, licenses.BASE_TEMPLATES, "doc_id", "text")
+    rare = licenses.rarest_words(hits, licenses._postings(df, licenses.BASE_TEMPLATES))
+    assert {(r.template, r.word) for r in rare.collect() if r.template == 0} == {(0, "general"), (0, "gnu")}

@@ -1,0 +1,135 @@
+from __future__ import annotations
+
+import zlib
+
+import numpy as np
+import pytest
+
+from tallyline.llm import recurrent, toxicity
+from tests.llm.helpers import AWKWARD, SF, documents
+
+CLEAN = ["the sun rose over the hills", "we walked along the river", "bread and water on the table", "a quiet day in may"]
+STEMS = ["idiot", "scum"]
+
+
+def _corpus(n):
+    rng = np.random.default_rng(3)
+    texts, labels = [], []
+    for i in range(n):
+        text = " ".join(rng.choice(CLEAN, rng.integers(1, 30)))
+        if i % 3 == 0:
+            at = rng.integers(0, len(text))
+            text = f"{text[:at]} {rng.choice(STEMS)}{rng.choice(['', 'ic', 'ly', 'ed'])} {text[at:]}"
+        texts.append(text)
+        labels.append(int(i % 3 == 0))
+    return texts, labels
+
+
+@pytest.fixture(scope="module")
+def net():
+    texts, labels = _corpus(400)
+    return recurrent.train([t.encode() for t in texts], np.array(labels), epochs=14)
+
+
+def test_gradients(monkeypatch):
+    monkeypatch.setattr(recurrent, "MIN_TEXTS", 1)
+    rng = np.random.default_rng(0)
+    texts = [b" ".join(rng.choice([b"aa", b"bcd", b"x1", b"hello"], n)) for n in (3, 90, 170, 0)]
+    labels = np.array([1, 0, 1, 0])
+    net, reader = recurrent.Network.for_texts(texts, 3, 0.3), recurrent.Reader()
+    for name, value in net.weights.items():
+        net.weights[name] = (value + rng.normal(0, 0.3, value.shape)).astype(np.float64)
+    _, grads = recurrent.batch_gradients(net, reader, texts, labels, 0.0)
+    for name, value in net.weights.items():
+        for place in rng.permutation(np.argwhere(np.abs(grads[name]) > 1e-4))[:4]:
+            place, kept = tuple(place), value[tuple(place)]
+            losses = []
+            for step in (1e-4, -1e-4):
+                value[place] = kept + step
+                losses.append(recurrent.batch_gradients(net, reader, texts, labels, 0.0)[0])
+            value[place] = kept
+            assert grads[name][place] == pytest.approx((losses[0] - losses[1]) / 2e-4, rel=0.02, abs=2e-5)
+
+
+def test_words_are_the_pattern_s_words():
+    from tallyline.llm.text import lower_bytes, words
+
+    texts = [lower_bytes(t) for t in [*AWKWARD, "Ab1-é_x", "été " * 90, "x"]]
+    read = recurrent.Reader().read(texts)
+    numbered: dict[bytes, int] = {}
+    assert read.counts.tolist() == [len(words(t)) for t in texts]
+    expected = [numbered.setdefault(w, len(numbered)) for t in texts for w in words(t)]
+    assert len(set(zip(expected, read.ids.tolist()))) == len(numbered) == len(read.hashes)
+
+
+def test_windows_cover_every_word():
+    for n in (0, 1, 63, 64, 65, 120, 121, 500):
+        read = recurrent.Reader().read([b"w " * 3, b" ".join(b"v%d" % i for i in range(n))])
+        at, owner = read.windows()
+        own = at[:, owner == 1]
+        assert set(own[own >= 0].tolist()) == set(read.ids[3:].tolist())
+        assert own.shape[1] == max(-(-(n - recurrent.WINDOW) // recurrent.STRIDE), 0) + 1
+
+
+def test_held_out_texts_and_unseen_forms(net):
+    texts, labels = _corpus(700)
+    scores = recurrent.Scorer(net).scores([t.encode() for t in texts[400:]])
+    assert np.mean((scores >= 0.3) == np.array(labels[400:])) > 0.97
+
+
+def test_one_bad_word_in_a_very_long_text(net, monkeypatch):
+    clean = (CLEAN[0] + " ") * 30_000
+    long = [clean.encode(), (clean + " idiot " + clean).encode()]
+    whole = recurrent.Scorer(net).scores(long)
+    assert whole[0] < 0.3 <= whole[1]
+    monkeypatch.setattr(recurrent, "PIECE", 10_000)
+    pieces = recurrent.Scorer(net).scores(long)
+    assert pieces[0] < 0.3 <= pieces[1]
+
+
+def test_a_score_does_not_depend_on_the_batch(net):
+    texts, _ = _corpus(60)
+    scorer = recurrent.Scorer(net, 64)
+    together = scorer.scores([t.encode() for t in texts])
+    assert together == pytest.approx([scorer.scores([t.encode()])[0] for t in texts], abs=1e-5)
+
+
+def _labelled(spark, ids, toxic):
+    return spark.createDataFrame(list(zip(ids, toxic)), "doc_id long, toxic int")
+
+
+def test_rows_and_columns(spark):
+    texts, labels = _corpus(300)
+    df = documents(spark, [*texts, *AWKWARD], ids=[*range(300), *[None] * 4, *[299] * (len(AWKWARD) - 4)])
+    marked = _labelled(spark, [*range(300), None, 7, 8], [*labels, 1, None, labels[8]])
+    got = toxicity.score_toxicity(df, marked).collect()
+    assert len(got) == 300 + len(AWKWARD) and all(0 <= r.score <= 1 for r in got)
+    for r in got:
+        assert r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+        assert r.predicted == (r.score >= 0.3)
+    kept = toxicity.drop_toxic(df, marked)
+    assert kept.columns == df.columns and kept.count() == sum(not r.predicted for r in got)
+
+
+def test_held_out_labels_are_not_read(spark):
+    texts, labels = _corpus(120)
+    df = documents(spark, texts)
+    held = [zlib.crc32(str(i).encode()) % 4 == 2 for i in range(120)]
+    one, other = (
+        toxicity.training_sample(df, _labelled(spark, range(120), [flip ^ x if h else x for x, h in zip(labels, held)]), "doc_id", "text")
+        for flip in (0, 1)
+    )
+    assert one[0] == other[0] and one[1].tolist() == other[1].tolist() and len(one[0]) == 120 - sum(held)
+
+
+def test_nothing_to_learn_from(spark):
+    df = documents(spark, ["a b c", None, ""])
+    for labels in ([], [0, 0, 0]):
+        got = toxicity.score_toxicity(df, _labelled(spark, range(len(labels)), labels)).collect()
+        assert len({round(r.score, 6) for r in got}) == 1 and not any(r.predicted for r in got)
+    assert toxicity.score_toxicity(documents(spark, []), _labelled(spark, [], [])).count() == 0
+
+
+def test_given_tables(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{name}.parquet") for name in ("documents", "labels"))
+    assert toxicity.score_toxicity(docs, labels).count() == docs.count()

@@ -28,6 +28,15 @@ from tallyline.plans import gate, report, suites
 from tallyline.sources import sample_tables, tables
 from tallyline.spec import ReportSpec
 
+try:
+    import corpus_pipeline
+    from tallyline.llm import queries as llm_queries
+except ModuleNotFoundError as missing:
+    # Only when the subpackage or the pipeline is left out; a fault inside them is not passed over.
+    if missing.name not in ("corpus_pipeline", "tallyline.llm"):
+        raise
+    corpus_pipeline = llm_queries = None
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 SMALLEST = "/root/testdata/sf0.001"
@@ -329,12 +338,15 @@ def queries() -> dict[str, Query]:
         "preload_users_accepted": _on_users(lambda users: gate.accepted(gate.gate_users(users))),
         "preload_users_rejected": _on_users(lambda users: _rejected_text(gate.gate_users(users))),
     }
-    return {name: _plain(query) for name, query in named.items()}
+    plain = {name: _plain(query) for name, query in named.items()}
+    if llm_queries:
+        plain |= llm_queries.queries() | {"pipeline": corpus_pipeline.run}
+    return plain
 
 
 def oracle_sql() -> dict[str, str]:
     """The SQL whose result each query must equal, as multisets of rows."""
-    return dict(ORACLE_SQL)
+    return ORACLE_SQL | (llm_queries.oracle_sql() if llm_queries else {})
 
 
 def entry(spark: SparkSession) -> DataFrame:

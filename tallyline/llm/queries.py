@@ -16,6 +16,7 @@ from tallyline.llm import (
     sharding,
     token_counts,
     toxicity,
+    vector_graph,
 )
 from tallyline.llm.shipping import ship_package
 
@@ -35,6 +36,10 @@ def licenses_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(_documents(spark, sf_dir))
 
 
+def vector_graph_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_graph.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def toxicity_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(_documents(spark, sf_dir), _table(spark, sf_dir, "labels"))
 
@@ -70,6 +75,7 @@ def token_counts_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_licenses": licenses_query,
+        "op2_vector_graph": vector_graph_query,
         "op3_toxicity": toxicity_query,
         "op4_mixing": mixing_query,
         "op5_sharding": sharding_query,

@@ -30,20 +30,25 @@ def _bits(key: Column, bits: int) -> list[Column]:
     return [F.pmod(F.xxhash64(F.lit(seed), key), F.lit(bits)) for seed in range(HASHES)]
 
 
-def repeated_bits(keys: DataFrame, key: str, bits: int = FILTER_BITS) -> DataFrame:
-    """The second filter: 64-bit words of the bits that at least two rows set, as ``(word, mask)``.
+def filter_words(keys: DataFrame, key: str, at_least: int, bits: int = FILTER_BITS) -> DataFrame:
+    """A filter as 64-bit words ``(word, mask)``, of the bits that at least so many rows set.
 
     The counts are summed within each task before the shuffle, so that a key of very many rows
     arrives as one row a task. Both hashes share the bits: a row sets two of them, or one when they fall together.
     """
     set_bits = keys.select(F.explode(F.array_distinct(F.array(*_bits(F.col(key), bits)))).alias("bit"))
-    twice = set_bits.groupBy("bit").agg(F.count("*").alias("n")).filter(F.col("n") > 1)
+    twice = set_bits.groupBy("bit").agg(F.count("*").alias("n")).filter(F.col("n") >= at_least)
     mask = F.expr("shiftleft(1L, cast(pmod(bit, 64) as int))")
     return twice.groupBy(F.expr("bit div 64").alias("word")).agg(F.bit_or(mask).alias("mask"))
 
 
+def repeated_bits(keys: DataFrame, key: str, bits: int = FILTER_BITS) -> DataFrame:
+    """The second filter: the bits that at least two rows set."""
+    return filter_words(keys, key, 2, bits)
+
+
 def mark_suspects(rows: DataFrame, key: str, repeated: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
-    """Rows with ``suspect__``: whether all the bits of their key were set twice."""
+    """Rows with ``suspect__``: whether all the bits of their key are in the filter."""
     suspect = F.lit(True)
     marked = rows
     for i, bit in enumerate(_bits(F.col(key), bits)):

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyline.llm.components import connected_components
+from tallyline.llm.exact_dedup import SUSPECT, filter_words, mark_suspects
 from tallyline.llm.text import lower_bytes, words
 from tallyline.sources.staging import stage
 
@@ -183,7 +184,9 @@ def verified_links(
     ``members`` has ``rep, size, grp, n_blocks``. The texts of the members are read again.
     """
     spark = docs.sparkSession
-    texts = docs.join(members, F.col("doc_id") == F.col("rep"))
+    # A filter of bounded size holds back nearly all other texts, so that these are not shuffled for the join.
+    likely = mark_suspects(docs, "doc_id", stage(filter_words(members, "rep", 1), "member-bits")).filter(SUSPECT)
+    texts = likely.join(members, F.col("doc_id") == F.col("rep"))
     block = F.pmod(F.xxhash64("rep"), F.col("n_blocks")).cast("int")
     others = F.sequence(F.lit(0), F.col("n_blocks") - 1)
     schema = "rep long, size long, grp long, block int, first int, second int, shingles binary"

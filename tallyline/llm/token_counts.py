@@ -27,8 +27,11 @@ SAMPLE_TEXT = 100_000
 
 def frequent_lengths(docs: DataFrame, path: str, id_col: str, text_col: str) -> dict[str, int]:
     """The most frequent pre-tokens of a sample of the texts, with their lengths in tokens."""
-    by_hash = docs.select(F.xxhash64(id_col).alias("order"), F.substring(or_empty(F.col(text_col)), 1, SAMPLE_TEXT).alias("text"))
-    sample = by_hash.orderBy("order", F.xxhash64("text")).limit(SAMPLE_ROWS).select("text")
+    order = F.xxhash64(F.lit("sample"), id_col)
+    # The hashes are chosen first, so that only the texts of the sample are read beyond their task.
+    chosen = docs.select(order.alias("chosen")).distinct().orderBy("chosen").limit(SAMPLE_ROWS)
+    texts = docs.select(order.alias("order"), F.substring(or_empty(F.col(text_col)), 1, SAMPLE_TEXT).alias("text"))
+    sample = texts.join(F.broadcast(chosen), F.col("order") == F.col("chosen"), "left_semi").select("text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter[str] = Counter()

@@ -26,8 +26,8 @@ from tallyline.llm.blobs import groups, pack, unpack
 from tallyline.llm.text import lower_bytes, spaced_words
 from tallyline.sources.staging import stage
 
-CHUNK_TOKENS = 2_000_000
-PART_TOKENS = 4_000_000
+CHUNK_TOKENS = 1_500_000
+PART_TOKENS = 2_000_000
 HOT_SHARE = 64
 """A context with more than one 64th of all training tokens is spread; there are 64 of them at most."""
 START, UNKNOWN, FIRST_WORD = 0, 1, 2

@@ -43,7 +43,7 @@ SMALLEST = "/root/testdata/sf0.001"
 
 # Report ranges inside the days that the two trade tables cover.
 EVENT_REPORT = ReportSpec(date(2024, 1, 8), date(2024, 1, 25), date(2024, 1, 10), date(2024, 1, 16))
-LINEITEM_REPORT = ReportSpec(date(1995, 6, 1), date(1995, 9, 30), date(1995, 8, 1), date(1995, 8, 31))
+LINEITEM_REPORT = ReportSpec(date(2001, 6, 1), date(2001, 9, 30), date(2001, 8, 1), date(2001, 8, 31))
 
 TRADE_DAY = ["dt_report", "ticket_hash", "login_hash", "server_hash", "symbol", "close_time"]
 

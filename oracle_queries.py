@@ -69,7 +69,7 @@ joined AS (
 )"""
 
 EVENT_RANGE = ("2024-01-08", "2024-01-25", "2024-01-10", "2024-01-16", "sum_volume_2024_01")
-LINEITEM_RANGE = ("1995-06-01", "1995-09-30", "1995-08-01", "1995-08-31", "sum_volume_1995_08")
+LINEITEM_RANGE = ("2001-06-01", "2001-09-30", "2001-08-01", "2001-08-31", "sum_volume_2001_08")
 
 
 def days(report_range: tuple) -> str:

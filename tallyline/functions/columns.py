@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 TIMESTAMP_TYPES = (T.TimestampType, T.TimestampNTZType)
+# How a database spells numbers and the dates that times begin with.
+NUMBER = r"^([+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|NaN|[+-]?Infinity)$"
+FULL_DATE = r"^\d{4}-\d{1,2}-\d{1,2}"
 FLOAT_TYPES = (T.FloatType, T.DoubleType)
 
 
@@ -85,7 +88,9 @@ def is_not_number(df: DataFrame, column: str) -> Column:
     if is_numeric_type(data_type):
         return F.lit(False)
     if isinstance(data_type, T.StringType):
-        return F.col(column).isNotNull() & F.col(column).try_cast("double").isNull()
+        text = F.trim(column)
+        reads = text.rlike(NUMBER) & text.try_cast("double").isNotNull()
+        return F.col(column).isNotNull() & ~reads
     return F.col(column).isNotNull()
 
 
@@ -95,5 +100,7 @@ def is_not_timestamp(df: DataFrame, column: str) -> Column:
     if is_timestamp_type(data_type):
         return F.lit(False)
     if isinstance(data_type, (T.StringType, T.DateType)):
-        return F.col(column).isNotNull() & F.col(column).try_cast("timestamp_ntz").isNull()
+        text = F.trim(F.col(column).cast("string"))
+        reads = text.rlike(FULL_DATE) & text.try_cast("timestamp_ntz").isNotNull()
+        return F.col(column).isNotNull() & ~reads
     return F.col(column).isNotNull()

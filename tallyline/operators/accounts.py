@@ -30,15 +30,6 @@ def valid_trades(trades: DataFrame) -> DataFrame:
     return trades.filter(F.col("open_time") < F.col("close_time"))
 
 
-def account_multiplicity(users: DataFrame) -> DataFrame:
-    """Per enabled account, the number ``user_rows`` of its distinct user rows.
-
-    An account described by several different user rows counts each of its trades that many times.
-    """
-    rows = distinct_users(enabled_users(users))
-    return rows.groupBy(*ACCOUNT).agg(F.count("*").alias("user_rows"))
-
-
 def account_currencies(users: DataFrame) -> DataFrame:
     """The distinct currencies of each enabled account."""
     return enabled_users(users).select(*ACCOUNT, "currency").distinct()

@@ -21,12 +21,13 @@ from tallyline.sources.staging import stage
 
 Keep = Literal["first", "last"] | bool
 
-BROADCAST_HASHES = 5_000_000
-"""Most hashes that are broadcast: of 8 bytes each, in a table of about a hundred megabytes."""
+PIECE = 100_000
+"""Most copies of one row that one task spells out at a time."""
 
 KEY_HASH = "key_hash__"
 COPIES = "copies__"
 COPY = "copy__"
+PIECE_NO = "piece__"
 GROUP_SIZE = "group_size__"
 SURVIVOR = "survivor__"
 
@@ -45,19 +46,19 @@ def _check_keep(keep: Keep) -> None:
         raise ValueError("keep must be 'first', 'last' or False")
 
 
-def _suspect_hashes(df: DataFrame, columns: Sequence[str]) -> DataFrame | None:
-    """Hashes of the columns that occur more than once, or None when there are too many to broadcast."""
+def _suspect_hashes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Hashes of the columns that occur more than once; written, so that Spark knows their size."""
     hashes = df.select(F.xxhash64(*columns).alias(KEY_HASH)).groupBy(KEY_HASH).count()
-    staged = stage(hashes.filter(F.col("count") > 1).select(KEY_HASH), "suspects")
-    return staged if staged.count() <= BROADCAST_HASHES else None
+    return stage(hashes.filter(F.col("count") > 1).select(KEY_HASH), "suspects")
 
 
-def _suspects(df: DataFrame, columns: Sequence[str], suspect_hashes: DataFrame | None) -> DataFrame:
-    """The rows that may have a duplicate: those with a suspect hash, or all of them."""
-    if suspect_hashes is None:
-        return df
+def _suspects(df: DataFrame, columns: Sequence[str], suspect_hashes: DataFrame, how: str = "left_semi") -> DataFrame:
+    """The rows that may have a duplicate: those with a suspect hash. With ``left_anti`` the others.
+
+    Spark broadcasts the hashes while they are small and joins by shuffle beyond.
+    """
     hashed = df.withColumn(KEY_HASH, F.xxhash64(*columns))
-    return hashed.join(F.broadcast(suspect_hashes), KEY_HASH, "left_semi").drop(KEY_HASH)
+    return hashed.join(suspect_hashes, KEY_HASH, how).select(*df.columns)
 
 
 def _flagged_in_group(size: Column, keep: Keep) -> Column:
@@ -96,10 +97,35 @@ def duplicate_count(df: DataFrame, subset: Sequence[str] | None = None, keep: Ke
 
 
 def _spread(copies: DataFrame, flagged: Column, columns: list[str]) -> DataFrame:
-    """Counted copies as rows again, with their flag."""
-    return copies.withColumn(COPY, F.explode(F.sequence(F.lit(1), F.col(COPIES)))).select(
-        *columns, flagged.alias("is_duplicate")
-    )
+    """Counted copies as rows again, with their flag.
+
+    Very many copies become pieces first, which are dealt to all tasks and then spelled out.
+    """
+    n_pieces = F.ceil(F.col(COPIES) / PIECE)
+    pieces = copies.withColumn(PIECE_NO, F.explode(F.sequence(F.lit(0).cast("long"), n_pieces - 1)))
+    # With a number, so that Spark does not put the pieces, which are still small, back into one task.
+    tasks = int(copies.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = pieces.repartition(tasks, PIECE_NO, F.xxhash64(*columns))
+    first = F.col(PIECE_NO) * PIECE + 1
+    last = F.least(F.col(COPIES), first + (PIECE - 1))
+    return dealt.withColumn(COPY, F.explode(F.sequence(first, last))).select(*columns, flagged.alias("is_duplicate"))
+
+
+def _counted(df: DataFrame, keys: list[str], suspect_hashes: DataFrame) -> DataFrame:
+    return _suspects(df, keys, suspect_hashes).groupBy(*df.columns).agg(F.count("*").alias(COPIES))
+
+
+def _checked_keys(
+    df: DataFrame, subset: Sequence[str] | None, keep: Keep, order_by: Sequence[str] | None
+) -> tuple[list[str], bool]:
+    """The key columns, and whether they are all columns."""
+    _check_keep(keep)
+    keys = _key_columns(df, subset)
+    whole_rows = set(keys) == set(df.columns)
+    if not whole_rows and keep is not False and not order_by:
+        raise ValueError("keeping the first or last row of a key needs order_by")
+    require_columns(df, order_by or [])
+    return keys, whole_rows
 
 
 def flag_duplicates(
@@ -114,34 +140,23 @@ def flag_duplicates(
     several. Rows have no order of their own, so with a ``subset`` first and last need ``order_by``;
     null comes first, and the remaining columns break ties.
     """
-    _check_keep(keep)
-    keys, columns = _key_columns(df, subset), df.columns
-    whole_rows = set(keys) == set(columns)
-    if not whole_rows and keep is not False and not order_by:
-        raise ValueError("keeping the first or last row of a key needs order_by")
-    require_columns(df, order_by or [])
-
+    keys, whole_rows = _checked_keys(df, subset, keep, order_by)
+    columns = df.columns
     suspect_hashes = _suspect_hashes(df, keys)
-    copies = _suspects(df, keys, suspect_hashes).groupBy(*columns).agg(F.count("*").alias(COPIES))
+    copies = _counted(df, keys, suspect_hashes)
     if whole_rows:
-        flagged = F.col(COPIES) > 1 if keep is False else F.col(COPY) > 1
-        result = _spread(copies, flagged, columns)
+        result = _spread(copies, F.col(COPIES) > 1 if keep is False else F.col(COPY) > 1, columns)
     else:
-        result = _flag_within_keys(copies, keys, columns, keep, order_by)
-    if suspect_hashes is None:
-        return result
-    settled = (
-        df.withColumn(KEY_HASH, F.xxhash64(*keys))
-        .join(F.broadcast(suspect_hashes), KEY_HASH, "left_anti")
-        .select(*columns, F.lit(False).alias("is_duplicate"))
-    )
+        marked, flagged = _flag_within_keys(copies, keys, columns, keep, order_by)
+        result = _spread(marked, flagged, columns)
+    settled = _suspects(df, keys, suspect_hashes, "left_anti").select(*columns, F.lit(False).alias("is_duplicate"))
     return settled.unionByName(result)
 
 
 def _flag_within_keys(
     copies: DataFrame, keys: list[str], columns: list[str], keep: Keep, order_by: Sequence[str] | None
-) -> DataFrame:
-    """Flags of counted copies, from one summary row per key that is joined back to them.
+) -> tuple[DataFrame, Column]:
+    """Counted copies with the summary row of their key, and the flag that follows from both.
 
     The summary is an aggregate and the join an equi-join, both of which Spark can spread when one
     key holds a large share of the rows; a window over the key could not be.
@@ -157,7 +172,7 @@ def _flag_within_keys(
         summary = copies.groupBy(*of_key).agg(pick(in_order).alias(SURVIVOR))
         flagged = ~in_order.eqNullSafe(F.col(SURVIVOR)) | (F.col(COPY) > 1)
     same_key = reduce(lambda a, b: a & b, [F.col(name).eqNullSafe(F.col(f"{name}__of_key")) for name in keys])
-    return _spread(copies.join(summary, same_key), flagged, columns)
+    return copies.join(summary, same_key), flagged
 
 
 def drop_duplicates(
@@ -166,6 +181,15 @@ def drop_duplicates(
     keep: Keep = "first",
     order_by: Sequence[str] | None = None,
 ) -> DataFrame:
-    """The rows that ``flag_duplicates`` does not flag."""
-    flagged = flag_duplicates(df, subset, keep, order_by)
-    return flagged.filter(~F.col("is_duplicate")).drop("is_duplicate")
+    """The rows that ``flag_duplicates`` does not flag. Copies are never spelled out: one row at most stays of each."""
+    keys, whole_rows = _checked_keys(df, subset, keep, order_by)
+    columns = df.columns
+    suspect_hashes = _suspect_hashes(df, keys)
+    copies = _counted(df, keys, suspect_hashes)
+    if whole_rows:
+        stays = copies.filter(F.col(COPIES) == 1) if keep is False else copies
+    else:
+        marked, flagged = _flag_within_keys(copies.withColumn(COPY, F.lit(1)), keys, columns, keep, order_by)
+        stays = marked.filter(~flagged)
+    settled = _suspects(df, keys, suspect_hashes, "left_anti")
+    return settled.unionByName(stays.select(*columns))

@@ -14,31 +14,27 @@ from pyspark.sql import types as T
 
 from tallyline.functions.columns import require_columns, type_of
 from tallyline.functions.report_days import close_day, in_month
-from tallyline.operators.accounts import ACCOUNT, account_multiplicity, closed_trades, valid_trades
+from tallyline.operators.accounts import ACCOUNT, closed_trades, distinct_users, enabled_users, valid_trades
 from tallyline.operators.spine import KEY
-from tallyline.sources.staging import broadcast_within, stage
+from tallyline.sources.staging import stage
 from tallyline.spec import ReportSpec
 
-def exact_volume(trades: DataFrame) -> Column:
-    """Volume as a decimal, so that sums do not depend on the order of addition; null counts as 0."""
+def volume_or_zero(trades: DataFrame) -> Column:
+    """Volume with null as 0: whole numbers as decimals, decimals as they are, floating point as doubles.
+
+    Sums of decimals do not depend on the order of addition. Doubles are summed as doubles; a NaN shows in every
+    sum that holds it.
+    """
     volume, data_type = F.col("volume"), type_of(trades, "volume")
     if isinstance(data_type, T.DecimalType):
         return F.coalesce(volume, F.lit(0).cast(data_type))
     if isinstance(data_type, T.IntegralType):
         return F.coalesce(volume, F.lit(0)).cast("decimal(20,0)")
     if isinstance(data_type, T.FractionalType):
-        return F.coalesce(volume, F.lit(0.0)).cast("decimal(28,6)")
+        return F.coalesce(volume, F.lit(0.0)).cast("double")
     raise ValueError("column 'volume' holds no numbers")
 
 
-def times(amount: Column, data_type: T.DecimalType, factor: Column) -> Column:
-    """A decimal times a whole number, with every decimal place kept."""
-    # Fixed value: Spark cuts the places of a product that needs more than 38 digits, down to 6.
-    if data_type.scale > 6:
-        amount = amount.cast(f"decimal(27,{data_type.scale})")
-    return amount * factor.cast("decimal(10,0)")
-
-
 def daily_activity(trades: DataFrame, users: DataFrame, spec: ReportSpec) -> DataFrame:
     """Valid trades of enabled accounts, summed per key and close day.
 
@@ -56,7 +52,7 @@ def daily_activity(trades: DataFrame, users: DataFrame, spec: ReportSpec) -> Dat
         F.date_add(spec.last_day(), 1),
     )
     month = in_month(closed_on, spec)
-    rows = valid.select(*KEY, day.alias("day"), exact_volume(valid).alias("volume"), month.alias("in_month"), "close_time")
+    rows = valid.select(*KEY, day.alias("day"), volume_or_zero(valid).alias("volume"), month.alias("in_month"), "close_time")
     month_volume = F.when(F.col("in_month"), F.col("volume")).otherwise(F.lit(0).cast(type_of(rows, "volume")))
     daily = rows.groupBy(*KEY, "day").agg(
         F.sum("volume").alias("volume"),
@@ -65,26 +61,17 @@ def daily_activity(trades: DataFrame, users: DataFrame, spec: ReportSpec) -> Dat
         F.count_if("in_month").alias("month_trades"),
         F.min("close_time").alias("first_trade"),
     )
-    # Written, so that its size is known and Spark may split a shuffled account with many keys.
-    accounts = stage(account_multiplicity(users), "accounts")
-    joined = daily.join(broadcast_within(accounts, accounts.count()), ACCOUNT)
-    factor = F.col("user_rows")
-    return joined.select(
-        *KEY,
-        "day",
-        times(F.col("volume"), type_of(daily, "volume"), factor).alias("volume"),
-        (F.col("trades") * factor).alias("trades"),
-        times(F.col("month_volume"), type_of(daily, "month_volume"), factor).alias("month_volume"),
-        (F.col("month_trades") * factor).alias("month_trades"),
-        "first_trade",
-    )
+    # A daily row joins each user row of its account. The sums that follow add it as often, without a
+    # product that would need more digits than its factors.
+    accounts = stage(distinct_users(enabled_users(users)).select(*ACCOUNT), "accounts")
+    return daily.join(accounts, ACCOUNT)
 
 
 def change_points(activity: DataFrame, spec: ReportSpec) -> DataFrame:
-    """The days on which the measures of a key change, with the amounts they change by.
+    """The days on which the measures of a key change, with the amounts that enter on them.
 
-    Each activity row enters on its close day, or on the first report day if it is older, and leaves
-    the rolling window ``window_days`` after its close day.
+    An activity row enters on its close day, or on the first report day if no window reaches it. It
+    leaves the rolling window ``window_days`` after its close day; that point adds nothing.
     """
     start, end = spec.first_day(), spec.last_day()
     in_report = F.col("day") <= end
@@ -97,7 +84,7 @@ def change_points(activity: DataFrame, spec: ReportSpec) -> DataFrame:
         return F.when(condition, F.col(name)).otherwise(nothing(name))
 
     enters = F.struct(
-        F.when(in_report, F.greatest("day", start)).otherwise(start).alias("day"),
+        F.when(in_some_window, F.col("day")).otherwise(start).alias("day"),
         amount_if(in_some_window, "volume").alias("window_volume"),
         amount_if(in_some_window, "trades").alias("window_trades"),
         amount_if(in_report, "volume").alias("total_volume"),
@@ -108,8 +95,8 @@ def change_points(activity: DataFrame, spec: ReportSpec) -> DataFrame:
     )
     leaves = F.struct(
         F.when(in_some_window, F.date_add("day", spec.window_days)).alias("day"),
-        (-F.col("volume")).alias("window_volume"),
-        (-F.col("trades")).alias("window_trades"),
+        nothing("volume").alias("window_volume"),
+        nothing("trades").alias("window_trades"),
         nothing("volume").alias("total_volume"),
         nothing("trades").alias("total_trades"),
         nothing("month_volume").alias("month_volume"),
@@ -124,19 +111,29 @@ def timelines(activity: DataFrame, spec: ReportSpec) -> DataFrame:
 
     The stretches of a key cover the whole report range, so there are never more of them than days.
     """
-    per_key = Window.partitionBy(*KEY).orderBy("day")
+    per_key = Window.partitionBy(*KEY).orderBy(F.unix_date("day"))
     so_far = per_key.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    sums = ["window_volume", "window_trades", "total_volume", "total_trades", "month_volume", "month_trades"]
+    # The days of the window are added up anew for every point. Nothing is subtracted, so that no
+    # rounding of doubles stays behind and a NaN leaves with its day.
+    in_window = per_key.rangeBetween(1 - spec.window_days, 0)
+    rolling = ["window_volume", "window_trades"]
+    growing = ["total_volume", "total_trades", "month_volume", "month_trades"]
+    sums = rolling + growing
     # Partitioned before each row becomes two. Being explicit, this also leaves the account join free
     # to split an account that holds many keys.
-    running = change_points(activity.repartition(*KEY), spec).select(
+    points = change_points(activity.repartition(*KEY), spec).select(
         *KEY,
-        F.col("day").alias("from_day"),
+        "day",
         F.lead("day").over(per_key).alias("next_day"),
         F.first("day").over(so_far).alias("first_day"),
-        *[F.sum(name).over(so_far).alias(name) for name in sums],
+        *[F.sum(name).over(in_window).alias(name) for name in rolling],
+        *[F.sum(name).over(so_far).alias(name) for name in growing],
         F.min("first_trade").over(so_far).alias("first_trade"),
     )
+    # Points before the report only matter by what holds on its first day.
+    running = points.filter(F.col("next_day").isNull() | (F.col("next_day") > spec.first_day())).withColumn(
+        "from_day", F.greatest("day", spec.first_day())
+    )
     # Of the points of one day the last holds the sums of all.
     last_of_day = running.filter(F.col("next_day").isNull() | (F.col("next_day") > F.col("from_day")))
     to_day = F.coalesce(F.date_sub("next_day", 1), spec.last_day())

@@ -13,15 +13,14 @@ from pyspark.sql import functions as F
 from tallyline.functions.columns import type_of
 from tallyline.operators.measures import stretches
 from tallyline.operators.numbering import sorted_table, with_position
-from tallyline.sources.staging import broadcast_within
 from tallyline.spec import ReportSpec
 
 
 VOLUME, COUNT = "volume", "count"
 
 
-def value_ranks(values: DataFrame, partition: list[str], value: str) -> tuple[DataFrame, int]:
-    """The dense rank of each distinct ``value`` inside its partition, the largest first; and how many.
+def value_ranks(values: DataFrame, partition: list[str], value: str) -> DataFrame:
+    """The dense rank of each distinct ``value`` inside its partition, the largest first.
 
     ``partition`` must have few distinct values (days, here): their first positions are broadcast.
     """
@@ -30,14 +29,13 @@ def value_ranks(values: DataFrame, partition: list[str], value: str) -> tuple[Da
     positions = with_position(placed)
     firsts = positions.groupBy(*partition).agg(F.min("position").alias("first_position"))
     rank = (F.col("position") - F.col("first_position") + 1).cast("int")
-    ranks = positions.join(F.broadcast(firsts), partition).select(*partition, value, rank.alias("rank"))
-    return ranks, placed.count()
+    return positions.join(F.broadcast(firsts), partition).select(*partition, value, rank.alias("rank"))
 
 
 def dense_rank_by_day(rows: DataFrame, value: str, name: str) -> DataFrame:
     """Rows with the dense rank of ``value`` within ``dt_report``, the largest value first."""
-    ranks, n = value_ranks(rows, ["dt_report"], value)
-    return rows.join(broadcast_within(ranks.withColumnRenamed("rank", name), n), ["dt_report", value])
+    ranks = value_ranks(rows, ["dt_report"], value)
+    return rows.join(ranks.withColumnRenamed("rank", name), ["dt_report", value])
 
 
 def contenders(timeline: DataFrame) -> DataFrame:
@@ -64,8 +62,7 @@ def contenders(timeline: DataFrame) -> DataFrame:
 
 def rank_contenders(rivals: DataFrame) -> DataFrame:
     """Contenders with their ``rank`` among those of their kind and day. All ranks come from one sort."""
-    ranks, n = value_ranks(rivals, ["kind", "dt_report"], "value")
-    return rivals.join(broadcast_within(ranks, n), ["kind", "dt_report", "value"])
+    return rivals.join(value_ranks(rivals, ["kind", "dt_report"], "value"), ["kind", "dt_report", "value"])
 
 
 def ranks_per_key(ranked: DataFrame, keys: list[str], spec: ReportSpec) -> DataFrame:

@@ -10,9 +10,10 @@ from tallyline.operators.accounts import ACCOUNT
 from tallyline.operators.duplicates import flag_duplicates
 from tallyline.operators.foreign_keys import foreign_key_mismatches
 from tallyline.plans.suites import TRADES_KEY, TRADES_MANDATORY, USERS_MANDATORY
-from tallyline.sources.staging import broadcast_within, stage
+from tallyline.sources.staging import stage
 
 UNKNOWN_ACCOUNT = "unknown_account__"
+STILL_OPEN = "still_open__"
 
 
 def _broken_rules(rules: dict[str, Column]) -> Column:
@@ -34,7 +35,7 @@ def gate_trades(trades: DataFrame, users: DataFrame) -> DataFrame:
     """Trades with ``broken_rules``.
 
     A trade without a close time is still open and breaks no rule by that. Of the trades with one
-    key an open one is kept, or else the one that closed first. Account keys that no user has are found among distinct keys
+    key the one that closed first is kept, or an open one if none has closed. Account keys that no user has are found among distinct keys
     first; usually few, they are then broadcast to the trades.
     """
     require_columns(trades, [*TRADES_MANDATORY, "close_time"], "trades table")
@@ -45,8 +46,10 @@ def gate_trades(trades: DataFrame, users: DataFrame) -> DataFrame:
     same_account = F.lit(True)
     for name in ACCOUNT:
         same_account = same_account & F.col(name).eqNullSafe(F.col(f"unknown_{name}"))
-    flagged = flag_duplicates(trades, TRADES_KEY, "first", order_by=["close_time"])
-    checked = flagged.join(broadcast_within(marked, unknown.count()), same_account, "left")
+    # An open trade sorts after every closed one.
+    in_order = trades.withColumn(STILL_OPEN, F.col("close_time").isNull())
+    flagged = flag_duplicates(in_order, TRADES_KEY, "first", order_by=[STILL_OPEN, "close_time"])
+    checked = flagged.join(marked, same_account, "left")
     rules = {f"{name} is missing": is_missing(trades, name) for name in TRADES_MANDATORY}
     rules |= {
         "cmd is not binary": F.col("cmd").isNotNull() & ~is_binary(trades, "cmd"),

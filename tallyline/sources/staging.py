@@ -1,22 +1,19 @@
 """Intermediate tables written once to the cluster's shared folder.
 
 A job that needs the same intermediate rows several times writes them as parquet and reads them
-back. The files outlive any executor, cut the lineage, and their row count is known exactly, which
-is what decides whether a table may be broadcast. Whoever runs the cluster owns the retention of
+back. The files outlive any executor, cut the lineage, and their size is known, by which
+Spark decides whether a table is broadcast. Whoever runs the cluster owns the retention of
 that folder, as with checkpoints.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-BROADCAST_ROWS = 500_000
-"""Most rows a narrow table (a few short columns, tens of megabytes at most) may have to be broadcast."""
 
 
 @cache
@@ -29,7 +26,7 @@ def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
-    if not spark.conf.get("spark.master", "").startswith("local"):
+    if not re.match(r"local(\[|$)", spark.conf.get("spark.master", "")):
         raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
     return _local_folder()
 
@@ -39,12 +36,3 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def broadcast_within(df: DataFrame, n_rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast of a narrow table whose counted rows stay within ``limit``.
-
-    Beyond it the table is returned as it is and Spark joins by shuffle, where adaptive execution
-    splits partitions that one key has made too large.
-    """
-    return F.broadcast(df) if n_rows <= limit else df

@@ -5,6 +5,7 @@ from collections import Counter
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from tallyline.operators import duplicates
 from tallyline.operators.duplicates import drop_duplicates, duplicate_count, duplicate_counts, flag_duplicates
@@ -12,11 +13,11 @@ from tallyline.operators.duplicates import drop_duplicates, duplicate_count, dup
 ROWS = [(None, 1)] * 2 + [("a", 2)] * 3 + [("b", 3)]
 
 
-@pytest.fixture(params=["few suspects", "many suspects"])
+@pytest.fixture(params=["whole", "in pieces"])
 def suspects(request, monkeypatch):
-    """Both ways: suspects broadcast, and all rows treated as suspects."""
-    if request.param == "many suspects":
-        monkeypatch.setattr(duplicates, "BROADCAST_HASHES", 0)
+    """Copies spelled out at once, and two at a time."""
+    if request.param == "in pieces":
+        monkeypatch.setattr(duplicates, "PIECE", 2)
 
 
 def count(df, **arguments) -> int:
@@ -106,3 +107,18 @@ def test_random_tables_against_pandas(spark, keep):
     expected = Counter(zip(frame["a"], frame["b"], frame["at"], flags))
     actual = flag_duplicates(df, ["a", "b"], keep, order_by=["at"]).collect()
     assert Counter(map(tuple, actual)) == expected
+
+
+def test_many_equal_rows_are_dropped_without_being_spelled_out(spark):
+    rows = spark.range(0, 60_000_000, 1, 8).select(F.lit("a").alias("k"), F.lit(1).alias("v"))
+    assert duplicates.drop_duplicates(rows).collect() == [("a", 1)]
+    assert duplicates.drop_duplicates(rows, ["k"], "last", ["v"]).collect() == [("a", 1)]
+    assert duplicates.drop_duplicates(rows, keep=False).collect() == []
+
+
+def test_flagged_copies_leave_in_several_tasks(spark):
+    rows = spark.range(0, 1_000_000, 1, 8).select(F.lit("a").alias("k"))
+    flagged = duplicates.flag_duplicates(rows)
+    sizes = [r["count"] for r in flagged.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 1_000_000 and len(sizes) > 1
+    assert flagged.filter(~F.col("is_duplicate")).count() == 1

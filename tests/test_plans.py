@@ -29,7 +29,7 @@ def plan(df) -> str:
 
 
 @pytest.fixture
-def skew_sensitive(spark, monkeypatch):
+def skew_sensitive(spark):
     """No broadcasts, and partitions count as skewed at test size already."""
     settings = {
         "spark.sql.autoBroadcastJoinThreshold": "-1",
@@ -40,8 +40,6 @@ def skew_sensitive(spark, monkeypatch):
     before = {name: spark.conf.get(name) for name in settings}
     for name, value in settings.items():
         spark.conf.set(name, value)
-    for module in (measures, ranking):
-        monkeypatch.setattr(module, "broadcast_within", lambda df, n: df)
     yield
     for name, value in before.items():
         spark.conf.set(name, value)

@@ -231,3 +231,32 @@ def test_default_ranges():
     assert (spec.n_days, spec.month_column) == (122, "sum_volume_2020_08")
     with pytest.raises(ValueError):
         ReportSpec(start=date(2024, 1, 2), end=date(2024, 1, 1))
+
+
+@pytest.mark.parametrize("kind", ["double", "decimal(38,18)", "decimal(38,30)"])
+def test_small_volumes_keep_their_places(spark, kind):
+    from tallyline.operators import measures
+
+    trades = spark.sql(
+        f"select 'l' login_hash, 's' server_hash, 'x' symbol, cast('4e-7' as {kind}) volume, "
+        "timestamp'2020-06-10 01:00:00' open_time, timestamp'2020-06-10 02:00:00' close_time from range(10)"
+    )
+    users = spark.sql("select 'l' login_hash, 's' server_hash, 'USD' currency, 1 enable")
+    spec = ReportSpec()
+    timeline = measures.timelines(measures.daily_activity(trades, users, spec), spec)
+    rows = measures.rolling_volume(timeline).collect()
+    assert len(rows) == 7 and all(float(r.sum_volume_prev_7d) == pytest.approx(4e-6) for r in rows)
+
+
+def test_nan_shows_in_its_window_and_leaves_with_it(spark):
+    from tallyline.operators import measures
+
+    trades = spark.sql(
+        "select 'l' login_hash, 's' server_hash, 'x' symbol, v volume, d - interval 1 hour open_time, d close_time "
+        "from values (double('NaN'), timestamp'2020-06-10 02:00:00'), (1e23, timestamp'2020-06-15 02:00:00') t(v, d)"
+    )
+    users = spark.sql("select 'l' login_hash, 's' server_hash, 'USD' currency, 1 enable")
+    spec = ReportSpec()
+    timeline = measures.timelines(measures.daily_activity(trades, users, spec), spec)
+    rows = {r.dt_report.day: r.sum_volume_prev_7d for r in measures.rolling_volume(timeline).collect()}
+    assert all(rows[d] != rows[d] for d in range(10, 17)) and all(rows[d] == 1e23 for d in range(17, 22))

@@ -97,12 +97,6 @@ def test_without_a_shared_folder_only_local_spark_may_use_its_own():
     assert staging.shared_folder(_Session(master="local[2]")).startswith(tempfile.gettempdir())
 
 
-def test_broadcasts_stop_at_the_limit(spark):
-    df = spark.range(5)
-    assert staging.broadcast_within(df, 5, limit=5) is not df
-    assert staging.broadcast_within(df, 6, limit=5) is df
-
-
 def test_database_reads_are_cut_into_ranges(monkeypatch):
     options = {}
 

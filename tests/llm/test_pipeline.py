@@ -1,0 +1,43 @@
+from __future__ import annotations
+
+import ast
+from pathlib import Path
+
+import numpy as np
+
+import corpus_pipeline
+from tallyline.llm import ngram_join, packing, pretokens
+from tests.llm.helpers import SF
+
+REPO = Path(corpus_pipeline.__file__).parent
+
+
+def test_each_stage_on_what_the_one_before_kept(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").cache()
+    columns = docs.columns
+    kept = []
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, SF).cache()
+        assert docs.columns == columns, name
+        kept.append(docs)
+    before = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    assert all(before[r.doc_id] == r.text for r in kept[-1].collect())
+    lower = [(r.text or "").encode().lower() for r in kept[1].collect()]
+    assert len(set(lower)) == len(lower)
+    assert {t for t in lower} == {(r.text or "").encode().lower() for r in kept[0].collect()}
+    assert ngram_join.ngram_join(kept[2]).filter("n_links > 0").count() == 0
+    pieces = packing.pack(kept[3]).collect()
+    assert sum(p.length for p in pieces) == sum(
+        len(x) + 1 for x in pretokens.encode_whole(pretokens.tokenizer_path(), [r.text or "" for r in kept[3].collect()])
+    )
+    assert max(p.offset + p.length for p in pieces) <= packing.SEQUENCE
+    assert all(len(np.frombuffer(p.ids, "<u2")) == p.length for p in pieces)
+
+
+def test_nothing_else_imports_the_subpackage():
+    for path in [*(REPO / "tallyline").rglob("*.py"), *(REPO / "tests").glob("*.py"), REPO / "oracle_queries.py", REPO / "bench.py"]:
+        if "llm" in path.relative_to(REPO).parts:
+            continue
+        for node in ast.walk(ast.parse(path.read_text())):
+            names = [a.name for a in node.names] if isinstance(node, ast.Import) else [node.module or ""] if isinstance(node, ast.ImportFrom) else []
+            assert not any(name.startswith(("tallyline.llm", "corpus_pipeline")) for name in names), path

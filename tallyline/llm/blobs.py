@@ -10,8 +10,11 @@ import zstandard
 
 
 def pack(*arrays: np.ndarray) -> bytes:
+    """The arrays as one compressed blob. All first bytes of an array go first, then all second ones and so on, so that the
+    many zero bytes of small numbers lie together."""
     sizes = np.array([len(arrays), *[len(a) for a in arrays]], np.uint64)
-    return zstandard.ZstdCompressor(3).compress(b"".join([sizes.tobytes(), *[np.ascontiguousarray(a).tobytes() for a in arrays]]))
+    planes = [np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.dtype.itemsize).T.tobytes() for a in arrays]
+    return zstandard.ZstdCompressor(3).compress(b"".join([sizes.tobytes(), *planes]))
 
 
 def unpack(blob: bytes, *types: str) -> list[np.ndarray]:
@@ -19,11 +22,18 @@ def unpack(blob: bytes, *types: str) -> list[np.ndarray]:
     sizes = np.frombuffer(raw, np.uint64, len(types) + 1)[1:]
     out, at = [], 8 * (len(types) + 1)
     for size, kind in zip(sizes.tolist(), types):
-        out.append(np.frombuffer(raw, kind, size, at))
-        at += size * np.dtype(kind).itemsize
+        width = np.dtype(kind).itemsize
+        planes = np.frombuffer(raw, np.uint8, size * width, at).reshape(width, size)
+        out.append(np.ascontiguousarray(planes.T).view(kind).reshape(size))
+        at += size * width
     return out
 
 
+def steps(ascending: np.ndarray) -> np.ndarray:
+    """Ascending numbers as differences, which pack into less; ``np.cumsum`` turns them back."""
+    return np.diff(ascending, prepend=ascending.dtype.type(0))
+
+
 def groups(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[tuple[object, list[dict]]]:
     """Runs of rows with one key, of a partition that is sorted by it."""
     current, rows = None, []

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyline.llm.blobs import groups, pack, unpack
+from tallyline.llm.blobs import groups, pack, steps, unpack
 from tallyline.llm.text import lower_bytes, spaced_words
 from tallyline.sources.staging import stage
 
@@ -169,7 +169,7 @@ def numbered_words(cut: DataFrame, parts: int) -> DataFrame:
                 order = np.argsort(part, kind="stable")
                 found, starts = np.unique(part[order], return_index=True)
                 blobs = [
-                    pack(hashes[at], counts[at], at.astype(np.uint32))
+                    pack(hashes[at], counts[at], steps(at.astype(np.uint32)))
                     for at in np.split(order, starts[1:])
                 ]
                 yield pa.RecordBatch.from_arrays(
@@ -231,7 +231,8 @@ def bigram_requests(cut: DataFrame, numbered: DataFrame, words: Unigrams, hot: n
                 answers = [unpack(blob, "u8", "u8", "u4") for blob in row["answers"]]
                 n = sum(len(a[0]) for a in answers)
                 number, count = np.empty(n, np.uint64), np.empty(n, np.int64)
-                for numbers, counts, at in answers:
+                for numbers, counts, gaps in answers:
+                    at = np.cumsum(gaps)
                     number[at], count[at] = numbers, counts
                 (tokens,) = unpack(row["tokens"], "u4")
                 lengths = np.array(row["n_tokens"], np.int64)
@@ -259,7 +260,18 @@ def bigram_requests(cut: DataFrame, numbered: DataFrame, words: Unigrams, hot: n
                 for lo, hi in zip(first, np.append(first[1:], len(starts))):
                     at = starts[lo:hi]
                     last = starts[hi] if hi < len(starts) else len(part)
-                    blobs.append(pack(context[at], second[at], of_word[lo:hi], times[lo:hi], runs[lo:hi], owner[at[0] : last]))
+                    seconds, first_at, which = np.unique(second[at], return_index=True, return_inverse=True)
+                    blobs.append(
+                        pack(
+                            steps(context[at]),
+                            steps(seconds),
+                            of_word[lo:hi][first_at],
+                            which.astype(np.uint32),
+                            times[lo:hi],
+                            runs[lo:hi],
+                            owner[at[0] : last],
+                        )
+                    )
                 empty = [None] * len(found)
                 columns = [
                     pa.array([*found.tolist(), int(found[0])], pa.int64()),
@@ -297,8 +309,11 @@ def counted_bigrams(requests: DataFrame, words: Unigrams, hot: np.ndarray, parts
                 if row["blob"] is None:
                     yield row_of(**{name: row[name] for name in names[6:]})
             rows = [row for row in rows if row["blob"] is not None]
-            asked = [unpack(row["blob"], "u8", "u8", "u8", "u4", "u4", "u4") for row in rows]
-            context, second, of_word, times = (np.concatenate([a[i] for a in asked]) for i in range(4))
+            asked = [unpack(row["blob"], "u8", "u8", "u8", "u4", "u4", "u4", "u4") for row in rows]
+            context = np.concatenate([np.cumsum(a[0]) for a in asked])
+            second = np.concatenate([np.cumsum(a[1])[a[3]] for a in asked])
+            of_word = np.concatenate([a[2][a[3]] for a in asked])
+            times = np.concatenate([a[4] for a in asked])
             order = np.lexsort((second, context))
             new = np.ones(len(order), bool)
             new[1:] = (np.diff(context[order]) != 0) | (np.diff(second[order]) != 0)
@@ -308,7 +323,7 @@ def counted_bigrams(requests: DataFrame, words: Unigrams, hot: np.ndarray, parts
             counts = np.add.reduceat(times[order].astype(np.int64), starts)
             context, second, of_word = context[order][starts], second[order][starts], of_word[order][starts].astype(np.int64)
             ends = np.cumsum([len(a[0]) for a in asked])
-            pieces = [pack(np.diff(i, prepend=np.uint32(0)), a[4], a[5]) for i, a in zip(np.split(at, ends[:-1]), asked)]
+            pieces = [pack(steps(i), a[5], a[6]) for i, a in zip(np.split(at, ends[:-1]), asked)]
 
             met = counts > 0
             small = np.bincount(np.minimum(counts[met], LARGEST + 2), minlength=LARGEST + 3)[: LARGEST + 2]
@@ -322,7 +337,7 @@ def counted_bigrams(requests: DataFrame, words: Unigrams, hot: np.ndarray, parts
                 totals += [np.bincount(group, words.probability(of_word[spread]), len(those))]
             yield row_of(
                 part=part,
-                bigrams=pack(context, second, of_word.astype(np.uint64), counts.astype(np.uint64)),
+                bigrams=pack(steps(context), second, of_word.astype(np.uint64), counts.astype(np.uint64)),
                 chunks=[row["chunk"] for row in rows],
                 pieces=pieces,
                 n_of_count=small.tolist(),
@@ -341,12 +356,13 @@ def text_sums(
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                context, _, of_word, counts = (a.astype(np.int64) for a in unpack(row["bigrams"], "u8", "u8", "u8", "u8"))
+                gaps, _, of_word, counts = (a.astype(np.int64) for a in unpack(row["bigrams"], "u8", "u8", "u8", "u8"))
+                context = np.cumsum(gaps)
                 log = log_probabilities(context, of_word, counts, words, factor, totals)
                 blobs = []
                 for piece in row["pieces"]:
-                    steps, runs, owner = unpack(piece, "u4", "u4", "u4")
-                    sums = np.bincount(owner, np.repeat(log[np.cumsum(steps.astype(np.int64))], runs))
+                    gaps, runs, owner = unpack(piece, "u4", "u4", "u4")
+                    sums = np.bincount(owner, np.repeat(log[np.cumsum(gaps.astype(np.int64))], runs))
                     texts = np.unique(owner)
                     blobs.append(pack(texts, sums[texts]))
                 yield pa.RecordBatch.from_arrays(

@@ -112,8 +112,35 @@ def _run_query(spark: SparkSession, sf: str) -> DataFrame:
 
 def _trade_days(days: Callable) -> Callable[[DataFrame, DataFrame], DataFrame]:
     def query(trades: DataFrame, users: DataFrame) -> DataFrame:
-        pairs = spine.on_days(_joined(trades, users), days(report_days.close_day(), EVENT_REPORT))
-        return pairs.select(*TRADE_DAY, "currency")
+        return spine.on_days(_joined(trades, users), days(report_days.close_day(), EVENT_REPORT))
+
+    return query
+
+
+def _rolling_trade_days(trades: DataFrame, users: DataFrame) -> DataFrame:
+    return _trade_days(report_days.rolling_days)(trades, users).select(*TRADE_DAY, "currency")
+
+
+def _combined(trades: DataFrame, users: DataFrame) -> DataFrame:
+    return spine.combined_data(_joined(trades, users), EVENT_REPORT)
+
+
+def _digested(pairs: Callable[[DataFrame, DataFrame], DataFrame]) -> Callable[[DataFrame, DataFrame], DataFrame]:
+    """All pairs of a day and a trade, summed up while they are made: there are as many as trades times days."""
+
+    def query(trades: DataFrame, users: DataFrame) -> DataFrame:
+        return (
+            pairs(trades, users)
+            .groupBy("dt_report", "login_hash", "symbol", "currency")
+            .agg(
+                F.count("*").alias("trades"),
+                F.sum("volume").cast("double").alias("volume"),
+                F.min("ticket_hash").alias("first_ticket"),
+                F.max("ticket_hash").alias("last_ticket"),
+                F.min("close_time").alias("first_close"),
+                F.max("close_time").alias("last_close"),
+            )
+        )
 
     return query
 
@@ -269,14 +296,14 @@ def queries() -> dict[str, Query]:
         "enabled_users": _on_users(accounts.enabled_users),
         "valid_trades": _on_trades(accounts.valid_trades),
         "closed_trades": _on_trades(accounts.closed_trades),
-        "rolling_predicate": _on_both(_trade_days(report_days.rolling_days)),
-        "cumulative_predicate": _on_both(_trade_days(report_days.cumulative_days)),
-        "calendar_predicate": _on_both(_trade_days(report_days.calendar_days)),
+        "rolling_predicate": _on_both(_rolling_trade_days),
+        "cumulative_predicate": _on_both(_digested(_trade_days(report_days.cumulative_days))),
+        "calendar_predicate": _on_both(_digested(_trade_days(report_days.calendar_days))),
         "report_scalars": _on_trades(_report_scalars),
         # Joins
         "distinct_users": _on_users(accounts.distinct_users),
         "trades_with_users": _on_both(_joined),
-        "combined_data": _on_both(lambda t, u: spine.combined_data(_joined(t, u), EVENT_REPORT)),
+        "combined_data": _on_both(_digested(_combined)),
         "range_join_7d": _on_both(_range_join),
         "spine_left_join": _on_both(_joined_measures),
         "rank_join_symbol": _on_both(_joined_symbol_rank),
@@ -331,7 +358,9 @@ def queries() -> dict[str, Query]:
         # Suites and gate
         "qa_users_suite": _on_users(suites.users_suite),
         "qa_trades_suite": _on_lineitem_trades(suites.trades_suite),
-        "qa_cross_reference": _on_both(suites.cross_reference),
+        "qa_users_nulls": _on_users(suites.users_null_status),
+        "qa_trades_nulls": _on_lineitem_trades(suites.trades_null_status),
+        "qa_cross_reference":_on_both(suites.cross_reference),
         "qa_full_report": _on_both(lambda t, u: suites.full_report(u, t)),
         "preload_accepted": _on_both(lambda t, u: gate.accepted(gate.gate_trades(t, u))),
         "preload_rejected": _on_both(lambda t, u: _rejected_text(gate.gate_trades(t, u))),

@@ -166,6 +166,14 @@ def trade_days(condition: str) -> str:
 FROM days JOIN joined ON {condition}""")
 
 
+def digested(pairs: str) -> str:
+    """The pairs of a day and a trade, summed up."""
+    return over_report(f"""SELECT dt_report, login_hash, symbol, currency, count(*) AS trades,
+  CAST(sum(volume) AS DOUBLE) AS volume, min(ticket_hash) AS first_ticket, max(ticket_hash) AS last_ticket,
+  min(close_time) AS first_close, max(close_time) AS last_close
+FROM {pairs} GROUP BY dt_report, login_hash, symbol, currency""")
+
+
 def on_trades(select: str) -> str:
     return with_tables(EVENT_TRADES) + select
 
@@ -182,6 +190,7 @@ def on_both(select: str) -> str:
     return with_tables(USERS, EVENT_TRADES) + select
 
 
+# The key and the columns of the tables, and the columns that must be filled.
 TRADES_KEY = "login_hash, ticket_hash, server_hash, open_time"
 ALL_TRADES = "login_hash, ticket_hash, server_hash, symbol, digits, cmd, volume, open_time, open_price, contractsize, close_time"
 ALL_USERS = "login_hash, server_hash, country_hash, currency, enable"
@@ -245,6 +254,7 @@ def greater_than_zero(table: str, column: str) -> str:
 CLOSED_AFTER_OPENED = check(
     "greater than", "close_time,open_time", broken("trades", "coalesce(NOT close_time > open_time, true)")
 )
+# The columns of a trade that must be filled.
 TRADES_MANDATORY = "login_hash, ticket_hash, server_hash, symbol, digits, cmd, volume, open_time, open_price, contractsize"
 MISMATCHES = "SELECT login_hash, server_hash FROM trades EXCEPT SELECT login_hash, server_hash FROM users"
 FOREIGN_KEY = check("foreign key", "login_hash,server_hash", f"SELECT count(*) AS bad FROM ({MISMATCHES})")
@@ -337,8 +347,8 @@ GROUP BY d.dt_report"""),
     "valid_trades": on_trades("SELECT * FROM trades WHERE open_time < close_time"),
     "closed_trades": on_trades("SELECT * FROM trades WHERE close_time IS NOT NULL"),
     "rolling_predicate": trade_days(IN_WINDOW),
-    "cumulative_predicate": trade_days(SO_FAR),
-    "calendar_predicate": trade_days(in_month(EVENT_RANGE)),
+    "cumulative_predicate": digested(f"days JOIN joined ON {SO_FAR}"),
+    "calendar_predicate": digested(f"days JOIN joined ON {in_month(EVENT_RANGE)}"),
     "report_scalars": on_trades("""SELECT
   ticket_hash,
   CAST(coalesce(volume, 0) AS DOUBLE) AS volume_or_zero,
@@ -354,7 +364,7 @@ FROM trades"""),
     # Joins
     "distinct_users": on_users("SELECT DISTINCT * FROM users"),
     "trades_with_users": over_report("SELECT * FROM joined"),
-    "combined_data": over_report("SELECT dt_report, joined.* FROM days CROSS JOIN joined"),
+    "combined_data": digested("days CROSS JOIN joined"),
     "range_join_7d": over_report(f"""SELECT dt_report, symbol, count(*) AS trades, CAST(sum(volume) AS DOUBLE) AS volume
 FROM days JOIN joined ON {IN_WINDOW} GROUP BY dt_report, symbol"""),
     "spine_left_join": over_report(attached(EVENT_RANGE)),
@@ -446,6 +456,10 @@ FROM (SELECT count(*) AS n FROM trades GROUP BY {TRADES_KEY}) WHERE n > 1"""
     # Suites and gate
     "qa_users_suite": on_users(USERS_SUITE),
     "qa_trades_suite": on_lineitem_trades(TRADES_SUITE),
+    "qa_users_nulls": on_users(f"SELECT 'users' AS suite, * FROM ({null_status('users', ALL_USERS)})"),
+    "qa_trades_nulls": on_lineitem_trades(
+        f"SELECT 'trades' AS suite, * FROM ({null_status('trades', TRADES_MANDATORY)})"
+    ),
     "qa_cross_reference": on_both(CROSS_REFERENCE),
     "qa_full_report": on_both(f"{USERS_SUITE}\nUNION ALL {TRADES_SUITE}\nUNION ALL {CROSS_REFERENCE}"),
     "preload_accepted": with_tables(USERS, EVENT_TRADES, GATED_TRADES) + ACCEPTED,
@@ -462,7 +476,6 @@ DECIMALS = {
         "valid_trades",
         "closed_trades",
         "trades_with_users",
-        "combined_data",
         *[f"dup_flags_{keep}" for keep in DUPLICATE],
         *[f"dedup_drop_{keep}" for keep in DUPLICATE],
         "dedup_whole_rows",

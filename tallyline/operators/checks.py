@@ -89,9 +89,27 @@ def verdict(totals: DataFrame, name: str, columns: Sequence[str], bad_rows: Colu
     return totals.select(F.inline(F.array(report_row(name, columns, bad_rows == 0, bad_rows))))
 
 
-def count_broken(df: DataFrame, checks: Sequence[Check]) -> DataFrame:
-    """One row: how many rows break each check, as columns ``c0, c1, ..``."""
-    return df.agg(*[F.count_if(check.broken).alias(f"c{i}") for i, check in enumerate(checks)])
+def broken_counts(checks: Sequence[Check]) -> list[Column]:
+    """Aggregates: how many rows break each check, as ``c0, c1, ..``."""
+    return [F.count_if(check.broken).alias(f"c{i}") for i, check in enumerate(checks)]
+
+
+def missing_counts(df: DataFrame, names: Sequence[str]) -> list[Column]:
+    """Aggregates: how many rows have no value in each column, as ``m0, m1, ..``."""
+    return [F.count_if(is_missing(df, name)).alias(f"m{i}") for i, name in enumerate(names)]
+
+
+def missing_rows(totals: DataFrame, names: Sequence[str]) -> DataFrame:
+    """``(column, has_null, null_rows)`` for each column, from a row of ``missing_counts``."""
+    rows = [
+        F.struct(
+            F.lit(name).alias("column"),
+            (F.col(f"m{i}") > 0).alias("has_null"),
+            F.col(f"m{i}").alias("null_rows"),
+        )
+        for i, name in enumerate(names)
+    ]
+    return totals.select(F.inline(F.array(*rows)))
 
 
 def result_of(check: Check, bad_rows: Column) -> Column:
@@ -102,19 +120,10 @@ def result_of(check: Check, bad_rows: Column) -> Column:
 def run_checks(df: DataFrame, checks: Sequence[Check]) -> DataFrame:
     """Rows ``(check, columns, passed, bad_rows)``, from one pass over the table."""
     results = [result_of(check, F.col(f"c{i}")) for i, check in enumerate(checks)]
-    return count_broken(df, checks).select(F.inline(F.array(*results)))
+    return df.agg(*broken_counts(checks)).select(F.inline(F.array(*results)))
 
 
 def mandatory_status(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Per column, whether and how often it has a missing value: ``(column, has_null, null_rows)``."""
     names = mandatory(df, columns).columns
-    counts = df.agg(*[F.count_if(is_missing(df, name)).alias(f"c{i}") for i, name in enumerate(names)])
-    rows = [
-        F.struct(
-            F.lit(name).alias("column"),
-            (F.col(f"c{i}") > 0).alias("has_null"),
-            F.col(f"c{i}").alias("null_rows"),
-        )
-        for i, name in enumerate(names)
-    ]
-    return counts.select(F.inline(F.array(*rows)))
+    return missing_rows(df.agg(*missing_counts(df, names)), names)

@@ -25,6 +25,9 @@ from tallyline.spec import ReportSpec
 ROWS_PER_TASK = 1_000_000
 """Report rows one task makes or sorts; a few hundred megabytes."""
 
+ROWS_PER_FILE = 50_000
+"""Keys of one task that writes the report, so rows of a file of one day."""
+
 REPORT_KEY = [*KEY, "currency"]
 
 
@@ -76,21 +79,37 @@ def report_keys(trades: DataFrame, users: DataFrame, spec: ReportSpec) -> Report
     return ReportKeys(keys, timeline.select("key_id", "stretches"), placed.count(), spec)
 
 
-def _tasks(n_rows: int) -> int:
-    return max(1, ceil(n_rows / ROWS_PER_TASK))
+def _tasks(report: ReportKeys) -> int:
+    """Enough that no task has more than ``ROWS_PER_TASK`` rows; while tasks are idle, more of a tenth of that."""
+    idle = report.keys.sparkSession.sparkContext.defaultParallelism
+    return max(1, ceil(report.n_rows / ROWS_PER_TASK), min(idle, ceil(10 * report.n_rows / ROWS_PER_TASK)))
+
+
+def _with_timelines(report: ReportKeys) -> DataFrame:
+    """The compact keys, spread by the rows they are about to become and not by their size."""
+    tasks = _tasks(report)
+    keys, by_key = report.keys.repartition(tasks, "key_id"), report.timelines.repartition(tasks, "key_id")
+    return keys.join(by_key, "key_id")
+
 
+def _by_position(report: ReportKeys) -> DataFrame:
+    """The compact keys in ranges of position, each range one partition.
 
-def _every_day(report: ReportKeys) -> DataFrame:
-    """The rows of the report, without the columns that repeat another."""
-    spec, keys, by_key = report.spec, report.keys, report.timelines
-    tasks = _tasks(report.n_rows)
-    if tasks > keys.sparkSession.sparkContext.defaultParallelism:
-        # Keys are compact. Spread them by the rows they are about to become, not by their size.
-        keys, by_key = keys.repartition(tasks, "key_id"), by_key.repartition(tasks, "key_id")
-    rows = (
-        keys.join(by_key, "key_id")
-        .select("position", *REPORT_KEY, "symbol_ranks", "login_ranks", F.inline("stretches"))
-        .select("*", F.explode(F.sequence("from_day", "to_day")).alias("day"))
+    A partition becomes a file per day, so it has as many keys as a file should have rows,
+    or fewer while there are idle tasks.
+    """
+    idle = report.keys.sparkSession.sparkContext.defaultParallelism
+    tasks = max(ceil(report.n_keys / ROWS_PER_FILE), min(_tasks(report), idle), 1)
+    per_task = max(1, ceil(report.n_keys / tasks))
+    part = F.expr(f"cast(({report.n_keys} - position) div {per_task} as int)")
+    return report.keys.join(report.timelines, "key_id").repartitionById(tasks, part)
+
+
+def _every_day(report: ReportKeys, keys: DataFrame) -> DataFrame:
+    """The rows of the report for the given keys, without the columns that repeat another."""
+    spec = report.spec
+    rows = keys.select("position", *REPORT_KEY, "symbol_ranks", "login_ranks", F.inline("stretches")).select(
+        "*", F.explode(F.sequence("from_day", "to_day")).alias("day")
     )
     day_index = F.datediff("day", spec.first_day())
     has_symbol = F.col("symbol").isNotNull()
@@ -130,33 +149,49 @@ def _presented(rows: DataFrame, spec: ReportSpec) -> DataFrame:
     )
 
 
-def _descending(rows: DataFrame, n_rows: int) -> DataFrame:
+def _descending(report: ReportKeys, rows: DataFrame) -> DataFrame:
     """The rows in ranges of descending row number, each range one partition.
 
-    The numbers run from 1 to ``n_rows``, so the ranges are known and need no sampling pass.
+    The numbers run from 1 to the number of rows, so the ranges are known and need no sampling pass.
     """
-    tasks = _tasks(n_rows)
+    n_rows, tasks = report.n_rows, _tasks(report)
     per_task = ceil(n_rows / tasks) if n_rows else 1
     part = F.expr(f"cast(({n_rows} - row_number) div {per_task} as int)")
     return rows.repartitionById(tasks, part)
 
 
 def report_rows(trades: DataFrame, users: DataFrame, spec: ReportSpec | None = None) -> DataFrame:
-    """All report rows, numbered but in no particular order."""
+    """All report rows, numbered but in no particular order.
+
+    Calling it already reads the trades and writes the tables that the report is made of; only the
+    days are spelled out later.
+    """
     report = report_keys(trades, users, spec or ReportSpec())
-    return _presented(_every_day(report), report.spec)
+    return _presented(_every_day(report, _with_timelines(report)), report.spec)
 
 
 def trading_report(trades: DataFrame, users: DataFrame, spec: ReportSpec | None = None) -> DataFrame:
-    """The report, the highest row number first."""
+    """The report, the highest row number first.
+
+    Calling it runs the same jobs as ``report_rows``. Its order over all rows costs a shuffle of all
+    rows; ``write_report`` gives the same rows in order without one.
+    """
     report = report_keys(trades, users, spec or ReportSpec())
-    rows = _descending(_every_day(report), report.n_rows)
+    rows = _descending(report, _every_day(report, _with_timelines(report)))
     return _presented(rows.sortWithinPartitions(F.col("row_number").desc()), report.spec)
 
 
-def write_report(trades: DataFrame, users: DataFrame, path: str, spec: ReportSpec | None = None) -> None:
-    """Write the report as parquet, one directory per report day, by descending row number in each file."""
+def rows_to_write(trades: DataFrame, users: DataFrame, spec: ReportSpec | None = None) -> DataFrame:
+    """The report by day, and by descending row number within a day and partition.
+
+    The compact keys are shuffled by their position, and the days spelled out after that: the rows of a
+    day and partition are numbered without a gap, and no row of the report is shuffled.
+    """
     report = report_keys(trades, users, spec or ReportSpec())
-    rows = _presented(_descending(_every_day(report), report.n_rows), report.spec)
-    in_order = rows.sortWithinPartitions("dt_report", F.col("row_number").desc())
-    in_order.write.partitionBy("dt_report").parquet(path)
+    rows = _presented(_every_day(report, _by_position(report)), report.spec)
+    return rows.sortWithinPartitions("dt_report", F.col("row_number").desc())
+
+
+def write_report(trades: DataFrame, users: DataFrame, path: str, spec: ReportSpec | None = None) -> None:
+    """Write the report as parquet, one directory per report day, a run of descending row numbers in each file."""
+    rows_to_write(trades, users, spec).write.partitionBy("dt_report").parquet(path)

@@ -1,11 +1,12 @@
 """The check suites of the users and trades tables, as report rows.
 
-A suite is one aggregation for all row-level checks plus one pass for the duplicates.
+A suite is one aggregation for all row-level checks and missing values, plus one pass for the duplicates.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,7 +15,8 @@ from tallyline.operators import checks
 from tallyline.operators.accounts import ACCOUNT
 from tallyline.operators.checks import Check
 from tallyline.operators.duplicates import duplicate_counts
-from tallyline.operators.foreign_keys import check_foreign_key
+from tallyline.operators.foreign_keys import check_foreign_key, foreign_key_mismatches
+from tallyline.sources.staging import stage
 
 # The columns the suites require, and the logical key of a trade.
 USERS_MANDATORY = ["login_hash", "server_hash", "country_hash", "currency", "enable"]
@@ -34,35 +36,51 @@ TRADES_MANDATORY = [
 REPORT_COLUMNS = ["suite", "seq", "check", "columns", "passed", "bad_rows"]
 
 
-def _suite(
-    name: str, df: DataFrame, duplicate_keys: Sequence[Sequence[str] | None], rules: Sequence[Check]
-) -> DataFrame:
-    """Duplicate checks first, then the row-level ones; ``seq`` counts from 1."""
-    copies = duplicate_counts(df, duplicate_keys)
-    broken = checks.count_broken(df, rules)
-    n = len(duplicate_keys)
-    duplicate_rows = [
-        checks.report_row("duplicates", df.columns if key is None else key, F.col(f"n{i}") == 0, F.col(f"n{i}"))
-        for i, key in enumerate(duplicate_keys)
-    ]
-    rule_rows = [checks.result_of(rule, F.col(f"c{i}")) for i, rule in enumerate(rules)]
-    parts = [
-        copies.select(F.posexplode(F.array(*duplicate_rows)).alias("place", "row")),
-        broken.select(F.posexplode(F.array(*rule_rows)).alias("place", "row")).withColumn(
-            "place", F.col("place") + n
-        ),
-    ]
-    return parts[0].union(parts[1]).select(
-        F.lit(name).alias("suite"), (F.col("place") + 1).alias("seq"), "row.*"
-    )
-
-
-def users_suite(users: DataFrame) -> DataFrame:
+@dataclass(frozen=True)
+class Suite:
+    """The checks of one table: its duplicates by some keys, rules for its rows, and columns that must be filled."""
+
+    name: str
+    table: DataFrame
+    duplicate_keys: Sequence[Sequence[str] | None]
+    rules: Sequence[Check]
+    mandatory: Sequence[str]
+
+    def totals(self) -> DataFrame:
+        """One row, from one pass: the rows that break each rule, and those without a value in each mandatory column."""
+        return self.table.agg(
+            *checks.broken_counts(self.rules), *checks.missing_counts(self.table, self.mandatory)
+        )
+
+    def verdicts(self, totals: DataFrame) -> DataFrame:
+        """Duplicate checks first, then the row-level ones; ``seq`` counts from 1."""
+        copies = duplicate_counts(self.table, self.duplicate_keys)
+        duplicate_rows = [
+            checks.report_row(
+                "duplicates", self.table.columns if key is None else key, F.col(f"n{i}") == 0, F.col(f"n{i}")
+            )
+            for i, key in enumerate(self.duplicate_keys)
+        ]
+        rule_rows = [checks.result_of(rule, F.col(f"c{i}")) for i, rule in enumerate(self.rules)]
+        first_rule = len(self.duplicate_keys)
+        rows = copies.select(F.posexplode(F.array(*duplicate_rows)).alias("place", "row")).union(
+            totals.select(F.posexplode(F.array(*rule_rows)).alias("place", "row")).withColumn(
+                "place", F.col("place") + first_rule
+            )
+        )
+        return rows.select(F.lit(self.name).alias("suite"), (F.col("place") + 1).alias("seq"), "row.*")
+
+    def null_status(self, totals: DataFrame) -> DataFrame:
+        """``(suite, column, has_null, null_rows)`` for each mandatory column."""
+        return checks.missing_rows(totals, self.mandatory).select(F.lit(self.name).alias("suite"), "*")
+
+
+def _users(users: DataFrame) -> Suite:
     rules = [checks.binary(users, "enable"), checks.mandatory(users, USERS_MANDATORY)]
-    return _suite("users", users, [None], rules)
+    return Suite("users", users, [None], rules, USERS_MANDATORY)
 
 
-def trades_suite(trades: DataFrame) -> DataFrame:
+def _trades(trades: DataFrame) -> Suite:
     rules = [
         checks.numerical(trades, "digits"),
         checks.numerical(trades, "cmd"),
@@ -74,7 +92,29 @@ def trades_suite(trades: DataFrame) -> DataFrame:
         checks.greater_than(trades, "volume"),
         checks.greater_than(trades, "close_time", "open_time"),
     ]
-    return _suite("trades", trades, [None, TRADES_KEY], rules)
+    return Suite("trades", trades, [None, TRADES_KEY], rules, TRADES_MANDATORY)
+
+
+def users_suite(users: DataFrame) -> DataFrame:
+    suite = _users(users)
+    return suite.verdicts(suite.totals())
+
+
+def trades_suite(trades: DataFrame) -> DataFrame:
+    suite = _trades(trades)
+    return suite.verdicts(suite.totals())
+
+
+def users_null_status(users: DataFrame) -> DataFrame:
+    """Which mandatory columns of the users have missing values, and how many."""
+    suite = _users(users)
+    return suite.null_status(suite.totals())
+
+
+def trades_null_status(trades: DataFrame) -> DataFrame:
+    """Which mandatory columns of the trades have missing values, and how many."""
+    suite = _trades(trades)
+    return suite.null_status(suite.totals())
 
 
 def cross_reference(trades: DataFrame, users: DataFrame) -> DataFrame:
@@ -83,6 +123,25 @@ def cross_reference(trades: DataFrame, users: DataFrame) -> DataFrame:
 
 
 def full_report(users: DataFrame, trades: DataFrame) -> DataFrame:
-    """All suites, ordered by suite and check."""
+    """All suites, ordered by suite and check. Calling it already reads the tables once, to find what may be duplicate."""
     rows = users_suite(users).union(trades_suite(trades)).union(cross_reference(trades, users))
     return rows.orderBy("suite", "seq")
+
+
+def write_full_report(users: DataFrame, trades: DataFrame, path: str) -> None:
+    """Write the whole check run as parquet: ``verdicts``, ``null_status`` and ``unknown_accounts`` below ``path``.
+
+    Verdicts and missing values come from the same pass over each table.
+    """
+    suites = [_users(users), _trades(trades)]
+    totals = [stage(suite.totals(), f"{suite.name}-totals") for suite in suites]
+    verdicts, null_status = (
+        [view(suite, row) for suite, row in zip(suites, totals)] for view in (Suite.verdicts, Suite.null_status)
+    )
+    unknown = stage(foreign_key_mismatches(trades, ACCOUNT, users, ACCOUNT), "unknown-accounts")
+    n_unknown = unknown.agg(F.count("*").alias("n"))
+    crossed = checks.verdict(n_unknown, "foreign key", ACCOUNT, F.col("n"))
+    crossed = crossed.select(F.lit("cross_reference").alias("suite"), F.lit(1).alias("seq"), "*")
+    verdicts[0].union(verdicts[1]).union(crossed).coalesce(1).write.parquet(f"{path}/verdicts")
+    null_status[0].union(null_status[1]).coalesce(1).write.parquet(f"{path}/null_status")
+    unknown.write.parquet(f"{path}/unknown_accounts")

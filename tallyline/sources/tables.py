@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -66,6 +66,34 @@ def load_jdbc_table(
     )
 
 
+def hash_buckets(expression: str, buckets: int) -> list[str]:
+    """Conditions that together choose every row once, for tables that have only text to be cut by.
+
+    ``expression`` is SQL of the database that gives a whole number for a row, such as a hash of
+    its key; rows where it is null are in the first bucket.
+    """
+    if buckets < 1:
+        raise ValueError("at least one bucket is needed")
+    of_row = f"mod(abs(mod({expression}, {buckets})) + {buckets}, {buckets})"
+    return [f"{of_row} = {i}" if i else f"({of_row} = 0 or ({expression}) is null)" for i in range(buckets)]
+
+
+def load_jdbc_parts(spark: SparkSession, url: str, table: str, predicates: Sequence[str], **options: Any) -> DataFrame:
+    """Read a database table with one task for each condition in ``predicates``.
+
+    The conditions must choose every row once, as those of ``hash_buckets`` do.
+    """
+    if not predicates:
+        raise ValueError("at least one condition is needed")
+    properties = {name: str(value) for name, value in options.items()}
+    return spark.read.jdbc(url, table, predicates=list(predicates), properties=properties)
+
+
+def load_jdbc_query(spark: SparkSession, url: str, query: str, **options: Any) -> DataFrame:
+    """The result of a query that the database runs, read by one task. For results that are small."""
+    return spark.read.format("jdbc").options(url=url, query=query, **options).load()
+
+
 def run_query(
     spark: SparkSession,
     query: str,

@@ -7,8 +7,10 @@ from collections import defaultdict
 from datetime import date, timedelta
 from decimal import Decimal
 
+import pyarrow.parquet as pq
 import pytest
 
+from tallyline.plans import report
 from tallyline.plans.report import report_rows, trading_report, write_report
 from tallyline.spec import ReportSpec
 from tests.tables import at, trade, trades_table, user, users_table
@@ -226,6 +228,36 @@ def test_written_report(spark, tmp_path):
     }
 
 
+def test_written_files_hold_runs_of_descending_numbers(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(report, "ROWS_PER_FILE", 3)
+    trades, users = random_tables(4)
+    path = str(tmp_path / "report")
+    write_report(trades_table(spark, trades), users_table(spark, users), path, SPEC)
+    expected = brute_force(trades, users, SPEC)
+    n_keys = len(expected) // SPEC.n_days
+    numbers = []
+    files = list((tmp_path / "report").glob("dt_report=*/*.parquet"))
+    for file in files:
+        of_file = pq.ParquetFile(file).read(["row_number"])["row_number"].to_pylist()
+        assert of_file == list(range(of_file[0], of_file[0] - len(of_file), -1)) and len(of_file) <= 3
+        numbers += of_file
+    assert len(files) >= SPEC.n_days * n_keys // 3
+    assert sorted(numbers) == list(range(1, len(expected) + 1))
+
+
+def test_no_report_row_is_shuffled_to_be_written(spark):
+    trades, users = random_tables(4)
+    df = report.rows_to_write(trades_table(spark, trades), users_table(spark, users), SPEC)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    above = plan[: plan.index("Generate explode")]
+    assert "Sort" in above and "Exchange" not in above
+
+
+def test_an_empty_report_is_written(spark, tmp_path):
+    write_report(trades_table(spark, []), users_table(spark, [user("l1")]), str(tmp_path / "report"), SPEC)
+    assert not list((tmp_path / "report").glob("dt_report=*"))
+
+
 def test_default_ranges():
     spec = ReportSpec()
     assert (spec.n_days, spec.month_column) == (122, "sum_volume_2020_08")

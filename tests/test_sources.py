@@ -127,3 +127,59 @@ def test_database_reads_are_cut_into_ranges(monkeypatch):
         "numPartitions": "16",
         "fetchsize": "10000",
     }
+
+
+def test_hash_buckets_choose_every_row_once(spark):
+    rows = spark.sql("select explode(array(-7, -1, 0, 1, 2, 3, 100, null)) as h")
+    conditions = tables.hash_buckets("h", 3)
+    assert len(conditions) == 3
+    assert sorted(r.h is None or r.h for c in conditions for r in rows.filter(c).collect()) == sorted(
+        [-7, -1, 0, 1, 2, 3, 100, True]
+    )
+    with pytest.raises(ValueError):
+        tables.hash_buckets("h", 0)
+
+
+def test_database_reads_by_conditions_and_of_a_query():
+    calls = []
+
+    class Reader:
+        def jdbc(self, url, table, **given):
+            calls.append((url, table, given))
+            return "parts"
+
+        def format(self, name):
+            calls.append(name)
+            return self
+
+        def options(self, **given):
+            calls.append(given)
+            return self
+
+        def load(self):
+            return "result"
+
+    class Spark:
+        read = Reader()
+
+    assert tables.load_jdbc_parts(Spark(), "jdbc:x", "users", ["a = 0", "a = 1"], fetchsize=1000) == "parts"
+    assert calls == [("jdbc:x", "users", {"predicates": ["a = 0", "a = 1"], "properties": {"fetchsize": "1000"}})]
+    with pytest.raises(ValueError):
+        tables.load_jdbc_parts(Spark(), "jdbc:x", "users", [])
+    calls.clear()
+    assert tables.load_jdbc_query(Spark(), "jdbc:x", "select 1", fetchsize="10") == "result"
+    assert calls == ["jdbc", {"url": "jdbc:x", "query": "select 1", "fetchsize": "10"}]
+
+
+def test_a_written_check_run_holds_what_the_suites_say(spark, tmp_path):
+    users = sample_tables.users(spark, "/root/testdata/sf0.001")
+    trades = sample_tables.event_trades(spark, "/root/testdata/sf0.001")
+    path = str(tmp_path / "checks")
+    suites.write_full_report(users, trades, path)
+    written = spark.read.parquet(f"{path}/verdicts")
+    assert sorted(written.collect()) == sorted(suites.full_report(users, trades).collect())
+    nulls = spark.read.parquet(f"{path}/null_status")
+    expected = suites.users_null_status(users).union(suites.trades_null_status(trades))
+    assert sorted(nulls.collect()) == sorted(expected.collect()) and nulls.count() == 15
+    unknown = spark.read.parquet(f"{path}/unknown_accounts").count()
+    assert unknown == written.filter("suite = 'cross_reference'").first().bad_rows

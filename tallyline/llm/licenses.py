@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyline.llm.text import WORD, ascii_lower, or_empty
@@ -90,16 +90,26 @@ def rarest_words(hits: DataFrame, postings: DataFrame, n: int = RARE_WORDS) -> D
     )
 
 
-def _all_words_stand(templates: tuple[Template, ...]) -> Column:
-    """Whether each word of the candidate's template stands at its place, by the positions of all licence words."""
-    checks = F.lit(False)
-    for t, template in enumerate(templates):
-        stands = F.lit(True)
-        for place, word in enumerate(template.phrase.split()):
-            hit = F.struct((F.col("start") + place).alias("at"), F.lit(word).alias("word"))
-            stands = stands & F.array_contains("hits", hit)
-        checks = F.when(F.col("template") == t, stands).otherwise(checks)
-    return checks
+def verify_phrases(candidates: DataFrame, hits: DataFrame, postings: DataFrame) -> DataFrame:
+    """The candidates ``uid, template, start`` at which every word of the template's phrase stands.
+
+    Each word a candidate needs is looked up by text and position, so that the work grows with the number of
+    candidates and not with their number times the licence words of their text.
+    """
+    words = postings.withColumn("length", F.count("*").over(Window.partitionBy("template")))
+    needed = candidates.join(F.broadcast(words), "template").select(
+        "uid", "template", "start", "length", (F.col("start") + F.col("place")).alias("at"), "word"
+    )
+    # Only the texts with candidates give their licence words to the look-up.
+    of_texts = hits.join(candidates.select("uid").distinct(), "uid", "left_semi")
+    standing = of_texts.select("uid", F.explode("hits").alias("hit")).select("uid", "hit.at", "hit.word")
+    return (
+        needed.join(standing, ["uid", "at", "word"])
+        .groupBy("uid", "template", "start")
+        .agg(F.count("*").alias("n"), F.max("length").alias("length"))
+        .filter(F.col("n") == F.col("length"))
+        .select("uid", "template", "start")
+    )
 
 
 def scan_licenses(
@@ -114,12 +124,12 @@ def scan_licenses(
     and largest start (words from 0, null without any), ``n_places`` counts those of all templates,
     ``base_labels`` and ``labels`` are distinct, sorted and joined by commas (empty without any) and
     ``score`` is 1 - 2^-n_places. A null text counts as empty. Rows with equal ids are scanned each for
-    itself; an empty table gives an empty result. Other columns are not read. Writes one table on the way.
+    itself; an empty table gives an empty result. Other columns are not read. Writes two tables on the way.
     """
     hits = stage(licence_words(docs, templates, id_col, text_col), "licence-words")
     postings = _postings(docs, templates)
     entries = F.broadcast(rarest_words(hits, postings).select("template", "word", "place", "entries"))
-    agreed = (
+    agreed = stage(
         hits.select("uid", F.explode("hits").alias("hit"))
         .select("uid", "hit.at", "hit.word")
         .join(entries, "word")
@@ -128,12 +138,10 @@ def scan_licenses(
         .groupBy("uid", "template", "start")
         .agg(F.count("*").alias("n"), F.max("entries").alias("entries"))
         .filter(F.col("n") == F.col("entries"))
+        .select("uid", "template", "start"),
+        "licence-candidates",
     )
-    verified = (
-        agreed.join(hits.select(F.col("uid"), "hits"), "uid")
-        .filter(_all_words_stand(templates))
-        .select("uid", "template", "start")
-    )
+    verified = verify_phrases(agreed, hits, postings)
     kinds = docs.sparkSession.createDataFrame(
         [(t, template.label, template.base) for t, template in enumerate(templates)], "template int, label string, base boolean"
     )

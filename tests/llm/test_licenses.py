@@ -50,6 +50,7 @@ def test_phrases_in_awkward_texts(spark):
         "mit lİcense and mit liKense",
         "general public gnu license",
         "apache license" + " filler" * 20_000 + " Apache License",
+        "mit license " * 20_000,
         "redistribution and use in source and binary forms",
         "license",
         "gnu general public",

@@ -2,9 +2,9 @@
 
 Vectors are dealt to the shards of their nearest centroids, several each, so that neighbours share a
 shard. On every shard a flat graph is built whose edges survive robust pruning; a vector's
-adjacency lists from all its shards are united. A greedy search from the medoids, which goes on as
-long as it meets vectors in range, then finds each vector's neighbours, and what it finds is verified
-in double precision. A sample of queries against all vectors audits the recall; if it falls short,
+adjacency lists from all its shards are united, and edges are followed both ways. A greedy search from the
+vector itself, the medoids and every part that these do not reach, which goes on as long as it meets vectors in
+range, then finds each vector's neighbours, and what it finds is verified in double precision. A sample of queries against all vectors audits the recall; if it falls short,
 the vectors are dealt to more shards. A shard of very many vectors is split into blocks, and
 every pair of its blocks is searched by itself.
 """
@@ -31,6 +31,8 @@ BLOCK = 1024
 SHARDS_OF_EACH = 4
 DEGREE, POOL, ALPHA = 16, 48, 1.2
 BEAM = 24
+AT_ONCE = 1 << 17
+"""Pairs whose vectors are laid side by side at once."""
 AUDITED = 200
 TARGET_RECALL = 0.95
 _VECTOR = "rep long, size long, vector binary"
@@ -124,16 +126,38 @@ def robust_prune(sims: np.ndarray, degree: int = DEGREE, pool: int = POOL, alpha
     return out
 
 
-def search(vectors: np.ndarray, graph: np.ndarray, starts: list[int], reach: float, beam: int = BEAM) -> np.ndarray:
+def both_ways(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct edges between ``n`` nodes and their reverses: where each node's neighbours begin, and the neighbours."""
+    code = np.unique(np.concatenate([a * n + b, b * n + a]))
+    return np.searchsorted(code, np.arange(n + 1) * n), code % n
+
+
+def parts(begin: np.ndarray, neighbours: np.ndarray) -> np.ndarray:
+    """For each node the smallest node of the part of the graph that it hangs together with."""
+    label = np.arange(len(begin) - 1)
+    owner = np.repeat(label, np.diff(begin))
+    while True:
+        low = label.copy()
+        np.minimum.at(low, owner, label[neighbours])
+        low = low[low]
+        if (low == label).all():
+            return label
+        label = low
+
+
+def search(
+    vectors: np.ndarray, begin: np.ndarray, neighbours: np.ndarray, starts: list[int], reach: float, beam: int = BEAM
+) -> np.ndarray:
     """Cosines of all pairs that the greedy search of each vector meets, -inf for the others.
 
-    Every search expands the nearest node it has met and not expanded. It ends when it has expanded a beam's
-    worth and the next node is out of range, and so takes in all in-range nodes that hang together.
+    A search starts at the vector itself and at ``starts``. It expands the nearest node it has met and not expanded. It
+    ends when it has expanded a beam's worth and the next node is out of range, and so takes in all in-range nodes that hang together.
     """
     n = len(vectors)
     met, open_ = np.full((n, n), -np.inf), np.full((n, n), -np.inf)
-    for start in starts:
-        met[:, start] = open_[:, start] = vectors @ vectors[start]
+    met[:, starts] = open_[:, starts] = vectors @ vectors[starts].T
+    np.fill_diagonal(met, 1.0)
+    np.fill_diagonal(open_, 1.0)
     active, expanded = np.arange(n), 0
     while len(active):
         near = open_[active].argmax(axis=1)
@@ -143,12 +167,14 @@ def search(vectors: np.ndarray, graph: np.ndarray, starts: list[int], reach: flo
         if not len(active):
             break
         open_[active, near] = -np.inf
-        around = graph[near]
-        new = (around >= 0) & (met[active[:, None], np.maximum(around, 0)] == -np.inf)
-        who, which = np.nonzero(new)
-        who, found = active[who], around[who, which]
-        sims = np.einsum("ij,ij->i", vectors[who], vectors[found])
-        met[who, found] = open_[who, found] = sims
+        degree = begin[near + 1] - begin[near]
+        who = np.repeat(active, degree)
+        found = neighbours[np.arange(len(who)) + np.repeat(begin[near] - np.cumsum(degree) + degree, degree)]
+        new = met[who, found] == -np.inf
+        who, found = who[new], found[new]
+        for i in range(0, len(who), AT_ONCE):
+            a, b = who[i : i + AT_ONCE], found[i : i + AT_ONCE]
+            met[a, b] = open_[a, b] = np.einsum("ij,ij->i", vectors[a], vectors[b])
         expanded += 1
     return met
 
@@ -179,17 +205,19 @@ def _search_blocks(rows: pd.DataFrame, threshold: float) -> pd.DataFrame:
     at = np.minimum(np.searchsorted(ids, wanted), len(ids) - 1)
     here = ids[at] == wanted
     owner, at = owner[here], at[here]
-    counts = np.bincount(owner, minlength=len(ids))
-    graph = np.full((len(ids), max(int(counts.max(initial=0)), 1)), -1, np.int64)
-    graph[owner, np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)] = at
+    begin, neighbours = both_ways(len(ids), owner, at)
     starts = []
     for block in np.unique(blocks):
         inside = np.flatnonzero(blocks == block)
         starts.append(int(inside[(vectors[inside] @ vectors[inside].mean(axis=0)).argmax()]))
-    found = search(vectors, graph, starts, threshold)
+    # Besides the medoids, one node of every part that hangs together with neither.
+    part = parts(begin, neighbours)
+    several = len(starts) > 1
+    starts += np.setdiff1d(part, part[starts]).tolist()
+    found = search(vectors, begin, neighbours, starts, threshold)
     linked = (found >= threshold) | (found >= threshold).T
     np.fill_diagonal(linked, False)
-    if len(starts) > 1:
+    if several:
         linked &= blocks[:, None] != blocks[None, :]
     least = _smallest_reachable(linked, ids)
     a, b = np.nonzero(linked)

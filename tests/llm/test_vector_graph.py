@@ -30,6 +30,12 @@ def _clusters(n, copies, seed=0, dim=16, noise=0.05):
     return np.array(out, np.float32).astype(np.float64)
 
 
+def _beside_a_hot_group(seed=1):
+    """400 near copies of one vector, then small groups."""
+    hot = _clusters(1, 1, 5) + np.random.default_rng(seed).normal(0, 0.01, (400, 16))
+    return np.concatenate([hot, _clusters(60, 4, 9)]).astype(np.float32).astype(np.float64)
+
+
 @pytest.mark.parametrize("sizes", [{}, {"shard": 40, "block": 32, "each": 3}])
 def test_against_brute_force(spark, sizes):
     vectors = _clusters(150, 6)
@@ -51,6 +57,16 @@ def test_a_large_group_is_split_into_blocks(spark):
     assert len({got[i].component_id for i in range(300)}) == 1
 
 
+@pytest.mark.parametrize("sizes", [{}, {"shard": 50, "block": 60}])
+def test_links_beside_a_hot_group_are_found(spark, sizes):
+    vectors = _beside_a_hot_group()
+    want = _expected(range(len(vectors)), vectors)
+    got = {r.vec_id: r for r in _result(spark, list(enumerate(vectors)), **sizes)}
+    outside = range(400, len(vectors))
+    assert sum(got[i].n_links for i in outside) >= 0.95 * sum(want[i][0] for i in outside) > 0
+    assert np.mean([got[i].component_id == want[i][1] for i in range(len(vectors))]) > 0.95
+
+
 def test_awkward_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [

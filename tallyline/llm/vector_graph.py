@@ -4,7 +4,8 @@ Vectors are dealt to the shards of their nearest centroids, several each, so tha
 shard. On every shard a flat graph is built whose edges survive robust pruning; a vector's
 adjacency lists from all its shards are united, and edges are followed both ways. A greedy search from the
 vector itself, the medoids and every part that these do not reach, which goes on as long as it meets vectors in
-range, then finds each vector's neighbours, and what it finds is verified in double precision. A sample of queries against all vectors audits the recall; if it falls short,
+range, then finds each vector's neighbours. The links that it finds make the components, and inside a component every pair
+is verified in double precision and counted once, so that it does not matter which shard found it. A sample of queries against all vectors audits the recall; if it falls short,
 the vectors are dealt to more shards. A shard of very many vectors is split into blocks, and
 every pair of its blocks is searched by itself.
 """
@@ -196,10 +197,10 @@ def _block_graph(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def _search_blocks(rows: pd.DataFrame, threshold: float) -> pd.DataFrame:
-    """Links between the two blocks at hand (or inside the one), each counted in the first shard that both ends share."""
+    """Those with links between the two blocks at hand (or inside the one), and the smallest that they reach by these."""
     rows = rows.sort_values("rep", kind="stable").reset_index(drop=True)
     ids, vectors = rows["rep"].to_numpy(), _matrix(rows["vector"].tolist())
-    blocks, sizes = rows["block"].to_numpy(), rows["size"].to_numpy()
+    blocks = rows["block"].to_numpy()
     lists = [np.array(x, np.int64) for x in rows["near"]]
     owner, wanted = np.repeat(np.arange(len(ids)), [len(x) for x in lists]), np.concatenate([np.zeros(0, np.int64), *lists])
     at = np.minimum(np.searchsorted(ids, wanted), len(ids) - 1)
@@ -219,21 +220,12 @@ def _search_blocks(rows: pd.DataFrame, threshold: float) -> pd.DataFrame:
     np.fill_diagonal(linked, False)
     if several:
         linked &= blocks[:, None] != blocks[None, :]
-    least = _smallest_reachable(linked, ids)
-    a, b = np.nonzero(linked)
-    shards = np.array(rows["shards"].tolist())
-    first = np.full(len(a), np.iinfo(np.int32).max, np.int64)
-    for column in shards.T:
-        shared = (shards[b] == column[a][:, None]).any(axis=1)
-        first = np.where(shared, np.minimum(first, column[a]), first)
-    counted = first == rows["shard"].iloc[0]
-    n_links = np.bincount(a[counted], sizes[b[counted]], len(ids)).astype(np.int64)
     some = linked.any(axis=1)
-    return pd.DataFrame({"rep": ids[some], "n_links": n_links[some], "least": least[some]})
+    return pd.DataFrame({"rep": ids[some], "least": _smallest_reachable(linked, ids)[some]})
 
 
 def found_links(vectors: DataFrame, centres: np.ndarray, each: int, threshold: float, block: int) -> DataFrame:
-    """``rep, n_links, least`` for every vector and pair of blocks in which it has links."""
+    """``rep, least`` for every vector and pair of blocks in which it has links."""
     dealt = stage(deal(vectors, centres, min(each, len(centres))), "dealt")
     entries = dealt.withColumn("shard", F.explode("shards"))
     n_blocks = entries.groupBy("shard").agg(F.ceil(F.count("*") / block).cast("int").alias("n_blocks"))
@@ -247,11 +239,60 @@ def found_links(vectors: DataFrame, centres: np.ndarray, each: int, threshold: f
         .withColumn("one", F.least("block", "other"))
         .withColumn("two", F.greatest("block", "other"))
     )
-    return pairs.select("shard", "one", "two", "block", "rep", "size", "vector", "shards", "near").groupBy("shard", "one", "two").applyInPandas(
-        lambda rows: _search_blocks(rows, threshold), "rep long, n_links long, least long"
+    return pairs.select("shard", "one", "two", "block", "rep", "vector", "near").groupBy("shard", "one", "two").applyInPandas(
+        lambda rows: _search_blocks(rows, threshold), "rep long, least long"
     )
 
 
+def _count_pairs(rows: pd.DataFrame, threshold: float) -> pd.DataFrame:
+    """Links of each member inside its component: between the two blocks at hand, or inside the one."""
+    rows = rows.sort_values(["component", "block"], kind="stable")
+    ids, sizes, blocks = (rows[name].to_numpy() for name in ("rep", "size", "block"))
+    vectors, component = _matrix(rows["vector"].tolist()), rows["component"].to_numpy()
+    across = rows["one"].iloc[0] != rows["two"].iloc[0]
+    n_links = np.zeros(len(rows), np.int64)
+    edges = np.flatnonzero(component[1:] != component[:-1]) + 1
+    for lo, hi in zip([0, *edges], [*edges, len(rows)]):
+        linked = vectors[lo:hi] @ vectors[lo:hi].T >= threshold
+        if across:
+            linked &= blocks[lo:hi, None] != blocks[None, lo:hi]
+        else:
+            np.fill_diagonal(linked, False)
+        n_links[lo:hi] = linked @ sizes[lo:hi]
+    return pd.DataFrame({"rep": ids, "n_links": n_links})
+
+
+def counted_links(vectors: DataFrame, components: DataFrame, threshold: float, block: int) -> DataFrame:
+    """``rep, n_links`` for the members of components, in one row or several.
+
+    Each pair of a component is compared once, in whatever shard its link was found, and also if it was found in none. Small
+    components are compared many at a time, large ones two blocks at a time.
+    """
+    n_members = components.groupBy("component").agg(F.count("*").alias("members"))
+    # At most one row per block's worth of vectors.
+    large = n_members.filter(F.col("members") > block).select("component", F.ceil(F.col("members") / block).cast("int").alias("n_blocks"))
+    members = vectors.join(components.withColumnRenamed("node", "rep"), "rep").join(F.broadcast(large), "component", "left")
+    bins = max(1, -(-4 * components.count() // block))
+    placed = (
+        members.withColumn("large", F.col("n_blocks").isNotNull())
+        .withColumn("n_blocks", F.coalesce("n_blocks", F.lit(1)))
+        .withColumn("bin", F.when(F.col("large"), F.col("component")).otherwise(F.pmod(F.xxhash64("component"), F.lit(bins))))
+        .withColumn("block", F.pmod(F.xxhash64("rep"), F.col("n_blocks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
+        .withColumn("one", F.least("block", "other"))
+        .withColumn("two", F.greatest("block", "other"))
+    )
+    return placed.select("large", "bin", "one", "two", "block", "component", "rep", "size", "vector").groupBy("large", "bin", "one", "two").applyInPandas(
+        lambda rows: _count_pairs(rows, threshold), "rep long, n_links long"
+    )
+
+
+def linked_components(found: DataFrame) -> DataFrame:
+    """``node, component`` for the vectors that have links."""
+    links = stage(found.select(F.col("rep").alias("a"), F.col("least").alias("b")).distinct(), "reached")
+    return stage(connected_components(links), "components")
+
+
 def audit(vectors: DataFrame, found: DataFrame, threshold: float, n: int = AUDITED) -> float:
     """The share of the true links of some queries that were found: the queries against all vectors, in blocks."""
     rows = vectors.orderBy(F.xxhash64(F.lit("audit"), "rep"), "rep").limit(n).select("rep", "vector").collect()
@@ -292,19 +333,20 @@ def near_duplicates(
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), values.alias("values"))
     units = stage(unit_vectors(rows, "vec_id", "values"), "vectors")
     n = units.count()
-    found, recall = None, 1.0
+    components, counts, recall = None, None, 1.0
     if n:
         centres = centroids(units, int(min(MAX_CENTROIDS, max(1, n // shard))))
         while True:
-            found = stage(found_links(units, centres, each, threshold, block), "vector-links")
-            recall = audit(units, found, threshold)
+            components = linked_components(found_links(units, centres, each, threshold, block))
+            counts = stage(counted_links(units, components, threshold, block), "vector-links")
+            recall = audit(units, counts, threshold)
             if recall >= target_recall or each >= len(centres):
                 break
             each *= 2
     else:
-        found = stage(units.select("rep", F.col("size").alias("n_links"), F.col("rep").alias("least")), "vector-links")
-    counts = found.groupBy("rep").agg(F.sum("n_links").alias("others"))
-    components = connected_components(found.select(F.col("rep").alias("a"), F.col("least").alias("b")))
+        components = units.select(F.col("rep").alias("node"), F.col("rep").alias("component"))
+        counts = units.select("rep", F.col("size").alias("n_links"))
+    counts = counts.groupBy("rep").agg(F.sum("n_links").alias("others"))
     classes = (
         units.select("rep", "size")
         .join(counts, "rep", "left")

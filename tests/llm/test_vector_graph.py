@@ -67,6 +67,25 @@ def test_links_beside_a_hot_group_are_found(spark, sizes):
     assert np.mean([got[i].component_id == want[i][1] for i in range(len(vectors))]) > 0.95
 
 
+@pytest.mark.parametrize("block", [1024, 16])
+def test_pairs_count_whichever_shard_found_them(spark, block):
+    vectors = _beside_a_hot_group()
+    want = _expected(range(len(vectors)), vectors)
+    rows = [(i, 1, v.tobytes()) for i, v in enumerate(vectors / np.linalg.norm(vectors, axis=1, keepdims=True))]
+    units = spark.createDataFrame([(i, n, bytearray(v)) for i, n, v in rows], "rep long, size long, vector binary")
+    components = spark.createDataFrame([(i, c) for i, (n, c) in want.items() if n], "node long, component long")
+    counts = vector_graph.counted_links(units, components, 0.9, block).groupBy("rep").sum("n_links").collect()
+    assert {r[0]: r[1] for r in counts} == {i: n for i, (n, _) in want.items() if n}
+
+
+def test_links_of_a_component_are_all_counted(spark):
+    vectors = _beside_a_hot_group()
+    want = _expected(range(len(vectors)), vectors)
+    # No single shard of so few vectors finds all links of the large group.
+    got = _result(spark, list(enumerate(vectors)), shard=20, block=30, each=2, target_recall=0.0)
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == want
+
+
 def test_awkward_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [

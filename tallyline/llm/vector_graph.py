@@ -6,7 +6,7 @@ adjacency lists from all its shards are united, and edges are followed both ways
 vector itself, the medoids and every part that these do not reach, which goes on as long as it meets vectors in
 range, then finds each vector's neighbours. The links that it finds make the components, and inside a component every pair
 is verified in double precision and counted once, so that it does not matter which shard found it. A sample of queries against all vectors audits the recall; if it falls short,
-the vectors are dealt to more shards. A shard of very many vectors is split into blocks, and
+the shards are compared exactly, then with more shards for each vector, at last as one shard of all vectors. A shard of very many vectors is split into blocks, and
 every pair of its blocks is searched by itself.
 """
 
@@ -35,6 +35,8 @@ BEAM = 24
 AT_ONCE = 1 << 17
 """Pairs whose vectors are laid side by side at once."""
 AUDITED = 200
+ENOUGH, MOST_AUDITED = 50, 8192
+"""Queries with true links that an audit needs, and the most queries that it draws for that."""
 TARGET_RECALL = 0.95
 _VECTOR = "rep long, size long, vector binary"
 
@@ -196,6 +198,17 @@ def _block_graph(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"rep": ids, "near": [ids[near[near >= 0]].tolist() for near in lists]})
 
 
+def _compare_blocks(rows: pd.DataFrame, threshold: float) -> pd.DataFrame:
+    """As ``_search_blocks``, by comparing all pairs."""
+    ids, vectors, blocks = rows["rep"].to_numpy(), _matrix(rows["vector"].tolist()), rows["block"].to_numpy()
+    linked = vectors @ vectors.T >= threshold
+    np.fill_diagonal(linked, False)
+    if rows["one"].iloc[0] != rows["two"].iloc[0]:
+        linked &= blocks[:, None] != blocks[None, :]
+    some = linked.any(axis=1)
+    return pd.DataFrame({"rep": ids[some], "least": _smallest_reachable(linked, ids)[some]})
+
+
 def _search_blocks(rows: pd.DataFrame, threshold: float) -> pd.DataFrame:
     """Those with links between the two blocks at hand (or inside the one), and the smallest that they reach by these."""
     rows = rows.sort_values("rep", kind="stable").reset_index(drop=True)
@@ -224,23 +237,26 @@ def _search_blocks(rows: pd.DataFrame, threshold: float) -> pd.DataFrame:
     return pd.DataFrame({"rep": ids[some], "least": _smallest_reachable(linked, ids)[some]})
 
 
-def found_links(vectors: DataFrame, centres: np.ndarray, each: int, threshold: float, block: int) -> DataFrame:
-    """``rep, least`` for every vector and pair of blocks in which it has links."""
+def found_links(vectors: DataFrame, centres: np.ndarray, each: int, threshold: float, block: int, exact: bool = False) -> DataFrame:
+    """``rep, least`` for every vector and pair of blocks in which it has links. ``exact`` compares the blocks instead of searching them."""
     dealt = stage(deal(vectors, centres, min(each, len(centres))), "dealt")
     entries = dealt.withColumn("shard", F.explode("shards"))
     n_blocks = entries.groupBy("shard").agg(F.ceil(F.count("*") / block).cast("int").alias("n_blocks"))
     placed = entries.join(F.broadcast(n_blocks), "shard").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("n_blocks")).cast("int"))
-    graphs = placed.select("shard", "block", "rep", "vector").groupBy("shard", "block").applyInPandas(_block_graph, "rep long, near array<long>")
-    # At most the shards of each vector times the degree.
-    united = stage(graphs.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")), "adjacency")
+    if exact:
+        near, links_between = placed.withColumn("near", F.lit(None).cast("array<long>")), _compare_blocks
+    else:
+        graphs = placed.select("shard", "block", "rep", "vector").groupBy("shard", "block").applyInPandas(_block_graph, "rep long, near array<long>")
+        # At most the shards of each vector times the degree.
+        united = stage(graphs.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")), "adjacency")
+        near, links_between = placed.join(united, "rep"), _search_blocks
     pairs = (
-        placed.join(united, "rep")
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
+        near.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
         .withColumn("one", F.least("block", "other"))
         .withColumn("two", F.greatest("block", "other"))
     )
     return pairs.select("shard", "one", "two", "block", "rep", "vector", "near").groupBy("shard", "one", "two").applyInPandas(
-        lambda rows: _search_blocks(rows, threshold), "rep long, least long"
+        lambda rows: links_between(rows, threshold), "rep long, least long"
     )
 
 
@@ -293,23 +309,43 @@ def linked_components(found: DataFrame) -> DataFrame:
     return stage(connected_components(links), "components")
 
 
-def audit(vectors: DataFrame, found: DataFrame, threshold: float, n: int = AUDITED) -> float:
-    """The share of the true links of some queries that were found: the queries against all vectors, in blocks."""
-    rows = vectors.orderBy(F.xxhash64(F.lit("audit"), "rep"), "rep").limit(n).select("rep", "vector").collect()
-    ids, queries = np.array([r.rep for r in rows], np.int64), _matrix([r.vector for r in rows])
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        true = np.zeros(len(ids), np.int64)
-        for batch in batches:
-            near = queries @ _matrix(batch["vector"].to_pylist()).T >= threshold
-            near &= ids[:, None] != batch["rep"].to_numpy()[None, :]
-            true += near @ batch["size"].to_numpy()
-        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(true)], names=["rep", "links"])
+def audit(vectors: DataFrame, counts: DataFrame, threshold: float, n: int = AUDITED) -> float | None:
+    """Recall of the links, averaged over the vectors that have true links: some queries against all vectors, in blocks.
 
-    links = vectors.mapInArrow(compare, "rep long, links long").groupBy("rep").agg(F.sum("links").alias("links"))
-    both = links.join(found.groupBy("rep").agg(F.sum("n_links").alias("n_links")), "rep", "left")
-    total, got = both.select(F.sum("links"), F.sum(F.least("links", F.coalesce("n_links", F.lit(0))))).first()
-    return 1.0 if not total else got / total
+    Queries are drawn by hash from the vectors with found links and, ten times as many, from those without, and count for as
+    many as they stand for, so that a large group does not speak for the rest. Where too few of them have true links, more are
+    drawn. None if links are so rare that none of ``MOST_AUDITED`` has one.
+    """
+    got = counts.groupBy("rep").agg(F.sum("n_links").alias("got")).filter("got > 0")
+    drawn = stage(vectors.join(got, "rep", "left").select("rep", "vector", F.coalesce("got", F.lit(0)).alias("got")), "audited")
+    n_with, n_all = drawn.filter("got > 0").count(), drawn.count()
+    order = F.xxhash64(F.lit("audit"), "rep"), "rep"
+    while True:
+        some = drawn.filter("got > 0").orderBy(*order).limit(n).collect()
+        others = drawn.filter("got = 0").orderBy(*order).limit(min(10 * n, MOST_AUDITED)).collect()
+        rows = [*some, *others]
+        ids, queries, found = np.array([r.rep for r in rows], np.int64), _matrix([r.vector for r in rows]), np.array([r.got for r in rows])
+        stands_for = np.repeat([n_with / max(len(some), 1), (n_all - n_with) / max(len(others), 1)], [len(some), len(others)])
+
+        def compare(batches: Iterator[pa.RecordBatch], ids: np.ndarray = ids, queries: np.ndarray = queries) -> Iterator[pa.RecordBatch]:
+            true = np.zeros(len(ids), np.int64)
+            for batch in batches:
+                for k in range(0, len(batch), BLOCK):
+                    part = batch.slice(k, BLOCK)
+                    near = queries @ _matrix(part["vector"].to_pylist()).T >= threshold
+                    near &= ids[:, None] != part["rep"].to_numpy()[None, :]
+                    true += near @ part["size"].to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(ids[true > 0]), pa.array(true[true > 0])], names=["rep", "links"])
+
+        links = {r.rep: r.links for r in vectors.mapInArrow(compare, "rep long, links long").groupBy("rep").agg(F.sum("links").alias("links")).collect()}
+        true = np.array([links.get(i, 0) for i in ids.tolist()], np.int64)
+        if (true > 0).sum() >= ENOUGH or 10 * n >= min(n_all, MOST_AUDITED):
+            break
+        n *= 4
+    if not true.any():
+        return 1.0 if len(rows) == n_all else None
+    recall = np.minimum(found, true) / np.maximum(true, 1)
+    return float(np.average(recall, weights=stands_for * (true > 0)))
 
 
 def near_duplicates(
@@ -327,7 +363,7 @@ def near_duplicates(
     Two vectors are linked when their cosine in double precision is at least ``threshold``. Vectors that are
     null, empty or zero or hold null or non-finite numbers are linked with nothing and are components of their own, and so are
     vectors with a null id. Equal vectors are linked; of one id that repeats, each row counts. Vectors must be
-    of one length. An empty table gives an empty result. Writes several tables on the way.
+    of one length. ``audited_recall`` is null where links are too rare to tell. An empty table gives an empty result. Writes several tables on the way.
     """
     values = F.col(vector_col).cast("array<double>")
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), values.alias("values"))
@@ -336,13 +372,18 @@ def near_duplicates(
     components, counts, recall = None, None, 1.0
     if n:
         centres = centroids(units, int(min(MAX_CENTROIDS, max(1, n // shard))))
+        exact = False
         while True:
-            components = linked_components(found_links(units, centres, each, threshold, block))
+            components = linked_components(found_links(units, centres, each, threshold, block, exact))
             counts = stage(counted_links(units, components, threshold, block), "vector-links")
             recall = audit(units, counts, threshold)
-            if recall >= target_recall or each >= len(centres):
+            if recall is None or recall >= target_recall or (exact and len(centres) == 1):
                 break
-            each *= 2
+            # First the same shards, then larger ones, at last one of all vectors, which misses nothing.
+            each = 2 * each if exact else each
+            exact = True
+            if each >= len(centres):
+                centres, each = centres[:1], 1
     else:
         components = units.select(F.col("rep").alias("node"), F.col("rep").alias("component"))
         counts = units.select("rep", F.col("size").alias("n_links"))
@@ -366,5 +407,5 @@ def near_duplicates(
         F.when(F.col("usable"), F.col("links")).otherwise(0).cast("long").alias("n_links"),
         component.alias("component_id"),
         F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept"),
-        F.lit(float(recall)).alias("audited_recall"),
+        F.lit(recall).cast("double").alias("audited_recall"),
     )

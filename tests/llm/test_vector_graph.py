@@ -86,6 +86,39 @@ def test_links_of_a_component_are_all_counted(spark):
     assert {r.vec_id: (r.n_links, r.component_id) for r in got} == want
 
 
+def _units(spark, vectors):
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    return spark.createDataFrame([(i, 1, bytearray(v.tobytes())) for i, v in enumerate(unit)], "rep long, size long, vector binary")
+
+
+def test_audit_is_not_outweighed_by_a_large_group(spark):
+    vectors = _beside_a_hot_group()
+    want = _expected(range(len(vectors)), vectors)
+    found = {i: n for i, (n, _) in want.items() if n and i < 400}
+    counts = spark.createDataFrame(list(found.items()), "rep long, n_links long")
+    true = sum(n > 0 for n, _ in want.values())
+    recall = vector_graph.audit(_units(spark, vectors), counts, 0.9)
+    assert recall == pytest.approx(len(found) / true) and recall < 0.95
+
+
+def test_audit_sees_rare_links(spark):
+    rng = np.random.default_rng(4)
+    vectors = rng.normal(size=(3000, 48))
+    vectors[1] = vectors[0] + 0.001
+    nothing = spark.createDataFrame([], "rep long, n_links long")
+    assert vector_graph.audit(_units(spark, vectors), nothing, 0.9) == 0.0
+
+
+def test_a_missed_target_ends_in_an_exact_comparison(spark):
+    rng = np.random.default_rng(8)
+    vectors = np.concatenate([rng.normal(size=(300, 24)), np.zeros((300, 24))])
+    vectors[300:] = vectors[:300] + rng.normal(0, 0.44, (300, 24))
+    vectors = vectors.astype(np.float32).astype(np.float64)
+    want = _expected(range(len(vectors)), vectors)
+    got = _result(spark, list(enumerate(vectors)), shard=20, block=30, each=1, target_recall=1.0)
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == want and got[0].audited_recall == 1.0
+
+
 def test_awkward_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [

@@ -49,7 +49,7 @@ def mixing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sharding_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.place_rows(_documents(spark, sf_dir).select("doc_id"), ["doc_id"], SHARDS)
+    return sharding.place_rows(_documents(spark, sf_dir), ["doc_id"], SHARDS)
 
 
 def ngram_join_query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,8 +4,8 @@ from collections import Counter
 
 import pytest
 
-from tallyline.llm import sharding
-from tests.llm.helpers import AWKWARD, documents
+from tallyline.llm import queries, sharding
+from tests.llm.helpers import AWKWARD, SF, documents
 
 
 def _plain_table(shards, slots):
@@ -69,3 +69,10 @@ def test_empty_table_and_files(spark, tmp_path):
     df = documents(spark, [f"t{i}" for i in range(50)])
     sharding.write_shards(sharding.place_rows(df, ["doc_id"], ["a", "b"]), str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == 50
+
+
+def test_the_query_places_whole_documents(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    placed = queries.queries()["op5_sharding"](spark, SF)
+    assert placed.columns == [*docs.columns, "slot", "shard"]
+    assert placed.select(*docs.columns).exceptAll(docs).isEmpty() and placed.count() == docs.count()

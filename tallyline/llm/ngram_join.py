@@ -1,9 +1,9 @@
-"""Documents that share most of their word n-grams: a MinHash LSH forest with exact verification.
+"""Documents that share most of their word n-grams: MinHash LSH with exact verification.
 
-Texts with one and the same set of shingles form a class, of which only the smallest id goes on. A forest
-of prefix tries over the MinHash signatures brings classes together that share a prefix in some trie;
-the prefixes are shortened, trie by trie, until a pair of the threshold's similarity is found with the
-target recall. The classes that hang together this way are compared exactly, block by block, on their shingles.
+Texts with one and the same set of shingles form a class, of which only the smallest id goes on. Classes
+that share one of several prefixes of their MinHash signatures are brought together. How long each prefix
+is, is fixed beforehand, by the formula for the recall of a pair of the threshold's similarity, so that this amounts
+to banding. The classes that hang together this way are compared exactly, block by block, on their shingles.
 """
 
 from __future__ import annotations

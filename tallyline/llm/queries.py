@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tallyline.llm import (
     exact_dedup,
+    filter_audit,
     katz,
     licenses,
     mixing,
@@ -72,6 +73,10 @@ def token_counts_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_documents(spark, sf_dir))
 
 
+def filter_audit_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_documents(_documents(spark, sf_dir), _table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_licenses": licenses_query,
@@ -84,6 +89,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_packing": packing_query,
         "op9_exact_dedup": exact_dedup_query,
         "op10_token_counts": token_counts_query,
+        "op12_filter_audit": filter_audit_query,
     }
 
 
@@ -133,6 +139,57 @@ FROM texts WINDOW same AS (PARTITION BY text_sha256)
 """
 
 
+FILTER_AUDIT_SQL = r"""
+WITH texts AS (
+    SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
+        regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words
+    FROM documents
+),
+firsts AS (SELECT text, min(doc_id) AS first_id FROM texts GROUP BY text),
+marks AS (
+    SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic FROM labels GROUP BY doc_id
+),
+fails AS (
+    SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+        CASE WHEN len(words) < 200 THEN 'A' ELSE '' END
+        || CASE WHEN 100 * len(list_distinct(words)) < 50 * len(words) THEN 'B' ELSE '' END
+        || CASE WHEN 100 * length(regexp_replace(t.text, '[^A-Z]', '', 'g')) > 3 * length(t.text) THEN 'C' ELSE '' END
+        || CASE WHEN regexp_matches(t.text, '[#$%&*|]') THEN 'D' ELSE '' END
+        || CASE WHEN t.doc_id > first_id THEN 'E' ELSE '' END AS failed
+    FROM texts t JOIN firsts f ON f.text = t.text LEFT JOIN marks m ON m.doc_id = t.doc_id
+),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l),
+orders AS (
+    SELECT a.l || b.l || c.l || d.l || e.l AS filter_order
+    FROM letters a, letters b, letters c, letters d, letters e
+    WHERE len(list_distinct([a.l, b.l, c.l, d.l, e.l])) = 5
+),
+removed_at AS (
+    SELECT part, filter_order, good, toxic, failed,
+        CASE WHEN failed = '' THEN 6
+            ELSE list_min(list_transform(string_split(failed, ''), lambda x: position(x IN filter_order))) END AS gone
+    FROM fails CROSS JOIN orders
+),
+steps AS (
+    SELECT part, filter_order, step, filter_order[step] AS l, gone, good, toxic, failed
+    FROM removed_at CROSS JOIN (SELECT unnest([1, 2, 3, 4, 5]) AS step)
+),
+summed AS (
+    SELECT part, filter_order, CAST(step AS INTEGER) AS step, l,
+        count(*) FILTER (gone > step) AS kept,
+        count(*) FILTER (gone = step) AS removed,
+        count(*) FILTER (gone < step AND contains(failed, l)) AS redundant,
+        count(*) FILTER (failed = l) AS unique_fails,
+        count(*) FILTER (gone = step AND good) AS good_lost,
+        count(*) FILTER (gone = step AND toxic) AS toxic_lost
+    FROM steps GROUP BY ALL
+)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+    CAST(sum(removed) OVER (PARTITION BY part, l) AS BIGINT) AS shapley
+FROM summed
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """What the results must equal, on tables in which ids are unique."""
-    return {"op1_licenses": _licenses_sql(), "op9_exact_dedup": EXACT_DEDUP_SQL}
+    return {"op1_licenses": _licenses_sql(), "op9_exact_dedup": EXACT_DEDUP_SQL, "op12_filter_audit": FILTER_AUDIT_SQL}

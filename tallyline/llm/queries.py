@@ -5,10 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tallyline.llm import (
     exact_dedup,
     filter_audit,
+    hard_negatives,
+    host_text,
     katz,
     licenses,
     mixing,
@@ -73,10 +76,21 @@ def token_counts_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_documents(spark, sf_dir))
 
 
+def host_text_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return host_text.extract_text(_table(spark, sf_dir, "pages"))
+
+
 def filter_audit_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit_documents(_documents(spark, sf_dir), _table(spark, sf_dir, "labels"))
 
 
+def hard_negatives_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    id_ = F.col("vec_id")
+    label = F.when(id_ % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine_hard_negatives(vectors.withColumn("label", label), id_ % 100 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_licenses": licenses_query,
@@ -89,7 +103,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_packing": packing_query,
         "op9_exact_dedup": exact_dedup_query,
         "op10_token_counts": token_counts_query,
+        "op11_host_text": host_text_query,
         "op12_filter_audit": filter_audit_query,
+        "op13_hard_negatives": hard_negatives_query,
     }
 
 
@@ -190,6 +206,36 @@ FROM summed
 """
 
 
+HARD_NEGATIVES_SQL = """
+WITH usable AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+        list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS q
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+scored AS (
+    SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+    FROM usable a JOIN usable b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND len(a.q) = len(b.q)
+),
+positives AS (
+    SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM scored WHERE same
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5
+)
+SELECT p.anchor_id, positive_id,
+    CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other_id) AS INTEGER) AS rank,
+    other_id AS negative_id, positive_score, score AS negative_score
+FROM positives p JOIN scored s ON s.anchor_id = p.anchor_id AND NOT same
+    AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+QUALIFY row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other_id) <= 5
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """What the results must equal, on tables in which ids are unique."""
-    return {"op1_licenses": _licenses_sql(), "op9_exact_dedup": EXACT_DEDUP_SQL, "op12_filter_audit": FILTER_AUDIT_SQL}
+    return {
+        "op1_licenses": _licenses_sql(),
+        "op9_exact_dedup": EXACT_DEDUP_SQL,
+        "op12_filter_audit": FILTER_AUDIT_SQL,
+        "op13_hard_negatives": HARD_NEGATIVES_SQL,
+    }

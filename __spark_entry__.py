@@ -26,6 +26,7 @@ from tallyline.operators import (
 )
 from tallyline.plans import gate, report, suites
 from tallyline.sources import sample_tables, tables
+from tallyline.sources.staging import stage
 from tallyline.spec import ReportSpec
 
 try:
@@ -171,43 +172,46 @@ def _report_scalars(trades: DataFrame) -> DataFrame:
 # Report pieces
 
 
+def _ranked(timeline: DataFrame, spec: ReportSpec = EVENT_REPORT) -> DataFrame:
+    return ranking.rank_steps(stage(ranking.contender_steps(timeline, spec), "contenders"), spec)
+
+
 def _rank_by_symbol(timeline: DataFrame) -> DataFrame:
-    ranked = ranking.dense_rank_by_day(
-        measures.window_totals(timeline), "sum_volume_symbol_prev_7d", "rank_volume_symbol_prev_7d"
-    )
-    return ranked.drop("window_trades")
+    rows = ranking.ranks_by_day(_ranked(timeline), ranking.VOLUME, "rank_volume_symbol_prev_7d")
+    return rows.drop("trades").withColumnRenamed("value", "sum_volume_symbol_prev_7d")
 
 
 def _rank_by_login(timeline: DataFrame) -> DataFrame:
-    logins = measures.login_totals(measures.window_totals(timeline))
-    return ranking.dense_rank_by_day(logins, "sum_count_prev_7d", "rank_count_prev_7d")
+    rows = ranking.ranks_by_day(_ranked(timeline), ranking.COUNT, "rank_count_prev_7d")
+    return rows.drop("value", "symbol").withColumnRenamed("trades", "sum_count_prev_7d")
+
+
+def _volume_by_symbol(timeline: DataFrame) -> DataFrame:
+    rows = ranking.steps_by_day(ranking.contender_steps(timeline, EVENT_REPORT), ranking.VOLUME)
+    return rows.drop("trades").withColumnRenamed("value", "sum_volume_symbol_prev_7d")
+
+
+def _count_by_login(timeline: DataFrame) -> DataFrame:
+    rows = ranking.steps_by_day(ranking.contender_steps(timeline, EVENT_REPORT), ranking.COUNT)
+    return rows.drop("value", "symbol").withColumnRenamed("trades", "sum_count_prev_7d")
 
 
 def _joined_measures(trades: DataFrame, users: DataFrame) -> DataFrame:
-    timeline = _timeline(trades, users)
-    rows = spine.report_grid(trades, users, EVENT_REPORT)
-    for measure in (
-        measures.rolling_volume(timeline),
-        measures.cumulative_volume(timeline),
-        measures.calendar_volume(timeline, EVENT_REPORT),
-        measures.first_trade(timeline),
-    ):
-        rows = spine.attach(rows, measure, ["dt_report", *spine.KEY])
+    measured = measures.report_measures(_timeline(trades, users), EVENT_REPORT)
+    rows = spine.aligned_grid(spine.key_currencies(trades, users), measured, spine.KEY, EVENT_REPORT)
     return rows.fillna(0, ["sum_volume_prev_7d", "sum_volume_prev_all", EVENT_REPORT.month_column])
 
 
 def _joined_symbol_rank(trades: DataFrame, users: DataFrame) -> DataFrame:
-    ranks = _rank_by_symbol(_timeline(trades, users)).drop("sum_volume_symbol_prev_7d")
-    rows = spine.attach(
-        spine.report_grid(trades, users, EVENT_REPORT), ranks, ["dt_report", "login_hash", "symbol"]
-    )
-    return rows.fillna(0, ["rank_volume_symbol_prev_7d"])
+    ranks, _ = ranking.rank_arrays(_timeline(trades, users), EVENT_REPORT)
+    keys, on = spine.key_currencies(trades, users), ["login_hash", "symbol"]
+    return spine.daily_grid(keys, ranks, on, "symbol_ranks", "rank_volume_symbol_prev_7d", EVENT_REPORT)
 
 
 def _joined_login_rank(trades: DataFrame, users: DataFrame) -> DataFrame:
-    ranks = _rank_by_login(_timeline(trades, users)).drop("sum_count_prev_7d")
-    rows = spine.attach(spine.report_grid(trades, users, EVENT_REPORT), ranks, ["dt_report", "login_hash"])
-    return rows.fillna(0, ["rank_count_prev_7d"])
+    _, ranks = ranking.rank_arrays(_timeline(trades, users), EVENT_REPORT)
+    keys = spine.key_currencies(trades, users)
+    return spine.daily_grid(keys, ranks, ["login_hash"], "login_ranks", "rank_count_prev_7d", EVENT_REPORT)
 
 
 def _report_digest(trades: DataFrame, users: DataFrame) -> DataFrame:
@@ -232,8 +236,7 @@ def _report_digest(trades: DataFrame, users: DataFrame) -> DataFrame:
 
 def _numbered_grid(name: str) -> Callable[[DataFrame, DataFrame], DataFrame]:
     def query(trades: DataFrame, users: DataFrame) -> DataFrame:
-        order = numbering.key_order("dt_report", *report.REPORT_KEY)
-        return numbering.with_row_number(spine.report_grid(trades, users, EVENT_REPORT), order, name)
+        return numbering.numbered_grid(spine.key_currencies(trades, users), numbering.key_order(*report.REPORT_KEY), EVENT_REPORT, name)
 
     return query
 
@@ -242,6 +245,20 @@ def _timeline_query(query: Callable[[DataFrame], DataFrame]) -> Query:
     return _on_both(lambda trades, users: query(_timeline(trades, users)))
 
 
+def _on_double_volumes(query: Callable[[DataFrame, DataFrame], DataFrame]) -> Query:
+    """The dense trades with their prices for volumes: doubles whose plain sums depend on the order of addition."""
+
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        trades = sample_tables.event_trades(spark, sf)
+        return query(trades.withColumn("volume", F.col("open_price")), sample_tables.users(spark, sf))
+
+    return run
+
+
+def _on_double_timeline(query: Callable[[DataFrame], DataFrame]) -> Query:
+    return _on_double_volumes(lambda trades, users: query(_timeline(trades, users)))
+
+
 # Checks
 
 
@@ -312,17 +329,22 @@ def queries() -> dict[str, Query]:
         "report_grid": _on_both(lambda t, u: spine.report_grid(t, u, EVENT_REPORT)),
         "sum_volume_prev_7d": _timeline_query(measures.rolling_volume),
         "sum_volume_prev_all": _timeline_query(measures.cumulative_volume),
-        "sum_volume_symbol_prev_7d": _timeline_query(lambda tl: measures.window_totals(tl).drop("window_trades")),
-        "sum_count_prev_7d": _timeline_query(lambda tl: measures.login_totals(measures.window_totals(tl))),
+        "sum_volume_symbol_prev_7d": _timeline_query(_volume_by_symbol),
+        "sum_volume_prev_7d_double": _on_double_timeline(measures.rolling_volume),
+        "sum_volume_prev_all_double": _on_double_timeline(measures.cumulative_volume),
+        "sum_volume_symbol_prev_7d_double": _on_double_timeline(_volume_by_symbol),
+        "sum_count_prev_7d": _timeline_query(_count_by_login),
         "sum_volume_month": _timeline_query(lambda tl: measures.calendar_volume(tl, EVENT_REPORT)),
         "date_first_trade": _timeline_query(measures.first_trade),
         # Ranks and numbers
         "rank_volume_symbol_prev_7d": _timeline_query(_rank_by_symbol),
+        "rank_volume_symbol_prev_7d_double": _on_double_timeline(_rank_by_symbol),
         "rank_count_prev_7d": _timeline_query(_rank_by_login),
         "report_row_number": _on_both(_numbered_grid("row_number")),
         "report_serial_id": _on_both(_numbered_grid("id")),
         # The report
         "trading_report": _on_both(lambda t, u: report.trading_report(t, u, EVENT_REPORT)),
+        "trading_report_double": _on_double_volumes(lambda t, u: report.trading_report(t, u, EVENT_REPORT)),
         "trading_report_122d_digest": _on_both_lineitem(_report_digest),
         # Duplicates
         "dup_count_all": _on_trades(duplicates.duplicate_count),

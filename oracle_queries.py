@@ -5,6 +5,8 @@ None of the plans under ``tallyline`` is repeated here, so agreement of the two
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 USERS = """
 users AS (
   SELECT
@@ -129,7 +131,11 @@ def over_report(select: str, trades: str = EVENT_TRADES, report_range: tuple = E
     return with_tables(USERS, trades, JOINED, days(report_range), GRID) + select
 
 
-def attached(report_range: tuple) -> str:
+def summed(keys: str, name: str, condition: str) -> str:
+    return measure(keys, f"{TOTAL} AS {name}", condition)
+
+
+def attached(report_range: tuple, total: Callable[[str, str, str], str] = summed) -> str:
     month = report_range[4]
     return f"""SELECT dt_report, login_hash, server_hash, symbol, currency,
   coalesce(sum_volume_prev_7d, 0) AS sum_volume_prev_7d,
@@ -137,13 +143,14 @@ def attached(report_range: tuple) -> str:
   coalesce({month}, 0) AS {month},
   date_first_trade
 FROM grid
-LEFT JOIN ({ROLLING}) USING (dt_report, {KEY})
-LEFT JOIN ({CUMULATIVE}) USING (dt_report, {KEY})
-LEFT JOIN ({calendar(report_range)}) USING (dt_report, {KEY})
+LEFT JOIN ({total(KEY, "sum_volume_prev_7d", IN_WINDOW)}) USING (dt_report, {KEY})
+LEFT JOIN ({total(KEY, "sum_volume_prev_all", SO_FAR)}) USING (dt_report, {KEY})
+LEFT JOIN ({total(KEY, month, in_month(report_range))}) USING (dt_report, {KEY})
 LEFT JOIN ({FIRST_TRADE}) USING (dt_report, {KEY})"""
 
 
-def report(trades: str, report_range: tuple) -> str:
+def report(trades: str, report_range: tuple, total: Callable[[str, str, str], str] = summed) -> str:
+    by_symbol = rank(total("login_hash, symbol", "sum_volume_symbol_prev_7d", IN_WINDOW), "sum_volume_symbol_prev_7d", "rank_volume_symbol_prev_7d")
     select = f"""SELECT
   {NUMBER} AS id,
   strftime(dt_report, '%Y-%m-%d') AS dt_report,
@@ -154,13 +161,41 @@ def report(trades: str, report_range: tuple) -> str:
   {report_range[4]},
   date_first_trade,
   {NUMBER} AS row_number
-FROM ({attached(report_range)}) AS measured
-LEFT JOIN ({RANK_BY_SYMBOL}) USING (dt_report, login_hash, symbol)
+FROM ({attached(report_range, total)}) AS measured
+LEFT JOIN ({by_symbol}) USING (dt_report, login_hash, symbol)
 LEFT JOIN ({RANK_BY_LOGIN}) USING (dt_report, login_hash)
 ORDER BY row_number DESC"""
     return over_report(select, trades, report_range)
 
 
+# Fixed value: every price of the trades is a whole multiple of 2 to the minus 59.
+SCALE = 59
+DOUBLE_TRADES = EVENT_TRADES.replace("CAST(value AS DECIMAL(18,2)) AS volume", "value AS volume")
+
+
+def exact_measure(keys: str, name: str, condition: str) -> str:
+    """The sum of volumes that are doubles, as whole numbers, rounded once to the nearest double with ties to even."""
+    return f"""SELECT dt_report, {keys},
+  CAST(CAST(upper + CASE WHEN rest * 2 > size OR (rest * 2 = size AND size > 1 AND upper % 2 = 1) THEN 1 ELSE 0 END AS BIGINT) AS DOUBLE)
+    * pow(2.0, places - {SCALE}) AS {name}
+FROM (
+  SELECT *, whole >> places AS upper, CAST(1 AS HUGEINT) << places AS size, whole - ((whole >> places) << places) AS rest
+  FROM (
+    SELECT *, CAST(greatest(length(bin(whole)) - 53, 0) AS INTEGER) AS places
+    FROM (SELECT dt_report, {keys}, sum(CAST(volume * {2.0**SCALE:.1f} AS HUGEINT)) AS whole FROM days JOIN joined ON {condition} GROUP BY ALL)
+  )
+)"""
+
+
+def double_report(select: str) -> str:
+    return over_report(select, DOUBLE_TRADES)
+
+
+EXACT_BY_SYMBOL = exact_measure("login_hash, symbol", "sum_volume_symbol_prev_7d", IN_WINDOW)
+EXACT_ROLLING = exact_measure(KEY, "sum_volume_prev_7d", IN_WINDOW)
+EXACT_CUMULATIVE = exact_measure(KEY, "sum_volume_prev_all", SO_FAR)
+
+
 def trade_days(condition: str) -> str:
     return over_report(f"""SELECT dt_report, ticket_hash, login_hash, server_hash, symbol, close_time, currency
 FROM days JOIN joined ON {condition}""")
@@ -377,6 +412,13 @@ FROM grid LEFT JOIN ({RANK_BY_LOGIN}) USING (dt_report, login_hash)"""),
     "sum_volume_prev_7d": over_report(ROLLING),
     "sum_volume_prev_all": over_report(CUMULATIVE),
     "sum_volume_symbol_prev_7d": over_report(BY_SYMBOL),
+    "sum_volume_prev_7d_double": double_report(EXACT_ROLLING),
+    "sum_volume_prev_all_double": double_report(EXACT_CUMULATIVE),
+    "sum_volume_symbol_prev_7d_double": double_report(EXACT_BY_SYMBOL),
+    "rank_volume_symbol_prev_7d_double": double_report(
+        rank(EXACT_BY_SYMBOL, "sum_volume_symbol_prev_7d", "rank_volume_symbol_prev_7d")
+    ),
+    "trading_report_double": report(DOUBLE_TRADES, EVENT_RANGE, exact_measure),
     "sum_count_prev_7d": over_report(BY_LOGIN),
     "sum_volume_month": over_report(calendar(EVENT_RANGE)),
     "date_first_trade": over_report(FIRST_TRADE),
@@ -498,6 +540,10 @@ DATES = {
         "sum_volume_prev_7d",
         "sum_volume_prev_all",
         "sum_volume_symbol_prev_7d",
+        "sum_volume_prev_7d_double",
+        "sum_volume_prev_all_double",
+        "sum_volume_symbol_prev_7d_double",
+        "rank_volume_symbol_prev_7d_double",
         "sum_count_prev_7d",
         "sum_volume_month",
         "date_first_trade",

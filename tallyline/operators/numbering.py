@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyline.sources.staging import stage
+from tallyline.spec import ReportSpec
 
 # Fixed value: monotonically_increasing_id keeps the partition number above its 33 lowest bits.
 ROW_BITS = 33
@@ -51,3 +52,15 @@ def with_position(placed: DataFrame) -> DataFrame:
 def with_row_number(rows: DataFrame, order: list[Column], name: str = "row_number") -> DataFrame:
     """``row_number`` over the whole table."""
     return with_position(sorted_table(rows, order, "numbered")).withColumnRenamed("position", name)
+
+
+def numbered_grid(keys: DataFrame, order: list[Column], spec: ReportSpec, name: str = "row_number") -> DataFrame:
+    """Every report day of every key, numbered by day and then in ``order``, which must tell all keys apart.
+
+    Every day lists the same keys, so a row's number follows from its day and the position of its key: only the keys are sorted and written.
+    """
+    placed = sorted_table(keys, order, "numbered-keys")
+    n_keys = placed.count()
+    day = F.explode(F.sequence(spec.first_day(), spec.last_day())).alias("dt_report")
+    number = F.datediff("dt_report", spec.first_day()).cast("long") * n_keys + F.col("position")
+    return with_position(placed).select(day, *keys.columns, "position").select("dt_report", *keys.columns, number.alias(name))

@@ -1,12 +1,16 @@
 """The report days, and joining them to trades and keys.
 
 Days are attached by exploding an array of dates on each row. There is no join, so nothing is
-compared pairwise and no side has to be broadcast.
+compared pairwise and no side has to be broadcast. Measures meet the keys as timelines, one row per key, and
+are spelled out together.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Mapping, Sequence
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyline.functions.report_days import close_day, days_between, report_days, rolling_days
@@ -62,3 +66,65 @@ def attach(grid: DataFrame, measure: DataFrame, keys: list[str]) -> DataFrame:
     shuffled for the join, which lets Spark split the grid rows of a key that has very many.
     """
     return grid.join(stage(measure, "measure"), keys, "left")
+
+
+def aligned(measures: Mapping[str, DataFrame], on: Sequence[str], spec: ReportSpec) -> DataFrame:
+    """Several measures on one timeline: a row per key with ``stretches`` of days over which none of them changes.
+
+    Each measure has the columns ``on``, ``from_day``, ``to_day`` and one named as it is, and at most one value of a key on a day.
+    The timelines of a key are cut at the union of their change points, between which every measure holds the value it last began
+    with, or null after its end. Days outside the report are cut off. A null in ``on`` is no key. All measures are shuffled once, by key.
+    """
+    first, end = spec.first_day(), spec.last_day()
+
+    def changes(name: str, measure: DataFrame) -> DataFrame:
+        begins = F.struct(F.greatest("from_day", first).alias("day"), F.struct(F.lit(True).alias("begins"), F.col(name).alias("value")).alias(name))
+        ends = F.struct(
+            F.date_add("to_day", 1).alias("day"),
+            F.struct(F.lit(False).alias("begins"), F.lit(None).cast(measure.schema[name].dataType).alias("value")).alias(name),
+        )
+        inside = measure.filter((F.col("from_day") <= F.col("to_day")) & (F.col("to_day") >= first) & (F.col("from_day") <= end))
+        return inside.dropna(subset=list(on)).select(*on, F.inline(F.array(begins, ends))).filter(F.col("day") <= end)
+
+    points = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [changes(name, df) for name, df in measures.items()])
+    # A stretch that begins on the day after another's end begins: true is the larger.
+    per_day = points.repartition(*on).groupBy(*on, "day").agg(*[F.max(name).alias(name) for name in measures])
+    per_key = Window.partitionBy(*on).orderBy("day")
+    so_far = per_key.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    held = per_day.select(
+        *on,
+        F.col("day").alias("from_day"),
+        F.coalesce(F.date_sub(F.lead("day").over(per_key), 1), end).alias("to_day"),
+        *[F.last(name, ignorenulls=True).over(so_far).getField("value").alias(name) for name in measures],
+    )
+    return held.groupBy(*on).agg(F.sort_array(F.collect_list(F.struct("from_day", "to_day", *measures))).alias("stretches"))
+
+
+def aligned_grid(keys: DataFrame, measures: Mapping[str, DataFrame], on: Sequence[str], spec: ReportSpec) -> DataFrame:
+    """Every report day of every row of ``keys``, with the measures on that day, null where there are none.
+
+    A left outer join of all measures at once: the keys meet the aligned timeline of their measures, one compact row, and only then are the days
+    spelled out. The timelines are written, so that Spark may split the shuffled keys of one timeline that very many share.
+    """
+    timeline = stage(aligned(measures, on, spec), "aligned")
+    whole = timeline.schema["stretches"].dataType
+    joined = keys.join(timeline, list(on), "left")
+    # Before its first change and without a timeline a key has no measure.
+    opening = F.struct(
+        spec.first_day().alias("from_day"),
+        F.coalesce(F.date_sub(F.get("stretches", F.lit(0))["from_day"], 1), spec.last_day()).alias("to_day"),
+        *[F.lit(None).cast(whole.elementType[name].dataType).alias(name) for name in measures],
+    )
+    covered = F.concat(F.array(opening), F.coalesce("stretches", F.array().cast(whole)))
+    rows = joined.select(*keys.columns, F.inline(covered)).filter(F.col("from_day") <= F.col("to_day"))
+    return rows.select(F.explode(F.sequence("from_day", "to_day")).alias("dt_report"), *keys.columns, *measures)
+
+
+def daily_grid(keys: DataFrame, values: DataFrame, on: Sequence[str], column: str, name: str, spec: ReportSpec) -> DataFrame:
+    """Every report day of every row of ``keys`` with the day's entry of the array ``column`` as ``name``; 0 where there is none.
+
+    ``values`` must be a written table of one row per ``on``, such as ``ranking.rank_arrays`` makes. A null in ``on`` matches nothing.
+    """
+    joined = keys.join(values.select(*on, column), list(on), "left")
+    entry = F.coalesce(F.get(column, F.datediff("dt_report", spec.first_day())), F.lit(0))
+    return on_days(joined, report_days(spec)).select("dt_report", *keys.columns, entry.alias(name))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tallyline.operators.accounts import ACCOUNT, account_currencies
 from tallyline.operators.measures import daily_activity, timelines
 from tallyline.operators.numbering import key_order, sorted_table, with_position
-from tallyline.operators.ranking import COUNT, VOLUME, contenders, rank_contenders, ranks_per_key
+from tallyline.operators.ranking import rank_arrays
 from tallyline.operators.spine import KEY
 from tallyline.sources.staging import stage
 from tallyline.spec import ReportSpec
@@ -54,18 +54,6 @@ def staged_timelines(trades: DataFrame, users: DataFrame, spec: ReportSpec) -> D
     return stage(timeline.withColumn("key_id", F.monotonically_increasing_id()), "timelines")
 
 
-def rank_arrays(timeline: DataFrame, spec: ReportSpec) -> tuple[DataFrame, DataFrame]:
-    """The ranks per day of each (login, symbol) by volume, and of each login by trade count."""
-    rivals = stage(contenders(timeline), "contenders")
-    # Written, so that Spark may split the shuffled keys of a login that has many.
-    ranks = stage(ranks_per_key(rank_contenders(rivals), ["kind", "login_hash", "symbol"], spec), "rank-arrays")
-    of_volume, of_count = ranks.filter(F.col("kind") == VOLUME), ranks.filter(F.col("kind") == COUNT)
-    return (
-        of_volume.select("login_hash", "symbol", F.col("ranks").alias("symbol_ranks")),
-        of_count.select("login_hash", F.col("ranks").alias("login_ranks")),
-    )
-
-
 def report_keys(trades: DataFrame, users: DataFrame, spec: ReportSpec) -> ReportKeys:
     timeline = staged_timelines(trades, users, spec)
     named = timeline.select(*KEY, "key_id").join(account_currencies(users), ACCOUNT)

@@ -8,7 +8,7 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
-from tallyline.operators import accounts, duplicates, measures, ranking, spine
+from tallyline.operators import accounts, duplicates, measures, numbering, ranking, spine
 from tallyline.plans import report, suites
 from tallyline.sources import sample_tables
 from tallyline.sources.staging import stage
@@ -103,6 +103,42 @@ def test_ties_of_a_third_of_the_rows_are_split(spark, skew_sensitive):
     assert ranked.filter("rank <> 5000 - trades").count() == 0
 
 
+def test_no_day_is_spelled_out_to_rank(spark, monkeypatch):
+    """Steps and distinct values are shuffled, days are not: the only explode is that of the tasks' counts."""
+    plans = {}
+    monkeypatch.setattr(ranking, "stage", lambda df, label: plans.__setitem__(label, plan(df)) or stage(df, label))
+    trades, users = sample_tables.event_trades(spark, SF_DIR), sample_tables.users(spark, SF_DIR)
+    timeline = report.staged_timelines(trades, users, SPEC)
+    ranking.rank_arrays(timeline, SPEC)
+    assert set(plans) == {"contenders", "rank-values", "rank-offsets", "rank-arrays"}
+    for label in ("contenders", "rank-values", "rank-arrays"):
+        assert "sequence(" not in plans[label] and "explode" not in plans[label], label
+    assert "Generate inline" in plans["contenders"] and "rangepartitioning(kind" in plans["rank-values"]
+
+
+def test_measures_meet_the_keys_once_and_undivided_into_days(spark, monkeypatch):
+    plans = {}
+    monkeypatch.setattr(spine, "stage", lambda df, label: plans.__setitem__(label, plan(df)) or stage(df, label))
+    trades, users = sample_tables.event_trades(spark, SF_DIR), sample_tables.users(spark, SF_DIR)
+    timeline = report.staged_timelines(trades, users, SPEC)
+    rows = spine.aligned_grid(spine.key_currencies(trades, users), measures.report_measures(timeline, SPEC), spine.KEY, SPEC)
+    # Only the compact timelines are written, after one shuffle by key.
+    assert list(plans) == ["aligned"]
+    assert plans["aligned"].count("Exchange") == 1 and "explode" not in plans["aligned"]
+    text = plan(rows)
+    assert text.count("LeftOuter") == 1
+    # The days come last, above every exchange.
+    assert "Exchange" not in text[: text.index("Generate explode")]
+
+
+def test_the_grid_is_numbered_without_being_sorted(spark, monkeypatch):
+    trades, users = sample_tables.event_trades(spark, SF_DIR), sample_tables.users(spark, SF_DIR)
+    keys = spine.key_currencies(trades, users)
+    rows = numbering.numbered_grid(keys, numbering.key_order(*keys.columns), SPEC)
+    text = plan(rows)
+    assert "rangepartitioning" not in text and "Exchange" not in text[: text.index("Generate explode")]
+
+
 def test_trades_are_summed_before_they_are_shuffled(spark):
     trades, users = sample_tables.event_trades(spark, SF_DIR), sample_tables.users(spark, SF_DIR)
     text = plan(measures.daily_activity(trades, users, SPEC))

@@ -9,9 +9,11 @@ from decimal import Decimal
 
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from tallyline.plans import report
 from tallyline.plans.report import report_rows, trading_report, write_report
+from tallyline.sources.staging import stage
 from tallyline.spec import ReportSpec
 from tests.tables import at, trade, trades_table, user, users_table
 
@@ -280,6 +282,63 @@ def test_small_volumes_keep_their_places(spark, kind):
     assert len(rows) == 7 and all(float(r.sum_volume_prev_7d) == pytest.approx(4e-6) for r in rows)
 
 
+def test_equal_amounts_of_doubles_share_a_rank(spark):
+    """0.1 + 0.2 + 0.3 and 0.3 + 0.2 + 0.1 differ when they are added as doubles one after the other."""
+    amounts = ["0.1", "0.2", "0.3"]
+    rows = [trade("l1", at(f"2024-01-{10 + i}"), v) for i, v in enumerate(amounts)] + [trade("l2", at(f"2024-01-{10 + i}"), v) for i, v in enumerate(amounts[::-1])]
+    rows += [trade("l3", at("2024-01-12"), v, server=s) for v, s in zip(amounts, ["s1", "s2", "s1"])]
+    users = users_table(spark, [user(login, server) for login in ("l1", "l2", "l3") for server in ("s1", "s2")])
+    df = trades_table(spark, rows)
+    df = df.withColumn("volume", df.volume.cast("double"))
+    found = {r.login_hash: r for r in report_rows(df, users, SPEC).filter("dt_report = '2024-01-12' and server_hash = 's1'").collect()}
+    assert {found[login].sum_volume_prev_7d for login in ("l1", "l2")} == {0.6}
+    assert {r.rank_volume_symbol_prev_7d for r in found.values()} == {1}
+
+
+def test_reports_of_doubles_do_not_depend_on_the_partitions(spark):
+    rng = random.Random(6)
+    trades, users = random_tables(6)
+    df = trades_table(spark, trades).withColumn("volume", F.rand(3) * F.pow(F.lit(2.0), F.floor(F.rand(4) * 60) - 30))
+    df = stage(df, "double-trades")
+    orders = [df.repartition(1), df.repartition(5, "ticket_hash", "volume"), df.orderBy(F.rand(rng.randint(0, 9)))]
+    results = [[tuple(r) for r in trading_report(one, users_table(spark, users), SPEC).collect()] for one in orders]
+    assert results[0] == results[1] == results[2] != []
+
+
+@pytest.mark.parametrize("days", [1, 63, 64, 65, 130])
+def test_ranks_of_ranges_around_the_bits_of_a_number(spark, days):
+    trades, users = random_tables(7)
+    spec = ReportSpec(date(2024, 1, 3), date(2024, 1, 3) + timedelta(days=days - 1), date(2024, 1, 10), date(2024, 1, 16), window_days=9)
+    rows = trading_report(trades_table(spark, trades), users_table(spark, users), spec).collect()
+    assert [tuple(row) for row in rows] == brute_force(trades, users, spec)[::-1]
+
+
+def test_ranks_are_counted_on_from_task_to_task(spark, monkeypatch):
+    from tallyline.operators import ranking
+
+    monkeypatch.setattr(ranking, "_CELLS", 40)
+    rng = random.Random(2)
+    first = date(2024, 1, 8)
+    steps = []
+    for login in range(300):
+        day = rng.randint(0, 5)
+        while day < SPEC.n_days:
+            last = min(day + rng.randint(0, 4), SPEC.n_days - 1)
+            kind = rng.choice(["volume", "count"])
+            steps.append((kind, f"l{login}-{kind}", "x", first + timedelta(days=day), first + timedelta(days=last), 1, float(rng.randint(-20, 40))))
+            day = last + 1 + rng.randint(0, 3)
+    df = stage(spark.createDataFrame(steps, "kind string, login_hash string, symbol string, from_day date, to_day date, trades long, value double"), "steps")
+    found = {(r.kind, r.login_hash, r.from_day): r.ranks for r in ranking.rank_steps(df, SPEC).collect()}
+    on_day = defaultdict(set)
+    for kind, _, _, a, b, _, value in steps:
+        for n in range((b - a).days + 1):
+            on_day[kind, a + timedelta(days=n)].add(value)
+    assert len(found) == len(steps)
+    for kind, login, _, a, b, _, value in steps:
+        expected = [sum(v >= value for v in on_day[kind, a + timedelta(days=n)]) for n in range((b - a).days + 1)]
+        assert found[kind, login, a] == expected
+
+
 def test_nan_shows_in_its_window_and_leaves_with_it(spark):
     from tallyline.operators import measures
 

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Callable
-from datetime import date
+from dataclasses import replace
+from datetime import date, datetime, time, timedelta
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +20,7 @@ from tallyline.operators import (
     checks,
     duplicates,
     foreign_keys,
+    intervals,
     measures,
     numbering,
     ranking,
@@ -153,6 +155,38 @@ def _range_join(trades: DataFrame, users: DataFrame) -> DataFrame:
     )
 
 
+def _range_join_90d(trades: DataFrame, users: DataFrame) -> DataFrame:
+    pairs = spine.range_join(_joined(trades, users), replace(LINEITEM_REPORT, window_days=90))
+    return pairs.groupBy("dt_report", "currency").agg(
+        F.count("*").alias("trades"),
+        F.sum("volume").cast("double").alias("volume"),
+        F.min("close_time").alias("first_close"),
+        F.max("close_time").alias("last_close"),
+    )
+
+
+def _window_join_36h(trades: DataFrame, users: DataFrame) -> DataFrame:
+    """The 36 hours up to every sixth hour of the report, by symbol: to the second, not by whole days."""
+    start, end = (datetime.combine(day, time()) for day in (EVENT_REPORT.start, EVENT_REPORT.end))
+    joined = _joined(trades, users).select("symbol", "volume", "close_time")
+    moments = intervals.instants(trades.sparkSession.range(1), start, end, timedelta(hours=6)).drop("id")
+    pairs = intervals.window_join(joined, moments, "close_time", "instant", timedelta(hours=36))
+    return pairs.groupBy("instant", "symbol").agg(
+        F.count("*").alias("trades"),
+        F.sum("volume").cast("double").alias("volume"),
+        F.min("close_time").alias("first_close"),
+        F.max("close_time").alias("last_close"),
+    )
+
+
+def _account_window_36h(trades: DataFrame, users: DataFrame) -> DataFrame:
+    """For every opening of an enabled account's trade, what the account closed in the 36 hours up to it."""
+    joined = _joined(trades, users).select(*accounts.ACCOUNT, "volume", "close_time")
+    openings = trades.select(*accounts.ACCOUNT, F.col("open_time").alias("opened")).distinct()
+    pairs = intervals.window_join(joined, openings, "close_time", "opened", timedelta(hours=36), accounts.ACCOUNT)
+    return pairs.groupBy(*accounts.ACCOUNT, "opened").agg(F.count("*").alias("trades"), F.sum("volume").cast("double").alias("volume"))
+
+
 def _report_scalars(trades: DataFrame) -> DataFrame:
     day = report_days.close_day()
     return trades.select(
@@ -322,6 +356,9 @@ def queries() -> dict[str, Query]:
         "trades_with_users": _on_both(_joined),
         "combined_data": _on_both(_digested(_combined)),
         "range_join_7d": _on_both(_range_join),
+        "range_join_90d": _on_both_lineitem(_range_join_90d),
+        "window_join_36h": _on_both(_window_join_36h),
+        "account_window_join_36h": _on_both(_account_window_36h),
         "spine_left_join": _on_both(_joined_measures),
         "rank_join_symbol": _on_both(_joined_symbol_rank),
         "rank_join_login": _on_both(_joined_login_rank),

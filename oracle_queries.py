@@ -209,6 +209,10 @@ def digested(pairs: str) -> str:
 FROM {pairs} GROUP BY dt_report, login_hash, symbol, currency""")
 
 
+WINDOW_TOTALS = """count(*) AS trades, CAST(sum(volume) AS DOUBLE) AS volume,
+  min(close_time) AS first_close, max(close_time) AS last_close"""
+
+
 def on_trades(select: str) -> str:
     return with_tables(EVENT_TRADES) + select
 
@@ -402,6 +406,21 @@ FROM trades"""),
     "combined_data": digested("days CROSS JOIN joined"),
     "range_join_7d": over_report(f"""SELECT dt_report, symbol, count(*) AS trades, CAST(sum(volume) AS DOUBLE) AS volume
 FROM days JOIN joined ON {IN_WINDOW} GROUP BY dt_report, symbol"""),
+    "range_join_90d": over_report(
+        f"""SELECT dt_report, currency, {WINDOW_TOTALS} FROM days JOIN joined
+ON CAST(close_time AS DATE) > dt_report - 90 AND CAST(close_time AS DATE) <= dt_report GROUP BY dt_report, currency""",
+        LINEITEM_TRADES,
+        LINEITEM_RANGE,
+    ),
+    "window_join_36h": over_report(f"""SELECT instant, symbol, {WINDOW_TOTALS}
+FROM (
+  SELECT unnest(generate_series(TIMESTAMP '{EVENT_RANGE[0]}', TIMESTAMP '{EVENT_RANGE[1]}', INTERVAL 6 HOUR)) AS instant
+) JOIN joined ON close_time > instant - INTERVAL 36 HOUR AND close_time <= instant GROUP BY instant, symbol"""),
+    "account_window_join_36h": over_report("""SELECT o.login_hash, o.server_hash, opened, count(*) AS trades, CAST(sum(volume) AS DOUBLE) AS volume
+FROM (SELECT DISTINCT login_hash, server_hash, open_time AS opened FROM trades) AS o
+JOIN joined ON o.login_hash = joined.login_hash AND o.server_hash = joined.server_hash
+  AND close_time > opened - INTERVAL 36 HOUR AND close_time <= opened
+GROUP BY o.login_hash, o.server_hash, opened"""),
     "spine_left_join": over_report(attached(EVENT_RANGE)),
     "rank_join_symbol": over_report(f"""SELECT grid.*, coalesce(rank_volume_symbol_prev_7d, 0) AS rank_volume_symbol_prev_7d
 FROM grid LEFT JOIN ({RANK_BY_SYMBOL}) USING (dt_report, login_hash, symbol)"""),
@@ -533,6 +552,7 @@ DATES = {
         "calendar_predicate",
         "combined_data",
         "range_join_7d",
+        "range_join_90d",
         "spine_left_join",
         "rank_join_symbol",
         "rank_join_login",

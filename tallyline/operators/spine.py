@@ -8,13 +8,15 @@ are spelled out together.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from datetime import timedelta
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyline.functions.report_days import close_day, days_between, report_days, rolling_days
+from tallyline.functions.report_days import close_day, days_between, report_days
 from tallyline.operators.accounts import ACCOUNT, account_currencies, closed_trades, valid_trades
+from tallyline.operators.intervals import window_join
 from tallyline.sources.staging import stage
 from tallyline.spec import ReportSpec
 
@@ -55,8 +57,13 @@ def report_grid(trades: DataFrame, users: DataFrame, spec: ReportSpec) -> DataFr
 
 
 def range_join(joined_trades: DataFrame, spec: ReportSpec) -> DataFrame:
-    """Pairs of report day and trade where the trade closed in the rolling window of the day."""
-    return on_days(joined_trades, rolling_days(close_day(), spec))
+    """Pairs of report day and trade where the trade closed in the rolling window of the day.
+
+    A trade meets the days of its two buckets at most, whatever the length of the window (``operators.intervals``).
+    """
+    spine = joined_trades.sparkSession.range(1).select(F.explode(report_days(spec)).alias("dt_report"))
+    width = timedelta(days=spec.window_days)
+    return window_join(joined_trades, spine, "close_time", "dt_report", width, whole_days=True).select("dt_report", *joined_trades.columns)
 
 
 def attach(grid: DataFrame, measure: DataFrame, keys: list[str]) -> DataFrame:

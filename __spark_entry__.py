@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 from datetime import date, datetime, time, timedelta
@@ -28,7 +29,7 @@ from tallyline.operators import (
 )
 from tallyline.plans import gate, report, suites
 from tallyline.sources import sample_tables, tables
-from tallyline.sources.staging import stage
+from tallyline.sources.staging import shared_folder, stage
 from tallyline.spec import ReportSpec
 
 try:
@@ -330,6 +331,26 @@ def _check_all(check: Callable[..., checks.Check], *columns: str) -> Query:
     return _on_trades(lambda trades: checks.run_checks(trades, [check(trades, name) for name in columns]))
 
 
+# A stored table of the trades opened before the one time, and a delivery of those opened from the other on: two days come again.
+LOADED_UNTIL, DELIVERED_FROM = datetime(2024, 1, 17), datetime(2024, 1, 15)
+
+
+def _gated_delivery(trades: DataFrame, users: DataFrame) -> DataFrame:
+    opened = F.col("open_time")
+    return gate.gate_trades(trades.filter(opened >= F.lit(DELIVERED_FROM)), users, trades.filter(opened < F.lit(LOADED_UNTIL)))
+
+
+def _load_verdicts(trades: DataFrame, users: DataFrame) -> DataFrame:
+    """Row-level verdicts of a whole load, from the pass that writes it."""
+    path = f"{shared_folder(trades.sparkSession)}/load-{uuid.uuid4().hex}"
+    return gate.load_trades(trades, users, path).verdicts
+
+
+def _load_nulls(trades: DataFrame, users: DataFrame) -> DataFrame:
+    path = f"{shared_folder(trades.sparkSession)}/load-{uuid.uuid4().hex}"
+    return gate.load_trades(trades, users, path).null_status
+
+
 def _rejected_text(gated: DataFrame) -> DataFrame:
     return gate.rejected(gated).withColumn("broken_rules", F.array_join("broken_rules", "; "))
 
@@ -423,6 +444,10 @@ def queries() -> dict[str, Query]:
         "qa_full_report": _on_both(lambda t, u: suites.full_report(u, t)),
         "preload_accepted": _on_both(lambda t, u: gate.accepted(gate.gate_trades(t, u))),
         "preload_rejected": _on_both(lambda t, u: _rejected_text(gate.gate_trades(t, u))),
+        "preload_new_accepted": _on_both(lambda t, u: gate.accepted(_gated_delivery(t, u))),
+        "preload_new_rejected": _on_both(lambda t, u: _rejected_text(_gated_delivery(t, u))),
+        "load_verdicts": _on_both_lineitem(_load_verdicts),
+        "load_nulls": _on_both(_load_nulls),
         "preload_users_accepted": _on_users(lambda users: gate.accepted(gate.gate_users(users))),
         "preload_users_rejected": _on_users(lambda users: _rejected_text(gate.gate_users(users))),
     }

@@ -356,6 +356,19 @@ GATED_TRADES = f"""
 mismatches AS ({MISMATCHES}),
 flagged AS (SELECT *, {DUPLICATE["first"]} AS is_duplicate FROM trades),
 gated AS (SELECT {ALL_TRADES}, {rules(TRADE_RULES)} AS broken_rules FROM flagged)"""
+# The trades that are stored, and those that a delivery brings.
+LOADED_UNTIL, DELIVERED_FROM = "2024-01-17", "2024-01-15"
+NEW_TRADE_RULES = TRADE_RULES | {
+    "already loaded": "EXISTS (SELECT 1 FROM stored WHERE "
+    + " AND ".join(f"stored.{name} IS NOT DISTINCT FROM flagged.{name}" for name in TRADES_KEY.split(", "))
+    + ")"
+}
+GATED_DELIVERY = f"""
+stored AS (SELECT {TRADES_KEY} FROM trades WHERE open_time < TIMESTAMP '{LOADED_UNTIL}'),
+delivered AS (SELECT * FROM trades WHERE open_time >= TIMESTAMP '{DELIVERED_FROM}'),
+mismatches AS ({MISMATCHES.replace("FROM trades", "FROM delivered")}),
+flagged AS (SELECT *, {DUPLICATE["first"]} AS is_duplicate FROM delivered),
+gated AS (SELECT {ALL_TRADES}, {rules(NEW_TRADE_RULES)} AS broken_rules FROM flagged)"""
 GATED_USERS = f"""
 flagged AS (SELECT *, row_number() OVER (PARTITION BY {ALL_USERS}) > 1 AS is_duplicate FROM users),
 gated AS (SELECT {ALL_USERS}, {rules(USER_RULES)} AS broken_rules FROM flagged)"""
@@ -525,6 +538,10 @@ FROM (SELECT count(*) AS n FROM trades GROUP BY {TRADES_KEY}) WHERE n > 1"""
     "qa_full_report": on_both(f"{USERS_SUITE}\nUNION ALL {TRADES_SUITE}\nUNION ALL {CROSS_REFERENCE}"),
     "preload_accepted": with_tables(USERS, EVENT_TRADES, GATED_TRADES) + ACCEPTED,
     "preload_rejected": with_tables(USERS, EVENT_TRADES, GATED_TRADES) + REJECTED,
+    "preload_new_accepted": with_tables(USERS, EVENT_TRADES, GATED_DELIVERY) + ACCEPTED,
+    "preload_new_rejected": with_tables(USERS, EVENT_TRADES, GATED_DELIVERY) + REJECTED,
+    "load_verdicts": on_lineitem_trades(f"SELECT * FROM ({TRADES_SUITE}) WHERE seq > 2"),
+    "load_nulls": on_trades(f"SELECT 'trades' AS suite, * FROM ({null_status('trades', TRADES_MANDATORY)})"),
     "preload_users_accepted": with_tables(USERS, GATED_USERS) + ACCEPTED,
     "preload_users_rejected": with_tables(USERS, GATED_USERS) + REJECTED,
 }
@@ -542,6 +559,8 @@ DECIMALS = {
         "dedup_whole_rows",
         "preload_accepted",
         "preload_rejected",
+        "preload_new_accepted",
+        "preload_new_rejected",
     ]
 }
 DATES = {

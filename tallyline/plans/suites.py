@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyline.operators import checks
@@ -46,11 +46,25 @@ class Suite:
     rules: Sequence[Check]
     mandatory: Sequence[str]
 
+    def row_metrics(self) -> list[Column]:
+        """Aggregates: the rows that break each rule, and those without a value in each mandatory column."""
+        return [*checks.broken_counts(self.rules), *checks.missing_counts(self.table, self.mandatory)]
+
     def totals(self) -> DataFrame:
-        """One row, from one pass: the rows that break each rule, and those without a value in each mandatory column."""
-        return self.table.agg(
-            *checks.broken_counts(self.rules), *checks.missing_counts(self.table, self.mandatory)
-        )
+        """One row, from one pass: the ``row_metrics``."""
+        return self.table.agg(*self.row_metrics())
+
+    def _numbered(self, rows: DataFrame) -> DataFrame:
+        return rows.select(F.lit(self.name).alias("suite"), (F.col("place") + 1).alias("seq"), "row.*")
+
+    def _rule_rows(self, totals: DataFrame) -> DataFrame:
+        rule_rows = [checks.result_of(rule, F.col(f"c{i}")) for i, rule in enumerate(self.rules)]
+        placed = totals.select(F.posexplode(F.array(*rule_rows)).alias("place", "row"))
+        return placed.withColumn("place", F.col("place") + len(self.duplicate_keys))
+
+    def row_verdicts(self, totals: DataFrame) -> DataFrame:
+        """The verdicts of the row-level checks alone, numbered as among all."""
+        return self._numbered(self._rule_rows(totals))
 
     def verdicts(self, totals: DataFrame) -> DataFrame:
         """Duplicate checks first, then the row-level ones; ``seq`` counts from 1."""
@@ -61,26 +75,22 @@ class Suite:
             )
             for i, key in enumerate(self.duplicate_keys)
         ]
-        rule_rows = [checks.result_of(rule, F.col(f"c{i}")) for i, rule in enumerate(self.rules)]
-        first_rule = len(self.duplicate_keys)
-        rows = copies.select(F.posexplode(F.array(*duplicate_rows)).alias("place", "row")).union(
-            totals.select(F.posexplode(F.array(*rule_rows)).alias("place", "row")).withColumn(
-                "place", F.col("place") + first_rule
-            )
-        )
-        return rows.select(F.lit(self.name).alias("suite"), (F.col("place") + 1).alias("seq"), "row.*")
+        rows = copies.select(F.posexplode(F.array(*duplicate_rows)).alias("place", "row"))
+        return self._numbered(rows.union(self._rule_rows(totals)))
 
     def null_status(self, totals: DataFrame) -> DataFrame:
         """``(suite, column, has_null, null_rows)`` for each mandatory column."""
         return checks.missing_rows(totals, self.mandatory).select(F.lit(self.name).alias("suite"), "*")
 
 
-def _users(users: DataFrame) -> Suite:
+def users_rules(users: DataFrame) -> Suite:
+    """The suite of a users table."""
     rules = [checks.binary(users, "enable"), checks.mandatory(users, USERS_MANDATORY)]
     return Suite("users", users, [None], rules, USERS_MANDATORY)
 
 
-def _trades(trades: DataFrame) -> Suite:
+def trades_rules(trades: DataFrame) -> Suite:
+    """The suite of a trades table."""
     rules = [
         checks.numerical(trades, "digits"),
         checks.numerical(trades, "cmd"),
@@ -96,24 +106,24 @@ def _trades(trades: DataFrame) -> Suite:
 
 
 def users_suite(users: DataFrame) -> DataFrame:
-    suite = _users(users)
+    suite = users_rules(users)
     return suite.verdicts(suite.totals())
 
 
 def trades_suite(trades: DataFrame) -> DataFrame:
-    suite = _trades(trades)
+    suite = trades_rules(trades)
     return suite.verdicts(suite.totals())
 
 
 def users_null_status(users: DataFrame) -> DataFrame:
     """Which mandatory columns of the users have missing values, and how many."""
-    suite = _users(users)
+    suite = users_rules(users)
     return suite.null_status(suite.totals())
 
 
 def trades_null_status(trades: DataFrame) -> DataFrame:
     """Which mandatory columns of the trades have missing values, and how many."""
-    suite = _trades(trades)
+    suite = trades_rules(trades)
     return suite.null_status(suite.totals())
 
 
@@ -133,7 +143,7 @@ def write_full_report(users: DataFrame, trades: DataFrame, path: str) -> None:
 
     Verdicts and missing values come from the same pass over each table.
     """
-    suites = [_users(users), _trades(trades)]
+    suites = [users_rules(users), trades_rules(trades)]
     totals = [stage(suite.totals(), f"{suite.name}-totals") for suite in suites]
     verdicts, null_status = (
         [view(suite, row) for suite, row in zip(suites, totals)] for view in (Suite.verdicts, Suite.null_status)

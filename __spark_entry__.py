@@ -309,6 +309,13 @@ def _dedup(keep: duplicates.Keep) -> Query:
     )
 
 
+def _delivered(trades: DataFrame) -> DataFrame:
+    """The trades as they arrive: in several files, the dearest last, rows in an order of their own."""
+    rest = ["symbol", "digits", "cmd", "volume", "contractsize", "close_time"]
+    order = [F.col(name).asc_nulls_first() for name in ("open_price", *rest, "login_hash", "ticket_hash", "server_hash", "open_time")]
+    return stage(trades.repartitionByRange(7, "open_price").sortWithinPartitions(*order), "delivered")
+
+
 def _texts(trades: DataFrame) -> DataFrame:
     """Trade columns as the text they may arrive as."""
     return trades.select(
@@ -413,6 +420,12 @@ def queries() -> dict[str, Query]:
         "dup_flags_first": _flags("first"),
         "dup_flags_last": _flags("last"),
         "dup_flags_keep_none": _flags(False),
+        "dup_flags_first_arrival": _on_lineitem_trades(
+            lambda trades: duplicates.flag_duplicates(_delivered(trades), suites.TRADES_KEY, "first")
+        ),
+        "dedup_drop_last_arrival": _on_lineitem_trades(
+            lambda trades: duplicates.drop_duplicates(_delivered(trades), suites.TRADES_KEY, "last")
+        ),
         "dedup_drop_first": _dedup("first"),
         "dedup_drop_last": _dedup("last"),
         "dedup_drop_keep_none": _dedup(False),

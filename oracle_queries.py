@@ -238,6 +238,8 @@ FIRST_OF_KEY = (
     "open_price NULLS FIRST, contractsize NULLS FIRST"
 )
 LAST_OF_KEY = FIRST_OF_KEY.replace("NULLS FIRST", "DESC NULLS LAST")
+ARRIVAL = "open_price, " + ", ".join(f"{name} NULLS FIRST" for name in ("symbol", "digits", "cmd", "volume", "contractsize", "close_time"))
+ARRIVAL_LAST = ARRIVAL.replace("open_price", "open_price DESC").replace("NULLS FIRST", "DESC NULLS LAST")
 DUPLICATE = {
     "first": f"row_number() OVER (PARTITION BY {TRADES_KEY} ORDER BY {FIRST_OF_KEY}) > 1",
     "last": f"row_number() OVER (PARTITION BY {TRADES_KEY} ORDER BY {LAST_OF_KEY}) > 1",
@@ -489,6 +491,12 @@ FROM (SELECT count(*) AS n FROM trades GROUP BY {TRADES_KEY}) WHERE n > 1"""
         f"dedup_drop_{keep}": on_lineitem_trades(f"SELECT * FROM trades QUALIFY NOT ({flag})")
         for keep, flag in DUPLICATE.items()
     },
+    "dup_flags_first_arrival": on_lineitem_trades(
+        f"SELECT *, row_number() OVER (PARTITION BY {TRADES_KEY} ORDER BY {ARRIVAL}) > 1 AS is_duplicate FROM trades"
+    ),
+    "dedup_drop_last_arrival": on_lineitem_trades(
+        f"SELECT * FROM trades QUALIFY row_number() OVER (PARTITION BY {TRADES_KEY} ORDER BY {ARRIVAL_LAST}) = 1"
+    ),
     "dedup_whole_rows": on_trades("SELECT DISTINCT * FROM trades"),
     # Checks
     "check_binary": on_trades(
@@ -556,6 +564,8 @@ DECIMALS = {
         "trades_with_users",
         *[f"dup_flags_{keep}" for keep in DUPLICATE],
         *[f"dedup_drop_{keep}" for keep in DUPLICATE],
+        "dup_flags_first_arrival",
+        "dedup_drop_last_arrival",
         "dedup_whole_rows",
         "preload_accepted",
         "preload_rejected",

@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from functools import reduce
 from typing import Literal
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +30,7 @@ COPIES = "copies__"
 COPY = "copy__"
 PIECE_NO = "piece__"
 GROUP_SIZE = "group_size__"
+ARRIVAL = "arrival__"
 SURVIVOR = "survivor__"
 
 
@@ -99,33 +101,50 @@ def duplicate_count(df: DataFrame, subset: Sequence[str] | None = None, keep: Ke
 def _spread(copies: DataFrame, flagged: Column, columns: list[str]) -> DataFrame:
     """Counted copies as rows again, with their flag.
 
-    Very many copies become pieces first, which are dealt to all tasks and then spelled out.
+    They are spelled out where they are. Only very many copies of one row become pieces first, which are dealt to all tasks. Both
+    kinds come from the same shuffles, which Spark runs once.
     """
-    n_pieces = F.ceil(F.col(COPIES) / PIECE)
-    pieces = copies.withColumn(PIECE_NO, F.explode(F.sequence(F.lit(0).cast("long"), n_pieces - 1)))
+    n_copies = F.col(COPIES)
+    few = copies.filter(n_copies <= PIECE).withColumn(COPY, F.explode(F.sequence(F.lit(1).cast("long"), n_copies)))
+    last_piece = F.ceil(n_copies / PIECE) - 1
+    pieces = copies.filter(n_copies > PIECE).withColumn(PIECE_NO, F.explode(F.sequence(F.lit(0).cast("long"), last_piece)))
     # With a number, so that Spark does not put the pieces, which are still small, back into one task.
     tasks = int(copies.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = pieces.repartition(tasks, PIECE_NO, F.xxhash64(*columns))
     first = F.col(PIECE_NO) * PIECE + 1
-    last = F.least(F.col(COPIES), first + (PIECE - 1))
-    return dealt.withColumn(COPY, F.explode(F.sequence(first, last))).select(*columns, flagged.alias("is_duplicate"))
+    last = F.least(n_copies, first + (PIECE - 1))
+    many = dealt.withColumn(COPY, F.explode(F.sequence(first, last)))
+    told = [*columns, flagged.alias("is_duplicate")]
+    return few.select(*told).unionByName(many.select(*told))
 
 
 def _counted(df: DataFrame, keys: list[str], suspect_hashes: DataFrame) -> DataFrame:
     return _suspects(df, keys, suspect_hashes).groupBy(*df.columns).agg(F.count("*").alias(COPIES))
 
 
+def with_arrival(df: DataFrame) -> DataFrame:
+    """The rows with their place in the Parquet files that they come from: the path of the file, then the number of the row in it.
+
+    Raises ``ValueError`` if the rows are not straight from such files: then no place is known.
+    """
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    try:
+        return df.withColumn(ARRIVAL, place)
+    except AnalysisException as unknown:
+        raise ValueError("keeping the first or last row of a key needs order_by, or rows straight from Parquet files") from unknown
+
+
 def _checked_keys(
     df: DataFrame, subset: Sequence[str] | None, keep: Keep, order_by: Sequence[str] | None
-) -> tuple[list[str], bool]:
-    """The key columns, and whether they are all columns."""
+) -> tuple[DataFrame, list[str], bool, Sequence[str] | None]:
+    """The rows, the key columns, whether they are all columns, and the order: that of arrival where it is needed and none is given."""
     _check_keep(keep)
     keys = _key_columns(df, subset)
     whole_rows = set(keys) == set(df.columns)
-    if not whole_rows and keep is not False and not order_by:
-        raise ValueError("keeping the first or last row of a key needs order_by")
     require_columns(df, order_by or [])
-    return keys, whole_rows
+    if not whole_rows and keep is not False and not order_by:
+        return with_arrival(df), keys, whole_rows, [ARRIVAL]
+    return df, keys, whole_rows, order_by
 
 
 def flag_duplicates(
@@ -137,10 +156,11 @@ def flag_duplicates(
     """Every row with ``is_duplicate``.
 
     ``keep`` spares the first or the last row of each group, or with False no row of a group of
-    several. Rows have no order of their own, so with a ``subset`` first and last need ``order_by``;
-    null comes first, and the remaining columns break ties.
+    several. With a ``subset`` first and last go by ``order_by``; null comes first, and the remaining columns break ties. Without it
+    they go by the order in which the rows stand in the Parquet files that they are read from, files by their path.
     """
-    keys, whole_rows = _checked_keys(df, subset, keep, order_by)
+    names = df.columns
+    df, keys, whole_rows, order_by = _checked_keys(df, subset, keep, order_by)
     columns = df.columns
     suspect_hashes = _suspect_hashes(df, keys)
     copies = _counted(df, keys, suspect_hashes)
@@ -150,7 +170,7 @@ def flag_duplicates(
         marked, flagged = _flag_within_keys(copies, keys, columns, keep, order_by)
         result = _spread(marked, flagged, columns)
     settled = _suspects(df, keys, suspect_hashes, "left_anti").select(*columns, F.lit(False).alias("is_duplicate"))
-    return settled.unionByName(result)
+    return settled.unionByName(result).select(*names, "is_duplicate")
 
 
 def _flag_within_keys(
@@ -182,7 +202,8 @@ def drop_duplicates(
     order_by: Sequence[str] | None = None,
 ) -> DataFrame:
     """The rows that ``flag_duplicates`` does not flag. Copies are never spelled out: one row at most stays of each."""
-    keys, whole_rows = _checked_keys(df, subset, keep, order_by)
+    names = df.columns
+    df, keys, whole_rows, order_by = _checked_keys(df, subset, keep, order_by)
     columns = df.columns
     suspect_hashes = _suspect_hashes(df, keys)
     copies = _counted(df, keys, suspect_hashes)
@@ -192,4 +213,4 @@ def drop_duplicates(
         marked, flagged = _flag_within_keys(copies.withColumn(COPY, F.lit(1)), keys, columns, keep, order_by)
         stays = marked.filter(~flagged)
     settled = _suspects(df, keys, suspect_hashes, "left_anti")
-    return settled.unionByName(stays.select(*columns))
+    return settled.unionByName(stays.select(*columns)).select(*names)

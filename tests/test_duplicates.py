@@ -122,3 +122,34 @@ def test_flagged_copies_leave_in_several_tasks(spark):
     sizes = [r["count"] for r in flagged.groupBy(F.spark_partition_id()).count().collect()]
     assert sum(sizes) == 1_000_000 and len(sizes) > 1
     assert flagged.filter(~F.col("is_duplicate")).count() == 1
+
+
+def test_rows_keep_the_order_in_which_they_arrived(spark, tmp_path):
+    """Three deliveries, one file each; rows of a file in their order, and none of the values tells the order."""
+    deliveries = [[("a", 5), ("b", 9), ("a", 1)], [("c", 3), ("a", 7), ("a", 7)], [("b", 2), ("b", 9), (None, 4), (None, 3)]]
+    for i, rows in enumerate(deliveries):
+        spark.createDataFrame(rows, "k string, v int").coalesce(1).write.parquet(str(tmp_path / f"day={i}"))
+    df = spark.read.option("basePath", str(tmp_path)).parquet(str(tmp_path / "day=*"))
+
+    def kept(keep):
+        rows = duplicates.drop_duplicates(df, ["k"], keep)
+        assert rows.columns == ["k", "v", "day"]
+        return sorted((r.k or "", r.v, r.day) for r in rows.collect())
+
+    assert kept("first") == [("", 4, 2), ("a", 5, 0), ("b", 9, 0), ("c", 3, 1)]
+    assert kept("last") == [("", 3, 2), ("a", 7, 1), ("b", 9, 2), ("c", 3, 1)]
+    flagged = duplicates.flag_duplicates(df, ["k"], "first")
+    assert flagged.columns == ["k", "v", "day", "is_duplicate"]
+    assert sorted((r.k or "", r.v) for r in flagged.filter("not is_duplicate").collect()) == [("", 4), ("a", 5), ("b", 9), ("c", 3)]
+    assert flagged.count() == 10
+    with pytest.raises(ValueError):
+        duplicates.drop_duplicates(df.groupBy("k", "v").count(), ["k"], "first")
+
+
+def test_few_copies_are_spelled_out_without_a_shuffle_of_their_own(spark):
+    df = spark.createDataFrame([(i // 2, i) for i in range(50)], "k int, v int")
+    flagged = duplicates.flag_duplicates(df, ["k"], "first", ["v"])
+    flagged.collect()
+    text = flagged._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "ReusedExchange" in text
+    assert flagged.filter("is_duplicate").count() == 25

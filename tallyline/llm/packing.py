@@ -43,7 +43,8 @@ def encoded(docs: DataFrame, path: str, separator: int, id_col: str, text_col: s
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         kind = pretokens.id_type(path)
-        memo = pretokens.Memo(path, lambda ids: np.array(ids, kind).tobytes())
+        # The next task of this worker goes on with what this one has learnt.
+        memo = pretokens.worker_ids(path, kind.str)
         end = np.array([separator], kind).tobytes()
         so_far: dict[str, int] = {}
         for batch in batches:

@@ -86,3 +86,9 @@ class Memo:
     def values(self, pre_tokens: list[str]) -> list:
         self.learn(pre_tokens)
         return list(map(self.known.__getitem__, pre_tokens))
+
+
+@cache
+def worker_ids(path: str, kind: str) -> Memo:
+    """The ids of pre-tokens as bytes, as one worker process remembers them from task to task, as many as ``CACHE_SIZE``."""
+    return Memo(path, lambda ids: np.array(ids, kind).tobytes())

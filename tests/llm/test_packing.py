@@ -83,3 +83,52 @@ def test_long_text(spark):
 
 def test_padding():
     assert [packing.padded_length(n) for n in (1, 3, 64, 4095, 4096)] == [1, 4096, 64, 4096, 4096]
+
+
+def test_a_worker_remembers_ids_from_task_to_task(monkeypatch):
+    path = pretokens.tokenizer_path()
+    memo = pretokens.worker_ids(path, "<u2")
+    assert pretokens.worker_ids(path, "<u2") is memo and pretokens.worker_ids(path, "<u4") is not memo
+    texts = ["the words of one text", "other words, of another"]
+    expected = [pretokens.encode_whole(path, [t])[0] for t in texts]
+    for _ in range(2):
+        assert [np.frombuffer(b"".join(memo.values(pretokens.split(t))), "<u2").tolist() for t in texts] == expected
+    # A full memory starts anew and still knows everything it is asked.
+    monkeypatch.setattr(memo, "size", 3)
+    assert [np.frombuffer(b"".join(memo.values(pretokens.split(t))), "<u2").tolist() for t in texts] == expected
+    assert len(memo.known) <= 5
+
+
+def round_robin(tokens_of, sequence):
+    """Windows filled one after the other from the queues in order of their names: each gets its share of the window and of what it was
+    owed, rounded down over the running total, and the last queue of a window the rest."""
+    total = sum(tokens_of.values())
+    sizes = sorted(tokens_of.items())
+    given = dict.fromkeys(tokens_of, 0)
+    windows = []
+    for k in range(-(-total // sequence)):
+        end, filled, window = 0, 0, {}
+        upto = min(total, sequence * (k + 1))
+        for name, size in sizes:
+            end += size
+            # What this queue and those before it are owed after this window, less what they got.
+            owed = end if upto == total else upto * end // total
+            window[name] = owed - filled - sum(given[n] for n, _ in sizes[: sizes.index((name, size)) + 1])
+            filled += window[name]
+        for name, n in window.items():
+            given[name] += n
+        windows.append(window)
+    return windows
+
+
+@pytest.mark.parametrize("sequence", [16, 50])
+def test_against_round_robin_window_by_window(spark, sequence):
+    texts = ["a b c d e f g " * n for n in (9, 1, 4, 30, 2, 7, 5, 12)]
+    sources = ["x", "y", "x", "z", "y", "z", "x", "y"]
+    rows = packing.pack(documents(spark, texts, None, sources), sequence=sequence).collect()
+    tokens_of = defaultdict(int)
+    got = defaultdict(lambda: defaultdict(int))
+    for r in rows:
+        tokens_of[r.source] += r.length
+        got[r.sequence_id][r.source] += r.length
+    assert [dict(got[k]) for k in sorted(got)] == [{n: c for n, c in w.items() if c} for w in round_robin(tokens_of, sequence)]

@@ -9,7 +9,7 @@ from dataclasses import replace
 from datetime import date, datetime, time, timedelta
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
@@ -27,7 +27,7 @@ from tallyline.operators import (
     ranking,
     spine,
 )
-from tallyline.plans import gate, report, suites
+from tallyline.plans import compact, gate, report, suites
 from tallyline.sources import sample_tables, tables
 from tallyline.sources.staging import shared_folder, stage
 from tallyline.spec import ReportSpec
@@ -52,6 +52,16 @@ LINEITEM_REPORT = ReportSpec(date(2001, 6, 1), date(2001, 9, 30), date(2001, 8,
 TRADE_DAY = ["dt_report", "ticket_hash", "login_hash", "server_hash", "symbol", "close_time"]
 
 
+def _run_query_by_position(spark: SparkSession, sf: str) -> DataFrame:
+    return tables.run_query(
+        spark,
+        "select symbol, count(*) as trades, max(close_time) as last_close from {trades} "
+        "where close_time >= ? and coalesce(symbol, ?) <> ? group by symbol",
+        [datetime(2024, 1, 10), "none", "login"],
+        trades=sample_tables.event_trades(spark, sf),
+    )
+
+
 def _on_users(query: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf: query(sample_tables.users(spark, sf))
 
@@ -125,28 +135,37 @@ def _rolling_trade_days(trades: DataFrame, users: DataFrame) -> DataFrame:
     return _trade_days(report_days.rolling_days)(trades, users).select(*TRADE_DAY, "currency")
 
 
+def _trade_totals() -> dict[str, Column]:
+    return {
+        "trades": F.count("*"),
+        "volume": F.sum("volume"),
+        "first_ticket": F.min("ticket_hash"),
+        "last_ticket": F.max("ticket_hash"),
+        "first_close": F.min("close_time"),
+        "last_close": F.max("close_time"),
+    }
+
+
+DIGEST = ["login_hash", "symbol", "currency"]
+
+
 def _combined(trades: DataFrame, users: DataFrame) -> DataFrame:
-    return spine.combined_data(_joined(trades, users), EVENT_REPORT)
+    """All pairs of a day and a trade, summed up: the same on every day, so that the pairs are never made."""
+    totals = _joined(trades, users).groupBy(*DIGEST).agg(*[m.alias(name) for name, m in _trade_totals().items()])
+    return spine.combined_data(totals, EVENT_REPORT).withColumn("volume", F.col("volume").cast("double"))
 
 
-def _digested(pairs: Callable[[DataFrame, DataFrame], DataFrame]) -> Callable[[DataFrame, DataFrame], DataFrame]:
-    """All pairs of a day and a trade, summed up while they are made: there are as many as trades times days."""
+def _cumulative(trades: DataFrame, users: DataFrame) -> DataFrame:
+    """The pairs of a day and a trade closed by then, summed up."""
+    rows = spine.daily_digests(_joined(trades, users), DIGEST, _trade_totals(), EVENT_REPORT)
+    return rows.withColumn("volume", F.col("volume").cast("double"))
 
-    def query(trades: DataFrame, users: DataFrame) -> DataFrame:
-        return (
-            pairs(trades, users)
-            .groupBy("dt_report", "login_hash", "symbol", "currency")
-            .agg(
-                F.count("*").alias("trades"),
-                F.sum("volume").cast("double").alias("volume"),
-                F.min("ticket_hash").alias("first_ticket"),
-                F.max("ticket_hash").alias("last_ticket"),
-                F.min("close_time").alias("first_close"),
-                F.max("close_time").alias("last_close"),
-            )
-        )
 
-    return query
+def _calendar(trades: DataFrame, users: DataFrame) -> DataFrame:
+    """As ``_cumulative``, of the trades closed inside the calendar range."""
+    inside = _joined(trades, users).filter(report_days.in_month(report_days.close_day(), EVENT_REPORT))
+    rows = spine.daily_digests(inside, DIGEST, _trade_totals(), EVENT_REPORT)
+    return rows.withColumn("volume", F.col("volume").cast("double"))
 
 
 def _range_join(trades: DataFrame, users: DataFrame) -> DataFrame:
@@ -269,6 +288,34 @@ def _report_digest(trades: DataFrame, users: DataFrame) -> DataFrame:
     )
 
 
+# Every third trade that closed from this day on arrives late.
+LATE_FROM = date(2024, 1, 19)
+
+
+def _refreshed_report(trades: DataFrame, users: DataFrame) -> DataFrame:
+    """The report of the trades that came in time, written, brought up to date with the late ones, and read again."""
+    is_late = (report_days.close_day() >= F.lit(LATE_FROM)) & (F.pmod(F.xxhash64("ticket_hash"), F.lit(3)) == 0)
+    is_late = F.coalesce(is_late, F.lit(False))
+    path = f"{shared_folder(trades.sparkSession)}/report-{uuid.uuid4().hex}"
+    in_time, late = trades.filter(~is_late), trades.filter(is_late)
+    report.write_report(in_time, users, path, EVENT_REPORT)
+    report.refresh_report(in_time, late, users, path, EVENT_REPORT)
+    return trades.sparkSession.read.parquet(path)
+
+
+def _compact_report(first: date | None, last: date | None, in_francs: bool) -> Callable[[DataFrame, DataFrame], DataFrame]:
+    """The report, stored compactly and read again: some days of it, of all accounts or of those in Swiss francs."""
+
+    def query(trades: DataFrame, users: DataFrame) -> DataFrame:
+        spark = trades.sparkSession
+        path = f"{shared_folder(spark)}/compact-{uuid.uuid4().hex}"
+        compact.write_compact(trades, users, path, EVENT_REPORT)
+        rows = compact.read_compact(spark, path, first, last)
+        return rows.filter(F.col("currency") == "CHF") if in_francs else rows
+
+    return query
+
+
 def _numbered_grid(name: str) -> Callable[[DataFrame, DataFrame], DataFrame]:
     def query(trades: DataFrame, users: DataFrame) -> DataFrame:
         return numbering.numbered_grid(spine.key_currencies(trades, users), numbering.key_order(*report.REPORT_KEY), EVENT_REPORT, name)
@@ -370,19 +417,20 @@ def queries() -> dict[str, Query]:
         "scan_trades": _on_trades(lambda trades: trades),
         "scan_lineitem_trades": _on_lineitem_trades(lambda trades: trades),
         "run_query_params": _run_query,
+        "run_query_params_by_position": _run_query_by_position,
         "date_series": _on_trades(_days_with_trade_counts),
         # Filters and predicates
         "enabled_users": _on_users(accounts.enabled_users),
         "valid_trades": _on_trades(accounts.valid_trades),
         "closed_trades": _on_trades(accounts.closed_trades),
         "rolling_predicate": _on_both(_rolling_trade_days),
-        "cumulative_predicate": _on_both(_digested(_trade_days(report_days.cumulative_days))),
-        "calendar_predicate": _on_both(_digested(_trade_days(report_days.calendar_days))),
+        "cumulative_predicate": _on_both(_cumulative),
+        "calendar_predicate": _on_both(_calendar),
         "report_scalars": _on_trades(_report_scalars),
         # Joins
         "distinct_users": _on_users(accounts.distinct_users),
         "trades_with_users": _on_both(_joined),
-        "combined_data": _on_both(_digested(_combined)),
+        "combined_data": _on_both(_combined),
         "range_join_7d": _on_both(_range_join),
         "range_join_90d": _on_both_lineitem(_range_join_90d),
         "window_join_36h": _on_both(_window_join_36h),
@@ -409,6 +457,10 @@ def queries() -> dict[str, Query]:
         "report_serial_id": _on_both(_numbered_grid("id")),
         # The report
         "trading_report": _on_both(lambda t, u: report.trading_report(t, u, EVENT_REPORT)),
+        "compact_report": _on_both(_compact_report(None, None, False)),
+        "compact_report_day": _on_both(_compact_report(date(2024, 1, 20), date(2024, 1, 20), False)),
+        "compact_report_week_chf": _on_both(_compact_report(date(2024, 1, 12), date(2024, 1, 18), True)),
+        "trading_report_refreshed": _on_both(_refreshed_report),
         "trading_report_double": _on_double_volumes(lambda t, u: report.trading_report(t, u, EVENT_REPORT)),
         "trading_report_122d_digest": _on_both_lineitem(_report_digest),
         # Duplicates

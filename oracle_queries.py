@@ -388,6 +388,10 @@ TYPED_SQL = {
         "SELECT login_hash, server_hash, count(*) AS trades, CAST(sum(volume) AS DOUBLE) AS volume "
         "FROM trades WHERE cmd = 1 AND volume > 10 GROUP BY login_hash, server_hash"
     ),
+    "run_query_params_by_position": on_trades(
+        "SELECT symbol, count(*) AS trades, max(close_time) AS last_close FROM trades "
+        "WHERE close_time >= TIMESTAMP '2024-01-10' AND coalesce(symbol, 'none') <> 'login' GROUP BY symbol"
+    ),
     "date_series": on_trades("""SELECT d.dt_report, count(trades.ticket_hash) AS trades
 FROM (
   SELECT CAST(unnest(generate_series(min(CAST(close_time AS DATE)), max(CAST(close_time AS DATE)), INTERVAL 1 DAY)) AS DATE)
@@ -463,6 +467,11 @@ FROM grid LEFT JOIN ({RANK_BY_LOGIN}) USING (dt_report, login_hash)"""),
     "report_serial_id": over_report(f"SELECT *, {NUMBER} AS id FROM grid"),
     # The report
     "trading_report": report(EVENT_TRADES, EVENT_RANGE),
+    "compact_report": report(EVENT_TRADES, EVENT_RANGE),
+    "compact_report_day": f"SELECT * FROM ({report(EVENT_TRADES, EVENT_RANGE)}) WHERE dt_report = '2024-01-20'",
+    "compact_report_week_chf": f"""SELECT * FROM ({report(EVENT_TRADES, EVENT_RANGE)})
+WHERE dt_report BETWEEN '2024-01-12' AND '2024-01-18' AND currency = 'CHF'""",
+    "trading_report_refreshed": report(EVENT_TRADES, EVENT_RANGE),
     "trading_report_122d_digest": f"""SELECT dt_report, symbol, currency,
   count(*) AS report_rows,
   CAST(sum(row_number) AS BIGINT) AS row_numbers,

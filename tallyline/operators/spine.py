@@ -45,6 +45,22 @@ def combined_data(joined_trades: DataFrame, spec: ReportSpec) -> DataFrame:
     return on_days(joined_trades, report_days(spec))
 
 
+def daily_digests(joined_trades: DataFrame, by: Sequence[str], measures: Mapping[str, Column], spec: ReportSpec) -> DataFrame:
+    """What the trades seen on each report day add up to, by ``by``: every trade from its close day on, and never a pair of a day and a trade.
+
+    ``measures`` are aggregates by name: least values are named ``first_..``, greatest ones ``last_..``, all others are sums or counts. The trades are summed per close day first, the days before the report as one;
+    running over a key's days the same measures of these sums give its state after each, which holds until its next day.
+    """
+    seen_from = F.greatest(close_day(), spec.first_day()).alias("from_day")
+    daily = joined_trades.filter(close_day() <= spec.last_day()).groupBy(*by, seen_from).agg(*[m.alias(name) for name, m in measures.items()])
+    per_key = Window.partitionBy(*by).orderBy("from_day")
+    so_far = per_key.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    to_day = F.coalesce(F.date_sub(F.lead("from_day").over(per_key), 1), spec.last_day()).alias("to_day")
+    again = {name: F.min if name.startswith("first_") else F.max if name.startswith("last_") else F.sum for name in measures}
+    states = daily.select(*by, "from_day", to_day, *[again[name](name).over(so_far).alias(name) for name in measures])
+    return states.select(F.explode(F.sequence("from_day", "to_day")).alias("dt_report"), *by, *measures)
+
+
 def key_currencies(trades: DataFrame, users: DataFrame) -> DataFrame:
     """The distinct (login, server, symbol, currency) that have a valid trade."""
     keys = closed_trades(valid_trades(trades)).select(*KEY).distinct()

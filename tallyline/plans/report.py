@@ -8,17 +8,20 @@ follows from its day and the position of its key. Only at the end are the days s
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from datetime import date
+from functools import reduce
 from math import ceil
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyline.operators.accounts import ACCOUNT, account_currencies
+from tallyline.functions.report_days import close_day
+from tallyline.operators.accounts import ACCOUNT, account_currencies, trades_with_users
 from tallyline.operators.measures import daily_activity, timelines
 from tallyline.operators.numbering import key_order, sorted_table, with_position
 from tallyline.operators.ranking import rank_arrays
-from tallyline.operators.spine import KEY
+from tallyline.operators.spine import KEY, key_currencies
 from tallyline.sources.staging import stage
 from tallyline.spec import ReportSpec
 
@@ -33,12 +36,14 @@ REPORT_KEY = [*KEY, "currency"]
 
 @dataclass(frozen=True)
 class ReportKeys:
-    """The numbered keys of a report with their ranks, their timelines by ``key_id``, and their number."""
+    """The numbered keys of a report with their ranks, their timelines by ``key_id`` (None where the keys hold them), and their number."""
 
     keys: DataFrame
-    timelines: DataFrame
+    timelines: DataFrame | None
     n_keys: int
     spec: ReportSpec
+    days_before: int = 0
+    """Days of the whole report before this part of it, whose rows are numbered first."""
 
     @property
     def n_rows(self) -> int:
@@ -80,7 +85,7 @@ def _with_timelines(report: ReportKeys) -> DataFrame:
     return keys.join(by_key, "key_id")
 
 
-def _by_position(report: ReportKeys) -> DataFrame:
+def keys_in_order(report: ReportKeys) -> DataFrame:
     """The compact keys in ranges of position, each range one partition.
 
     A partition becomes a file per day, so it has as many keys as a file should have rows,
@@ -93,7 +98,7 @@ def _by_position(report: ReportKeys) -> DataFrame:
     return report.keys.join(report.timelines, "key_id").repartitionById(tasks, part)
 
 
-def _every_day(report: ReportKeys, keys: DataFrame) -> DataFrame:
+def days_of_keys(report: ReportKeys, keys: DataFrame) -> DataFrame:
     """The rows of the report for the given keys, without the columns that repeat another."""
     spec = report.spec
     rows = keys.select("position", *REPORT_KEY, "symbol_ranks", "login_ranks", F.inline("stretches")).select(
@@ -109,7 +114,7 @@ def _every_day(report: ReportKeys, keys: DataFrame) -> DataFrame:
         return F.coalesce(F.get(name, day_index), F.lit(0))
 
     return rows.select(
-        (day_index.cast("long") * report.n_keys + F.col("position")).alias("row_number"),
+        ((day_index.cast("long") + report.days_before) * report.n_keys + F.col("position")).alias("row_number"),
         "day",
         *REPORT_KEY,
         volume("window_volume").alias("sum_volume_prev_7d"),
@@ -121,7 +126,7 @@ def _every_day(report: ReportKeys, keys: DataFrame) -> DataFrame:
     )
 
 
-def _presented(rows: DataFrame, spec: ReportSpec) -> DataFrame:
+def presented(rows: DataFrame, spec: ReportSpec) -> DataFrame:
     """The thirteen columns of the report."""
     return rows.select(
         F.col("row_number").alias("id"),
@@ -144,7 +149,8 @@ def _descending(report: ReportKeys, rows: DataFrame) -> DataFrame:
     """
     n_rows, tasks = report.n_rows, _tasks(report)
     per_task = ceil(n_rows / tasks) if n_rows else 1
-    part = F.expr(f"cast(({n_rows} - row_number) div {per_task} as int)")
+    last = n_rows + report.days_before * report.n_keys
+    part = F.expr(f"cast(({last} - row_number) div {per_task} as int)")
     return rows.repartitionById(tasks, part)
 
 
@@ -155,7 +161,7 @@ def report_rows(trades: DataFrame, users: DataFrame, spec: ReportSpec | None = N
     days are spelled out later.
     """
     report = report_keys(trades, users, spec or ReportSpec())
-    return _presented(_every_day(report, _with_timelines(report)), report.spec)
+    return presented(days_of_keys(report, _with_timelines(report)), report.spec)
 
 
 def trading_report(trades: DataFrame, users: DataFrame, spec: ReportSpec | None = None) -> DataFrame:
@@ -165,21 +171,65 @@ def trading_report(trades: DataFrame, users: DataFrame, spec: ReportSpec | None
     rows; ``write_report`` gives the same rows in order without one.
     """
     report = report_keys(trades, users, spec or ReportSpec())
-    rows = _descending(report, _every_day(report, _with_timelines(report)))
-    return _presented(rows.sortWithinPartitions(F.col("row_number").desc()), report.spec)
+    rows = _descending(report, days_of_keys(report, _with_timelines(report)))
+    return presented(rows.sortWithinPartitions(F.col("row_number").desc()), report.spec)
 
 
-def rows_to_write(trades: DataFrame, users: DataFrame, spec: ReportSpec | None = None) -> DataFrame:
-    """The report by day, and by descending row number within a day and partition.
+def rows_to_write(
+    trades: DataFrame, users: DataFrame, spec: ReportSpec | None = None, since: date | None = None
+) -> DataFrame:
+    """The report by day, and by descending row number within a day and partition; with ``since`` only from that day on.
 
     The compact keys are shuffled by their position, and the days spelled out after that: the rows of a
     day and partition are numbered without a gap, and no row of the report is shuffled.
     """
-    report = report_keys(trades, users, spec or ReportSpec())
-    rows = _presented(_every_day(report, _by_position(report)), report.spec)
+    whole = spec or ReportSpec()
+    part = replace(whole, start=max(since or whole.start, whole.start))
+    report = replace(report_keys(trades, users, part), days_before=(part.start - whole.start).days)
+    rows = presented(days_of_keys(report, keys_in_order(report)), report.spec)
     return rows.sortWithinPartitions("dt_report", F.col("row_number").desc())
 
 
 def write_report(trades: DataFrame, users: DataFrame, path: str, spec: ReportSpec | None = None) -> None:
     """Write the report as parquet, one directory per report day, a run of descending row numbers in each file."""
     rows_to_write(trades, users, spec).write.partitionBy("dt_report").parquet(path)
+
+
+def first_changed_day(late: DataFrame, users: DataFrame, path: str, spec: ReportSpec | None = None) -> date | None:
+    """The first day of a written report that changes when the trades ``late`` are added; None if none does.
+
+    A trade shows on its close day and on all days after it: in the sums so far, and for a window's length in the ranks of everyone. Days before the
+    first close day hold the same trades as ever. A key that the report does not have yet, whenever its trade closed, is a row of every day and moves the
+    numbers of the others, so that then every day changes. The keys are read from one day of the report, which lists them all.
+    """
+    whole = spec or ReportSpec()
+    keys = key_currencies(late, users)
+    stored = late.sparkSession.read.parquet(path)
+    of_day = stored.filter(F.col("dt_report") == F.lit(whole.start)).select(*[F.col(name).alias(f"{name}__stored") for name in REPORT_KEY])
+    same = reduce(lambda a, b: a & b, [F.col(name).eqNullSafe(F.col(f"{name}__stored")) for name in REPORT_KEY])
+    is_new = keys.join(of_day, same, "left_anti").limit(1).select(F.lit(True).alias("is_new"))
+    # Of the trades that count: valid ones of enabled accounts.
+    first = trades_with_users(late, users).agg(F.min(close_day()).alias("first"))
+    found = first.select("first", F.lit(False).alias("is_new")).unionByName(is_new, allowMissingColumns=True)
+    first_day, any_new = found.agg(F.min("first"), F.bool_or("is_new")).first()
+    if any_new:
+        return whole.start
+    if first_day is None or first_day > whole.end:
+        return None
+    return max(first_day, whole.start)
+
+
+def refresh_report(
+    trades: DataFrame, late: DataFrame, users: DataFrame, path: str, spec: ReportSpec | None = None, everything: bool = False
+) -> date | None:
+    """Bring a written report up to date with ``late`` trades. ``trades`` are those that it was written from, ``users`` the same as then.
+
+    The days that change are written anew, all their rows, and replace those of the report directory by directory; the others are not touched.
+    Returns the first day that was written, or None. A run that fails before it replaces directories changes nothing; one that fails while it does may leave
+    some days new and some old, and is to be repeated with ``everything``, which writes all days.
+    """
+    since = (spec or ReportSpec()).start if everything else first_changed_day(late, users, path, spec)
+    if since is not None:
+        rows = rows_to_write(trades.unionByName(late), users, spec, since)
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("dt_report").parquet(path)
+    return since

@@ -97,11 +97,14 @@ def load_jdbc_query(spark: SparkSession, url: str, query: str, **options: Any) -
 def run_query(
     spark: SparkSession,
     query: str,
-    params: Mapping[str, Any] | None = None,
+    params: Mapping[str, Any] | Sequence[Any] | None = None,
     **tables: DataFrame,
 ) -> DataFrame:
-    """Run SQL with ``:name`` parameters over the given tables, written ``{table}`` in the text.
+    """Run SQL over the given tables, written ``{table}`` in the text, with parameters by name, ``:name``, or by position, ``?``.
 
     Values are bound as literals, never pasted into the text. A failing query raises.
     """
-    return spark.sql(query, args=dict(params or {}), **tables)
+    if isinstance(params, str):
+        raise ValueError("parameters by position are a list of values")
+    by_name = params is None or isinstance(params, Mapping)
+    return spark.sql(query, args=dict(params or {}) if by_name else list(params), **tables)

@@ -255,6 +255,66 @@ def test_no_report_row_is_shuffled_to_be_written(spark):
     assert "Sort" in above and "Exchange" not in above
 
 
+def test_a_compact_report_spells_out_what_is_asked_for(spark, tmp_path):
+    from tallyline.plans import compact
+
+    trades, users = random_tables(8)
+    path = str(tmp_path / "compact")
+    compact.write_compact(trades_table(spark, trades), users_table(spark, users), path, SPEC)
+    expected = brute_force(trades, users, SPEC)
+
+    def read(first=None, last=None, logins=None):
+        return sorted(map(tuple, compact.read_compact(spark, path, first, last, logins).collect()))
+
+    assert read() == sorted(expected)
+    assert read(date(2024, 1, 20), date(2024, 1, 20)) == sorted(r for r in expected if r[1] == "2024-01-20")
+    assert read(date(2024, 1, 23), date(2024, 3, 1), ["l1", "l3", "nobody"]) == sorted(
+        r for r in expected if r[1] >= "2024-01-23" and r[2] in ("l1", "l3")
+    )
+    assert read(date(2024, 2, 1)) == read(logins=[]) == read(date(2024, 1, 9), date(2024, 1, 8)) == []
+    # A key is stored once, and one day of one login opens the files with a filter and makes that day alone.
+    assert spark.read.parquet(f"{path}/keys").count() == len(expected) // SPEC.n_days
+    one = compact.read_compact(spark, path, date(2024, 1, 20), date(2024, 1, 20), ["l1"])
+    text = one._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(login_hash), EqualTo(login_hash,l1)]" in text or "In(login_hash" in text
+    assert "Exchange" not in text
+
+
+def stamps(path):
+    return {p: p.stat().st_mtime_ns for p in path.glob("dt_report=*/*.parquet")}
+
+
+@pytest.mark.parametrize(
+    ("late", "since"),
+    [
+        ([trade("l1", at("2024-01-14"), 3, symbol="GBPUSD"), trade("l1", at("2024-01-20"), "0.1")], 14),
+        ([trade("l1", at("2024-01-25", "23:59:59"), 3)], 25),
+        ([trade("l1", at("2024-01-02"), 3)], 8),
+        ([trade("l1", at("2024-01-26"), 3), trade("gone", at("2024-01-09"), 3), trade("l1", None, 1), trade("l1", at("1999-01-01"), 1)], None),
+        ([trade("l2", at("2024-02-20"), 3)], 8),
+        ([trade("l1", at("2024-01-20"), 3, symbol=None)], 20),
+        ([], None),
+    ],
+)
+def test_a_report_is_brought_up_to_date(spark, tmp_path, late, since):
+    users = [user("l1"), user("l2"), user("l3"), user("gone", enable=0)]
+    trades = [trade(login, at(f"2024-01-{d:02d}"), d, symbol) for login in ("l1", "l3") for d in (5, 12, 19) for symbol in ("EURUSD", "GBPUSD", None)]
+    path, before, after = tmp_path / "report", trades_table(spark, trades), trades_table(spark, late)
+    write_report(before, users_table(spark, users), str(path), SPEC)
+    written = stamps(path)
+    first = report.refresh_report(before, after, users_table(spark, users), str(path), SPEC)
+    assert first == (since and date(2024, 1, since))
+    expected = brute_force(trades + late, users, SPEC)
+    columns = trading_report(before, users_table(spark, users), SPEC).columns
+    rows = spark.read.parquet(str(path)).withColumn("dt_report", F.col("dt_report").cast("string")).select(*columns).collect()
+    assert sorted(map(tuple, rows)) == sorted(expected)
+    # Days before the first are the very same files.
+    now = stamps(path)
+    assert {p: t for p, t in now.items() if p in written} == {
+        p: t for p, t in written.items() if since is None or int(p.parent.name[-2:]) < since
+    }
+
+
 def test_an_empty_report_is_written(spark, tmp_path):
     write_report(trades_table(spark, []), users_table(spark, [user("l1")]), str(tmp_path / "report"), SPEC)
     assert not list((tmp_path / "report").glob("dt_report=*"))

@@ -44,6 +44,14 @@ def test_query_parameters_are_values(spark):
     assert tables.run_query(spark, "select count(*) as n from {t}", t=df).collect()[0].n == 2
 
 
+def test_parameters_by_position(spark):
+    df = spark.sql("select * from values (1, 'a'), (2, 'b') t(n, s)")
+    rows = tables.run_query(spark, "select n from {t} where s = ? or n = ?", ["b' or '1'='1", 1], t=df).collect()
+    assert [r.n for r in rows] == [1]
+    with pytest.raises(ValueError):
+        tables.run_query(spark, "select n from {t} where s = ?", "b", t=df)
+
+
 def test_a_failing_query_raises(spark):
     with pytest.raises(PySparkException):
         tables.run_query(spark, "select nope from nowhere")

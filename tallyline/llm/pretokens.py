@@ -84,8 +84,11 @@ class Memo:
             self.known.update(zip(part, map(self.value, encode_pre_tokens(self.path, part))))
 
     def values(self, pre_tokens: list[str]) -> list:
-        self.learn(pre_tokens)
-        return list(map(self.known.__getitem__, pre_tokens))
+        found = list(map(self.known.get, pre_tokens))
+        if None in found:
+            self.learn(pre_tokens)
+            found = list(map(self.known.__getitem__, pre_tokens))
+        return found
 
 
 @cache

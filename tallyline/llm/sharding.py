@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyline.llm.columns import numbered
+
 SLOTS = 65_537
 """Slots of the table: a prime, and a bound on what is broadcast."""
 
@@ -52,18 +54,20 @@ def place_rows(
     """All rows and columns, with ``slot`` and the name of the row's ``shard``.
 
     Placement depends on the key columns alone, and nulls are values like others: rows with equal
-    keys share a shard. Columns of the two new names are replaced. The rows are not shuffled.
+    keys share a shard. Columns of the two new names are replaced, after their values have served if they are keys. The rows are not shuffled.
     """
     table = rows.sparkSession.createDataFrame(
         [(slot, shards[i]) for slot, i in enumerate(lookup_table(shards, slots))], f"slot int, {shard_col} string"
     )
     # The hash of a null column is that of the columns before it; its place in the list tells it apart.
-    key = F.xxhash64(*[x for name in keys for x in (F.col(name).isNull(), F.col(name))])
-    slotted = rows.drop("slot", shard_col).withColumn("slot", F.pmod(key, F.lit(slots)).cast("int"))
-    return slotted.join(F.broadcast(table), "slot").select(*[c for c in slotted.columns if c != "slot"], "slot", shard_col)
+    given, *own_keys = numbered(rows, *keys)
+    key = F.xxhash64(*[x for name in own_keys for x in (F.col(name).isNull(), F.col(name))])
+    slotted = given.withColumn("slot", F.pmod(key, F.lit(slots)).cast("int"))
+    kept = [F.col(new).alias(old) for new, old in zip(given.columns, rows.columns) if old not in ("slot", shard_col)]
+    return slotted.join(F.broadcast(table), "slot").select(*kept, "slot", shard_col)
 
 
-def write_shards(placed: DataFrame, path: str, pieces: int = 8) -> None:
+def write_shards(placed: DataFrame, path: str, pieces: int = 8, shard_col: str = "shard") -> None:
     """Write one directory per shard, in up to ``pieces`` files each, so that a large shard is not one task's work."""
     piece = F.pmod(F.xxhash64(F.lit("piece"), *placed.columns), F.lit(pieces))
-    placed.repartition("shard", piece).write.partitionBy("shard").parquet(path)
+    placed.repartition(shard_col, piece).write.partitionBy(shard_col).parquet(path)

@@ -3,6 +3,7 @@ from __future__ import annotations
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from tallyline.llm import queries, sharding
 from tests.llm.helpers import AWKWARD, SF, documents
@@ -76,3 +77,14 @@ def test_the_query_places_whole_documents(spark):
     placed = queries.queries()["op5_sharding"](spark, SF)
     assert placed.columns == [*docs.columns, "slot", "shard"]
     assert placed.select(*docs.columns).exceptAll(docs).isEmpty() and placed.count() == docs.count()
+
+
+def test_keys_and_columns_named_as_the_results_are(spark, tmp_path):
+    df = spark.createDataFrame([(i, f"s{i}", "x", "y") for i in range(40)], "slot long, shard string, c0 string, place string")
+    by_slot = {r.place_of: r.shard for r in sharding.place_rows(df.withColumn("place_of", F.col("slot")), ["slot"], ["a", "b", "c"], 101).collect()}
+    other = df.withColumnRenamed("slot", "k").withColumn("place_of", F.col("k"))
+    assert by_slot == {r.place_of: r.shard for r in sharding.place_rows(other, ["k"], ["a", "b", "c"], 101).collect()}
+    placed = sharding.place_rows(df, ["slot", "shard"], ["a", "b", "c"], 101, "home")
+    assert placed.columns == ["shard", "c0", "place", "slot", "home"]
+    sharding.write_shards(placed, str(tmp_path / "shards"), shard_col="home")
+    assert spark.read.parquet(str(tmp_path / "shards")).count() == 40

@@ -13,6 +13,7 @@ every pair of its blocks is searched by itself.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -41,8 +42,8 @@ TARGET_RECALL = 0.95
 _VECTOR = "rep long, size long, vector binary"
 
 
-def unit_vectors(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """``vec_id, size, vector``: vectors of length 1 as doubles. Equal ones are one row with the smallest id and their number."""
+def distinct_vectors(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+    """``values, dim, least_id, size, rep``: equal usable vectors are one row with the smallest id, their number and a number of their own."""
     values = F.col(vector_col).cast("array<double>")
     usable = (
         F.col(id_col).isNotNull()
@@ -51,12 +52,17 @@ def unit_vectors(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
         & F.forall(values, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
         & F.exists(values, lambda x: x != 0)
     )
-    distinct = (
+    return (
         vectors.filter(F.coalesce(usable, F.lit(False)))
         .groupBy(values.alias("values"))
-        .agg(F.min(F.col(id_col).cast("long")).alias("rep"), F.count("*").alias("size"))
+        .agg(F.min(F.col(id_col).cast("long")).alias("least_id"), F.count("*").alias("size"))
+        .select("values", F.size("values").alias("dim"), "least_id", "size", F.monotonically_increasing_id().alias("rep"))
     )
 
+
+def unit_vectors(distinct: DataFrame) -> DataFrame:
+    """``rep, size, vector``: the distinct vectors at length 1, as doubles."""
+
     def scale(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             blobs = []
@@ -67,7 +73,7 @@ def unit_vectors(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
                 blobs.append((x / np.sqrt(x @ x)).tobytes())
             yield pa.RecordBatch.from_arrays([batch["rep"], batch["size"], pa.array(blobs, pa.binary())], names=["rep", "size", "vector"])
 
-    return distinct.mapInArrow(scale, _VECTOR)
+    return distinct.select("rep", "size", "values").mapInArrow(scale, _VECTOR)
 
 
 def _matrix(blobs) -> np.ndarray:
@@ -348,6 +354,39 @@ def audit(vectors: DataFrame, counts: DataFrame, threshold: float, n: int = AUDI
     return float(np.average(recall, weights=stands_for * (true > 0)))
 
 
+def _linked_classes(distinct: DataFrame, threshold: float, each: int, shard: int, block: int, target_recall: float) -> DataFrame:
+    """``rep, links, component, recall`` for the distinct vectors of one length."""
+    units = stage(unit_vectors(distinct), "vectors")
+    n = units.count()
+    centres = centroids(units, int(min(MAX_CENTROIDS, max(1, n // shard))))
+    exact = False
+    while True:
+        components = linked_components(found_links(units, centres, each, threshold, block, exact))
+        counts = stage(counted_links(units, components, threshold, block), "vector-links")
+        recall = audit(units, counts, threshold)
+        enough = recall is not None and recall >= target_recall
+        # Links too rare to be measured are sought exactly once, in the shards.
+        if enough or (exact and (recall is None or len(centres) == 1)):
+            break
+        # First the same shards, then larger ones, at last one of all vectors, which misses nothing.
+        each = 2 * each if exact else each
+        exact = True
+        if each >= len(centres):
+            centres, each = centres[:1], 1
+    others = counts.groupBy("rep").agg(F.sum("n_links").alias("others"))
+    return (
+        units.select("rep", "size")
+        .join(others, "rep", "left")
+        .join(components.withColumnRenamed("node", "rep"), "rep", "left")
+        .select(
+            "rep",
+            (F.col("size") - 1 + F.coalesce("others", F.lit(0))).alias("links"),
+            F.coalesce("component", "rep").alias("component"),
+            F.lit(recall).cast("double").alias("recall"),
+        )
+    )
+
+
 def near_duplicates(
     vectors: DataFrame,
     threshold: float = 0.9,
@@ -362,50 +401,27 @@ def near_duplicates(
 
     Two vectors are linked when their cosine in double precision is at least ``threshold``. Vectors that are
     null, empty or zero or hold null or non-finite numbers are linked with nothing and are components of their own, and so are
-    vectors with a null id. Equal vectors are linked; of one id that repeats, each row counts. Vectors must be
-    of one length. ``audited_recall`` is null where links are too rare to tell. An empty table gives an empty result. Writes several tables on the way.
+    vectors with a null id. Equal vectors are linked; rows of one id with different vectors are vectors of their own, each with its row. Vectors of different
+    lengths are not linked; those of each length are searched by themselves. ``audited_recall`` is null where links are too rare to tell, even
+    after the shards were compared exactly. An empty table gives an empty result. Writes several tables on the way.
     """
     values = F.col(vector_col).cast("array<double>")
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), values.alias("values"))
-    units = stage(unit_vectors(rows, "vec_id", "values"), "vectors")
-    n = units.count()
-    components, counts, recall = None, None, 1.0
-    if n:
-        centres = centroids(units, int(min(MAX_CENTROIDS, max(1, n // shard))))
-        exact = False
-        while True:
-            components = linked_components(found_links(units, centres, each, threshold, block, exact))
-            counts = stage(counted_links(units, components, threshold, block), "vector-links")
-            recall = audit(units, counts, threshold)
-            if recall is None or recall >= target_recall or (exact and len(centres) == 1):
-                break
-            # First the same shards, then larger ones, at last one of all vectors, which misses nothing.
-            each = 2 * each if exact else each
-            exact = True
-            if each >= len(centres):
-                centres, each = centres[:1], 1
-    else:
-        components = units.select(F.col("rep").alias("node"), F.col("rep").alias("component"))
-        counts = units.select("rep", F.col("size").alias("n_links"))
-    counts = counts.groupBy("rep").agg(F.sum("n_links").alias("others"))
-    classes = (
-        units.select("rep", "size")
-        .join(counts, "rep", "left")
-        .join(components.withColumnRenamed("node", "rep"), "rep", "left")
-        .select("rep", (F.col("size") - 1 + F.coalesce("others", F.lit(0))).alias("links"), F.coalesce("component", "rep").alias("component"))
-    )
+    distinct = stage(distinct_vectors(rows, "vec_id", "values"), "distinct-vectors")
+    # As many as there are models in the table; one, as a rule.
+    lengths = sorted(r.dim for r in distinct.select("dim").distinct().collect())
+    parts = [_linked_classes(distinct.filter(F.col("dim") == dim), threshold, each, shard, block, target_recall) for dim in lengths]
+    nothing = distinct.limit(0).select("rep", F.lit(0).cast("long").alias("links"), F.col("rep").alias("component"), F.lit(1.0).alias("recall"))
+    classes = reduce(DataFrame.unionByName, parts, nothing)
+    smallest = classes.join(distinct.select("rep", "least_id"), "rep").groupBy("component").agg(F.min("least_id").alias("component_id"))
+    told = distinct.select(F.col("values").alias("same"), "rep").join(classes, "rep").join(smallest, "component")
     # Rows find their class by the vector itself; many equal ones are rows of one key, which Spark splits.
-    of_vector = rows.groupBy("values").agg(F.min("vec_id").alias("rep"))
-    joined = (
-        rows.join(of_vector.withColumnRenamed("values", "same"), F.col("values") == F.col("same"), "left")
-        .join(classes, "rep", "left")
-        .withColumn("usable", F.col("component").isNotNull() & F.col("vec_id").isNotNull())
-    )
-    component = F.when(F.col("usable"), F.col("component")).otherwise(F.col("vec_id"))
+    joined = rows.join(told, F.col("values") == F.col("same"), "left").withColumn("usable", F.col("component").isNotNull() & F.col("vec_id").isNotNull())
+    component = F.when(F.col("usable"), F.col("component_id")).otherwise(F.col("vec_id"))
     return joined.select(
         "vec_id",
         F.when(F.col("usable"), F.col("links")).otherwise(0).cast("long").alias("n_links"),
         component.alias("component_id"),
         F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept"),
-        F.lit(recall).cast("double").alias("audited_recall"),
+        F.col("recall").alias("audited_recall"),
     )

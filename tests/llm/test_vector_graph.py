@@ -166,3 +166,15 @@ def test_given_table(spark):
     got = vector_graph.near_duplicates(spark.read.parquet(path)).collect()
     assert sum(r.n_links for r in got) >= 0.95 * sum(n for n, _ in want.values())
     assert all(r.n_links <= want[r.vec_id][0] for r in got) and len(got) == len(table)
+
+
+def test_ids_that_repeat_and_lengths_that_differ(spark):
+    """One row for each row, whatever their ids; a vector is linked with others of its length only."""
+    a, near, b, other = [1.0, 0.0, 0.0], [1.0, 0.01, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]
+    rows = [(1, a), (1, b), (1, near), (2, near), (2, b), (3, other), (4, [1.0, 0.0]), (5, [1.0, 0.001]), (6, [1.0]), (7, a), (1, a)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in vector_graph.near_duplicates(df).collect())
+    assert got == sorted(
+        [(1, 4, 1, True), (1, 1, 1, True), (1, 4, 1, True), (2, 4, 1, False), (2, 1, 1, False), (3, 0, 3, True)]
+        + [(4, 1, 4, True), (5, 1, 4, False), (6, 0, 6, True), (7, 4, 1, False), (1, 4, 1, True)]
+    )

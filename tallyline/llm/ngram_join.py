@@ -17,6 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyline.llm.columns import numbered
 from tallyline.llm.components import connected_components
 from tallyline.llm.exact_dedup import SUSPECT, filter_words, mark_suspects
 from tallyline.llm.text import lower_bytes, words
@@ -30,6 +31,7 @@ BLOCK = 256
 SEED = 20_240_607
 _STEP = np.uint64(0x100000001B3)
 _COLUMNS = 8_192
+DROPPED = "dropped__"
 
 
 def prefix_lengths(threshold: float, recall: float, trees: int, longest: int) -> list[int]:
@@ -71,6 +73,11 @@ class Shingles:
         return np.unique(mixed * np.uint64(0x9E3779B97F4A7C15))
 
 
+def _digest(shingles: bytes) -> bytes:
+    """What tells one set of shingles from all others."""
+    return hashlib.sha256(shingles).digest()[:16]
+
+
 class MinHash:
     """Signatures by multiply-and-add on the upper half of each shingle's hash."""
 
@@ -101,7 +108,7 @@ def signatures(docs: DataFrame, n: int, size: int) -> DataFrame:
             digests, found = [], []
             for text in batch["text"].to_pylist():
                 own = shingles.of_text(text)
-                digests.append(hashlib.sha256(own.tobytes()).digest()[:16] if len(own) else None)
+                digests.append(_digest(own.tobytes()) if len(own) else None)
                 found.append(minhash.of(own).view(np.int32).tolist() if len(own) else None)
             yield pa.RecordBatch.from_arrays(
                 [batch["doc_id"], pa.array(digests, pa.binary()), pa.array(found, pa.list_(pa.int32()))],
@@ -181,12 +188,13 @@ def verified_links(
 ) -> DataFrame:
     """``rep, n_links, least`` for every class and pair of blocks it is compared in.
 
-    ``members`` has ``rep, size, grp, n_blocks``. The texts of the members are read again.
+    ``members`` has ``rep, least_id, set_id, size, grp, n_blocks``. The texts of the members are read again: those with the smallest id of a
+    class, and of these, as an id may repeat, the ones with the class's set.
     """
     spark = docs.sparkSession
     # A filter of bounded size holds back nearly all other texts, so that these are not shuffled for the join.
-    likely = mark_suspects(docs, "doc_id", stage(filter_words(members, "rep", 1), "member-bits")).filter(SUSPECT)
-    texts = likely.join(members, F.col("doc_id") == F.col("rep"))
+    likely = mark_suspects(docs, "doc_id", stage(filter_words(members, "least_id", 1), "member-bits")).filter(SUSPECT)
+    texts = likely.join(members, F.col("doc_id") == F.col("least_id"))
     block = F.pmod(F.xxhash64("rep"), F.col("n_blocks")).cast("int")
     others = F.sequence(F.lit(0), F.col("n_blocks") - 1)
     schema = "rep long, size long, grp long, block int, first int, second int, shingles binary"
@@ -195,12 +203,14 @@ def verified_links(
         shingles = Shingles(n)
         for batch in batches:
             blobs = [shingles.of_text(text).tobytes() for text in batch["text"].to_pylist()]
-            yield pa.RecordBatch.from_arrays(
+            own = pa.array([_digest(blob) == set_id for blob, set_id in zip(blobs, batch["set_id"].to_pylist())], pa.bool_())
+            found = pa.RecordBatch.from_arrays(
                 [batch[name] for name in ("rep", "size", "grp", "n_blocks", "block")] + [pa.array(blobs, pa.binary())],
                 names=["rep", "size", "grp", "n_blocks", "block", "shingles"],
             )
+            yield found.filter(own)
 
-    blobs = texts.select("rep", "size", "grp", "n_blocks", block.alias("block"), "text").mapInArrow(
+    blobs = texts.select("rep", "size", "grp", "n_blocks", block.alias("block"), "set_id", "text").mapInArrow(
         shingle, "rep long, size long, grp long, n_blocks int, block int, shingles binary"
     )
     pairs = (
@@ -260,34 +270,39 @@ def ngram_join(
     with the same set, ``n_links`` the number of rows linked directly, copies included, and ``component_id``
     the smallest id reachable by links. A text without words, empty or null, is linked with nothing, and neither is a row
     with a null id, whose three results are its own id and 0. Rows that repeat an id and a text are copies
-    of one another; ids are meant to be unique otherwise. Writes several tables on the way.
+    of one another, and rows of one id with different texts are documents of their own. Writes several tables on the way.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     signed = stage(signatures(rows, n, trees * longest), "signatures")
     usable = signed.filter(F.col("set_id").isNotNull() & F.col("doc_id").isNotNull())
     classes = stage(
         usable.groupBy("set_id").agg(
-            F.min("doc_id").alias("rep"), F.count("*").alias("size"), F.any_value("signature").alias("signature")
-        ),
+            F.min("doc_id").alias("least_id"), F.count("*").alias("size"), F.any_value("signature").alias("signature")
+        )
+        # A number of its own for each class: the smallest ids of two classes may be equal, where an id repeats.
+        .withColumn("rep", F.monotonically_increasing_id()),
         "classes",
     )
     groups = connected_components(forest_links(classes, prefix_lengths(threshold, recall, trees, longest), longest))
     groups = groups.select(F.col("node").alias("rep"), F.col("component").alias("grp"))
     sizes = groups.groupBy("grp").agg(F.ceil(F.count("*") / block).cast("int").alias("n_blocks"))
     members = stage(
-        groups.join(sizes, "grp").join(classes.select("rep", "size"), "rep").select("rep", "size", "grp", "n_blocks"), "members"
+        groups.join(sizes, "grp").join(classes.drop("signature"), "rep").select("rep", "least_id", "set_id", "size", "grp", "n_blocks"),
+        "members",
     )
     found = stage(verified_links(rows.filter(F.col("doc_id").isNotNull()), members, n, threshold), "verified")
     counts = found.groupBy("rep").agg(F.sum("n_links").alias("others"))
-    components = connected_components(found.select(F.col("rep").alias("a"), F.col("least").alias("b")))
+    components = connected_components(found.select(F.col("rep").alias("a"), F.col("least").alias("b"))).withColumnRenamed("node", "rep")
+    smallest = components.join(classes.select("rep", "least_id"), "rep").groupBy("component").agg(F.min("least_id").alias("component_id"))
     of_class = stage(
         classes.join(counts, "rep", "left")
-        .join(components.withColumnRenamed("node", "rep"), "rep", "left")
+        .join(components, "rep", "left")
+        .join(smallest, "component", "left")
         .select(
             F.col("set_id").alias("class_set"),
-            F.col("rep").alias("class_id"),
+            F.col("least_id").alias("class_id"),
             (F.col("size") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"),
-            F.coalesce("component", "rep").alias("component_id"),
+            F.coalesce("component_id", "least_id").alias("component_id"),
         ),
         "class-results",
     )
@@ -303,6 +318,11 @@ def ngram_join(
 
 
 def keep_one_per_component(docs: DataFrame, joined: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its component, in a result of ``ngram_join``."""
-    dropped = joined.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("dropped__")).distinct()
-    return docs.join(dropped, F.col(id_col) == F.col("dropped__"), "left_anti")
+    """The rows of ``docs`` whose id is the smallest of its component, in a result of ``ngram_join``.
+
+    Of an id that repeats with different texts all rows stay if one does.
+    """
+    gone = joined.groupBy("doc_id").agg(F.bool_and(F.col("doc_id") != F.col("component_id")).alias("gone")).filter("gone")
+    dropped = gone.select(F.col("doc_id").alias(DROPPED))
+    rows, own_id = numbered(docs, id_col)
+    return rows.join(dropped, F.col(own_id) == F.col(DROPPED), "left_anti").toDF(*docs.columns)

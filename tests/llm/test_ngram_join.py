@@ -71,6 +71,17 @@ def test_null_and_repeated_ids(spark):
     assert got == sorted([(None, None, 0, None), (3, 3, 2, 3), (3, 3, 2, 3), (5, 3, 2, 3)], key=str)
 
 
+def test_an_id_that_repeats_with_different_texts(spark):
+    """Three texts under id 3, of which two are each nearly the same as another row's, and id 3 is the smallest of both classes."""
+    a, b = [f"a{i}" for i in range(40)], [f"b{i}" for i in range(40)]
+    texts = [" ".join(a), " ".join(b), "something else altogether here", " ".join(a[:-1]), " ".join(b[1:]), " ".join(a)]
+    df = documents(spark, texts, ids=[3, 3, 3, 5, 4, 9])
+    got = sorted((r.doc_id, r.class_id, r.n_links, r.component_id) for r in ngram_join.ngram_join(df).collect())
+    assert got == [(3, 3, 0, 3), (3, 3, 1, 3), (3, 3, 2, 3), (4, 4, 1, 3), (5, 5, 2, 3), (9, 3, 2, 3)]
+    kept = ngram_join.keep_one_per_component(df, ngram_join.ngram_join(df))
+    assert sorted(r.doc_id for r in kept.collect()) == [3, 3, 3]
+
+
 @pytest.mark.parametrize("texts", [[], [None], ["one text"]])
 def test_tiny_tables(spark, texts):
     assert _result(documents(spark, texts)) == [(i, i, 0, i) for i in range(len(texts))]

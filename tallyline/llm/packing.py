@@ -51,12 +51,7 @@ def encoded(docs: DataFrame, path: str, separator: int, id_col: str, text_col: s
             before, n, blobs = [], [], []
             sources = batch["source"].to_pylist()
             for source, text in zip(sources, batch["text"].to_pylist()):
-                pre = pretokens.split(text)
-                if pre is None:
-                    ids = np.array(pretokens.encode_whole(path, [text])[0], kind).tobytes()
-                else:
-                    ids = b"".join(memo.values(pre))
-                blobs.append(ids + end)
+                blobs.append(memo.of_text(text) + end)
                 n.append(len(blobs[-1]) // kind.itemsize)
                 before.append(so_far.get(source, 0))
                 so_far[source] = before[-1] + n[-1]

@@ -55,22 +55,29 @@ def encode_whole(path: str, texts: list[str]) -> list[list[int]]:
     return [x.ids for x in load(path).encode_batch(texts, add_special_tokens=False)]
 
 
-def encode_pre_tokens(path: str, pre_tokens: list[str]) -> list[list[int]]:
-    """The ids of each pre-token. They are encoded in one text, where spaces keep them apart."""
+def encode_pre_tokens(path: str, pre_tokens: list[str]) -> tuple[list[int], list[int]]:
+    """The ids of all pre-tokens, one after the other, and where those of each end. They are encoded in one text, where spaces keep them apart."""
     encoding = load(path).encode(" ".join(pre_tokens), add_special_tokens=False)
-    of_word = np.array([-1 if w is None else w for w in encoding.word_ids], np.int64)
-    ends = np.cumsum(np.bincount(of_word, minlength=len(pre_tokens))) if (of_word >= 0).all() else []
-    if len(ends) != len(pre_tokens):
-        return encode_whole(path, pre_tokens)
-    ids = encoding.ids
-    return [ids[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
+    of_word = encoding.word_ids
+    if None not in of_word and of_word and of_word[-1] == len(pre_tokens) - 1:
+        return encoding.ids, np.cumsum(np.bincount(of_word, minlength=len(pre_tokens))).tolist()
+    each = encode_whole(path, pre_tokens)
+    return [x for ids in each for x in ids], np.cumsum([len(ids) for ids in each]).tolist()
+
+
+def lengths(ids: list[int], ends: list[int]) -> list[int]:
+    """How many ids each pre-token has."""
+    return np.diff(ends, prepend=0).tolist()
 
 
 class Memo:
-    """What is remembered of pre-tokens in one worker: a first tier that stays, and a bounded second one."""
+    """What is remembered of pre-tokens in one worker: a first tier that stays, and a bounded second one.
 
-    def __init__(self, path: str, value, frequent: dict | None = None, size: int = CACHE_SIZE):
-        self.path, self.value, self.frequent, self.size = path, value, frequent or {}, size
+    ``of_all`` makes the values of pre-tokens from what ``encode_pre_tokens`` returns of them.
+    """
+
+    def __init__(self, path: str, of_all, frequent: dict | None = None, size: int = CACHE_SIZE):
+        self.path, self.of_all, self.frequent, self.size = path, of_all, frequent or {}, size
         self.known = dict(self.frequent)
 
     def learn(self, pre_tokens: Iterable[str]) -> None:
@@ -81,17 +88,37 @@ class Memo:
             missing = list(set(pre_tokens).difference(self.known))
         for i in range(0, len(missing), 10_000):
             part = missing[i : i + 10_000]
-            self.known.update(zip(part, map(self.value, encode_pre_tokens(self.path, part))))
+            self.known.update(zip(part, self.of_all(*encode_pre_tokens(self.path, part))))
 
     def values(self, pre_tokens: list[str]) -> list:
         found = list(map(self.known.get, pre_tokens))
-        if None in found:
-            self.learn(pre_tokens)
-            found = list(map(self.known.__getitem__, pre_tokens))
-        return found
+        if None not in found:
+            return found
+        missing = {pre for pre, value in zip(pre_tokens, found) if value is None}
+        self.learn(missing)
+        known = self.known
+        return [known[pre] if value is None else value for pre, value in zip(pre_tokens, found)]
+
+
+class WorkerIds:
+    """The ids of whole texts, as bytes, from what one worker remembers of their pre-tokens."""
+
+    def __init__(self, path: str, kind: str):
+        self.path, self.kind, self.width = path, kind, np.dtype(kind).itemsize
+        self.memo = Memo(path, self._blobs)
+
+    def _blobs(self, ids: list[int], ends: list[int]) -> list[bytes]:
+        blob, places = np.array(ids, self.kind).tobytes(), [self.width * end for end in ends]
+        return [blob[a:b] for a, b in zip([0, *places], places)]
+
+    def of_text(self, text: str) -> bytes:
+        pre = split(text)
+        if pre is None:
+            return np.array(encode_whole(self.path, [text])[0], self.kind).tobytes()
+        return b"".join(self.memo.values(pre))
 
 
 @cache
-def worker_ids(path: str, kind: str) -> Memo:
-    """The ids of pre-tokens as bytes, as one worker process remembers them from task to task, as many as ``CACHE_SIZE``."""
-    return Memo(path, lambda ids: np.array(ids, kind).tobytes())
+def worker_ids(path: str, kind: str) -> WorkerIds:
+    """What one worker process remembers from task to task, as many pre-tokens as ``CACHE_SIZE``."""
+    return WorkerIds(path, kind)

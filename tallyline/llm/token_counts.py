@@ -64,7 +64,7 @@ def count_tokens(
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), or_empty(F.col(text_col)).alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = pretokens.Memo(path, len, frequent.value)
+        memo = pretokens.Memo(path, pretokens.lengths, frequent.value)
         for batch in batches:
             n_bytes, n_tokens = [], []
             for text in batch["text"].to_pylist():

@@ -87,16 +87,20 @@ def test_padding():
 
 def test_a_worker_remembers_ids_from_task_to_task(monkeypatch):
     path = pretokens.tokenizer_path()
-    memo = pretokens.worker_ids(path, "<u2")
-    assert pretokens.worker_ids(path, "<u2") is memo and pretokens.worker_ids(path, "<u4") is not memo
-    texts = ["the words of one text", "other words, of another"]
+    ids = pretokens.worker_ids(path, "<u2")
+    assert pretokens.worker_ids(path, "<u2") is ids and pretokens.worker_ids(path, "<u4") is not ids
+    texts = ["The words, of one text's 'll 12a", "other words; of\nanother\ttext", "it's x'se ''s's 3'd don't\r\nwe've", "x" * 500 + "'s9", "<|endoftext|> é ½", ""]
+    texts += [r["text"] or "" for r in table("documents")[:60]]
     expected = [pretokens.encode_whole(path, [t])[0] for t in texts]
-    for _ in range(2):
-        assert [np.frombuffer(b"".join(memo.values(pretokens.split(t))), "<u2").tolist() for t in texts] == expected
+
+    def read():
+        return [np.frombuffer(ids.of_text(t), "<u2").tolist() for t in texts]
+
+    assert read() == expected
+    assert read() == expected
     # A full memory starts anew and still knows everything it is asked.
-    monkeypatch.setattr(memo, "size", 3)
-    assert [np.frombuffer(b"".join(memo.values(pretokens.split(t))), "<u2").tolist() for t in texts] == expected
-    assert len(memo.known) <= 5
+    monkeypatch.setattr(ids.memo, "size", 20)
+    assert read() == expected
 
 
 def round_robin(tokens_of, sequence):

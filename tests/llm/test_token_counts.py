@@ -36,13 +36,13 @@ def test_pieces_of_every_listed_character(spark):
     plain = [chr(c) for c in range(0x2100) if pretokens.PLAIN.fullmatch(chr(c))]
     texts = [f"{a}{b} x{a}7{b}{a}'S" for a in plain for b in ("a", "É", ".", "'", "5")]
     path = pretokens.tokenizer_path()
-    memo = pretokens.Memo(path, list)
+    memo = pretokens.Memo(path, lambda ids, ends: [ids[a:b] for a, b in zip([0, *ends], ends)])
     for raw, ids in zip(texts, pretokens.encode_whole(path, texts)):
         assert [x for part in memo.values(pretokens.split(raw)) for x in part] == ids, raw
 
 
 def test_cache_stays_bounded():
-    memo = pretokens.Memo(pretokens.tokenizer_path(), len, {"the": 1}, size=50)
+    memo = pretokens.Memo(pretokens.tokenizer_path(), pretokens.lengths, {"the": 1}, size=50)
     for i in range(0, 1000, 10):
         memo.values(["the", *[f"word{k}" for k in range(i, i + 10)]])
         assert len(memo.known) <= 51

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyline.llm.columns import numbered
 from tallyline.llm.text import ascii_lower, or_empty
 from tallyline.sources.staging import stage
 
@@ -97,6 +98,8 @@ def drop_duplicate_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str
     Rows that may be repeated are reduced to one per text within each task, before the shuffle. Of
     rows with one text and one id, the one with the largest other columns stays.
     """
+    names = docs.columns
+    docs, id_col, text_col = numbered(docs, id_col, text_col)
     columns = docs.columns
     digests = stage(docs.select(normalised_sha256(F.col(text_col)).alias(SHA)), "digests")
     hashed = docs.withColumn(SHA, normalised_sha256(F.col(text_col)))
@@ -109,7 +112,7 @@ def drop_duplicate_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str
         .agg(F.max_by(F.struct(*columns), order).alias("row__"))
         .select("row__.*")
     )
-    return alone.unionByName(last)
+    return alone.unionByName(last).toDF(*names)
 
 
 def _orderable(docs: DataFrame, name: str) -> bool:

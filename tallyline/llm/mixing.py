@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyline.llm.columns import numbered
 from tallyline.llm.text import SPACED_WORD, or_empty
 from tallyline.sources.staging import stage
 
@@ -177,9 +178,10 @@ def taken_words(mix: Mix) -> DataFrame:
 
 def mixed_rows(docs: DataFrame, mix: Mix, seed: int = 11, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them whole; the one that is cut counts when at least half is taken."""
-    rows = with_plan(docs, mix.plan, source_col, draw(seed, id_col))
+    given, own_id, source = numbered(docs, id_col, source_col)
+    rows = with_plan(given, mix.plan, source, draw(seed, own_id))
     copies = (F.col("epochs__") + F.when(F.col("part__") >= 0.5, 1).otherwise(0)).cast("int")
     # At most the epochs of the cap and one more, whatever the data.
     return rows.withColumn("copies__", copies).filter(F.col("copies__") > 0).select(
-        *docs.columns, F.explode(F.array_repeat(F.lit(1), F.col("copies__"))).alias("copy__")
-    ).select(*docs.columns)
+        *given.columns, F.explode(F.array_repeat(F.lit(1), F.col("copies__"))).alias("copy__")
+    ).select(*given.columns).toDF(*docs.columns)

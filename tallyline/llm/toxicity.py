@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyline.llm.columns import numbered
 from tallyline.llm.recurrent import Network, Scorer, train
 from tallyline.llm.text import lower_bytes, or_empty
 
@@ -18,6 +19,7 @@ SAMPLE_CHARS = 4_000_000
 SHORT = 2_000
 """The labelled sample that the network is fitted to: at most so many rows and characters, rows of up to
 ``SHORT`` characters first (their label says more about each window), by the hash of their id."""
+LEAST_LABELS = 10
 SCORE = "toxicity__"
 
 
@@ -98,6 +100,12 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that are not predicted toxic, with all their columns."""
-    net = fit(docs, labels, id_col, text_col)
-    return with_score(docs, net, text_col).filter(F.col(SCORE) < THRESHOLD).select(*docs.columns)
+    """The rows of ``docs`` that are not predicted toxic, with all their columns.
+
+    From fewer than ``LEAST_LABELS`` texts of either label nothing can be learnt that tells a clean text from a toxic one; then all rows stay.
+    """
+    texts, marked = training_sample(docs, labels, id_col, text_col)
+    if min(int(marked.sum()), len(marked) - int(marked.sum())) < LEAST_LABELS:
+        return docs
+    rows, text = numbered(docs, text_col)
+    return with_score(rows, train(texts, marked), text).filter(F.col(SCORE) < THRESHOLD).select(*rows.columns).toDF(*docs.columns)

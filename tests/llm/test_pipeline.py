@@ -7,7 +7,7 @@ import numpy as np
 
 import corpus_pipeline
 from tallyline.llm import ngram_join, packing, pretokens
-from tests.llm.helpers import SF
+from tests.llm.helpers import AWKWARD, SF
 
 REPO = Path(corpus_pipeline.__file__).parent
 
@@ -34,6 +34,51 @@ def test_each_stage_on_what_the_one_before_kept(spark):
     assert all(len(np.frombuffer(p.ids, "<u2")) == p.length for p in pieces)
 
 
+CLASHING = ["sha__", "uid__", "suspect__", "row__", "toxicity__", "scored_text__", "dropped__", "copies__", "plan_source__", "part__", "slot", "rep", "c0", "c3"]
+
+
+def _awkward_documents(spark):
+    rows = [(i, text, "en", f"s{i % 2}") for i, text in enumerate(AWKWARD)]
+    near = " ".join(f"w{i}" for i in range(60))
+    rows += [(None, "a text of its own", None, None), (50, near, "en", None), (51, near + " more", "en", "s1"), (51, "one id and two texts", "en", "s1")]
+    rows += [(60, "twice the same row", "de", "s0")] * 2
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{name} string" for name in CLASHING)
+    return spark.createDataFrame([(*r, None, *CLASHING) for r in rows], schema)
+
+
+def _labels(spark, folder):
+    spark.createDataFrame([(1, 1, 0), (2, None, 1), (None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    return str(folder)
+
+
+def test_awkward_rows_and_clashing_columns(spark, tmp_path):
+    sf = _labels(spark, tmp_path)
+    docs = _awkward_documents(spark)
+    columns, counts = docs.columns, []
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, sf).cache()
+        assert docs.columns == columns, name
+        assert all(r.asDict()[c] == c for r in docs.select(*CLASHING).collect() for c in CLASHING), name
+        counts.append(docs.count())
+    # Nothing to learn from: no document goes. Equal texts are one, and "One  two" is "one two" by its words. The near copy of 50 shares
+    # its id with another text and stays with it.
+    lowered = {(r.text or "").encode().lower() for r in _awkward_documents(spark).collect()}
+    assert counts[0] == _awkward_documents(spark).count() and counts[1] == len(lowered) and counts[2] == len(lowered) - 1
+    assert counts[3] > 0
+    pieces = corpus_pipeline.STAGES[-1][1](spark, docs, sf).collect()
+    assert sum(p.length for p in pieces) == sum(
+        len(x) + 1 for x in pretokens.encode_whole(pretokens.tokenizer_path(), [r.text or "" for r in docs.collect()])
+    )
+
+
+def test_no_documents(spark, tmp_path):
+    sf = _labels(spark, tmp_path)
+    docs = _awkward_documents(spark).limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, sf)
+        assert docs.count() == 0, name
+
+
 def test_nothing_else_imports_the_subpackage():
     for path in [*(REPO / "tallyline").rglob("*.py"), *(REPO / "tests").glob("*.py"), REPO / "oracle_queries.py", REPO / "bench.py"]:
         if "llm" in path.relative_to(REPO).parts:

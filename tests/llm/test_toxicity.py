@@ -71,6 +71,26 @@ def test_windows_cover_every_word():
         assert own.shape[1] == max(-(-(n - recurrent.WINDOW) // recurrent.STRIDE), 0) + 1
 
 
+def test_a_passage_lies_whole_in_some_window_wherever_it_stands():
+    n = recurrent.WINDOW - recurrent.STRIDE + 1
+    for offset in range(0, 3 * recurrent.WINDOW):
+        read = recurrent.Reader().read([b" ".join(b"v%d" % i for i in range(4 * recurrent.WINDOW + n))])
+        at, _ = read.windows()
+        passage = set(read.ids[offset : offset + n].tolist())
+        assert any(passage <= set(at[:, w].tolist()) for w in range(at.shape[1])), offset
+
+
+def test_a_toxic_sentence_is_found_at_every_offset(net):
+    """A sentence of several words, in a long clean text, from offset to offset of a window."""
+    toxic = next(t for t, label in zip(*_corpus(60)) if label)
+    clean = (CLEAN[0] + " ") * 12
+    pad = clean.split()
+    texts = [" ".join([*pad, *pad[:k], toxic, *pad, *pad]) for k in range(recurrent.WINDOW)]
+    scores = recurrent.Scorer(net).scores([t.encode() for t in texts])
+    assert (scores >= 0.3).all()
+    assert scores.max() - scores.min() < 0.7
+
+
 def test_held_out_texts_and_unseen_forms(net):
     texts, labels = _corpus(700)
     scores = recurrent.Scorer(net).scores([t.encode() for t in texts[400:]])

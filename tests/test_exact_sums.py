@@ -65,10 +65,9 @@ def test_overflow_and_special_values(spark):
     assert all(same(a, b) for a, b in zip(sums(spark, groups), expected))
 
 
-@pytest.mark.parametrize("seed", range(4))
-def test_random_sums(spark, seed):
-    rng = random.Random(seed)
-    spread = [3, 40, 300, 1000][seed]
+@pytest.mark.parametrize("spread", [3, 1000])
+def test_random_sums(spark, spread):
+    rng = random.Random(spread)
     groups = [
         [rng.choice([-1, 1, 1]) * rng.random() * 2.0 ** rng.randint(-spread, min(spread, 900)) for _ in range(rng.randint(1, 40))]
         for _ in range(150)

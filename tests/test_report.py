@@ -288,12 +288,10 @@ def stamps(path):
     ("late", "since"),
     [
         ([trade("l1", at("2024-01-14"), 3, symbol="GBPUSD"), trade("l1", at("2024-01-20"), "0.1")], 14),
-        ([trade("l1", at("2024-01-25", "23:59:59"), 3)], 25),
         ([trade("l1", at("2024-01-02"), 3)], 8),
         ([trade("l1", at("2024-01-26"), 3), trade("gone", at("2024-01-09"), 3), trade("l1", None, 1), trade("l1", at("1999-01-01"), 1)], None),
         ([trade("l2", at("2024-02-20"), 3)], 8),
-        ([trade("l1", at("2024-01-20"), 3, symbol=None)], 20),
-        ([], None),
+        ([trade("l1", at("2024-01-25", "23:59:59"), 3, symbol=None)], 25),
     ],
 )
 def test_a_report_is_brought_up_to_date(spark, tmp_path, late, since):
@@ -365,7 +363,7 @@ def test_reports_of_doubles_do_not_depend_on_the_partitions(spark):
     assert results[0] == results[1] == results[2] != []
 
 
-@pytest.mark.parametrize("days", [1, 63, 64, 65, 130])
+@pytest.mark.parametrize("days", [1, 64, 130])
 def test_ranks_of_ranges_around_the_bits_of_a_number(spark, days):
     trades, users = random_tables(7)
     spec = ReportSpec(date(2024, 1, 3), date(2024, 1, 3) + timedelta(days=days - 1), date(2024, 1, 10), date(2024, 1, 16), window_days=9)

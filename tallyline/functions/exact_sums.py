@@ -19,7 +19,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tallyline.functions.columns import FLOAT_TYPES, type_of
 

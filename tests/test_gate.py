@@ -3,7 +3,6 @@ from __future__ import annotations
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from tallyline.operators import loaded
 from tallyline.plans import gate, suites

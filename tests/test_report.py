@@ -397,6 +397,33 @@ def test_ranks_are_counted_on_from_task_to_task(spark, monkeypatch):
         assert found[kind, login, a] == expected
 
 
+def test_digests_equal_the_pairs_they_spare(spark):
+    from tallyline.functions import report_days
+    from tallyline.operators import accounts, spine
+
+    trades, users = random_tables(9)
+    joined = accounts.trades_with_users(trades_table(spark, trades), users_table(spark, users))
+    totals = {"n": F.count("*"), "volume": F.sum("volume"), "first_close": F.min("close_time"), "last_close": F.max("close_time")}
+    by, day = ["login_hash", "symbol"], report_days.close_day()
+    for days, rows in (
+        (report_days.cumulative_days(day, SPEC), joined),
+        (report_days.calendar_days(day, SPEC), joined.filter(report_days.in_month(day, SPEC))),
+    ):
+        pairs = spine.on_days(joined, days).groupBy("dt_report", *by).agg(*[m.alias(name) for name, m in totals.items()])
+        digests = spine.daily_digests(rows, by, totals, SPEC)
+        assert sorted(map(str, digests.select(*pairs.columns).collect())) == sorted(map(str, pairs.collect())) != []
+
+
+def test_numbers_over_any_table(spark):
+    from tallyline.operators import numbering
+
+    rng = random.Random(3)
+    rows = [(rng.choice([None, *range(30)]), i) for i in range(200)]
+    numbered = numbering.with_row_number(spark.createDataFrame(rows, "a int, b int").repartition(5), numbering.key_order("a", "b"))
+    expected = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    assert [(r.a, r.b) for r in sorted(numbered.collect(), key=lambda r: r.row_number)] == expected
+
+
 def test_nan_shows_in_its_window_and_leaves_with_it(spark):
     from tallyline.operators import measures
 

@@ -4,8 +4,8 @@ The texts are cut into chunks of tokens, and only what is distinct in a chunk tr
 chunk go to the partition of their hash, which counts them and answers with their numbers and counts. Then
 the bigrams go to the partition of their first word, where all bigrams of a context meet: there the
 counts are discounted after Good and Turing, the backoff weight of the context is what makes its
-probabilities sum to one, and every chunk gets back the sums of its texts' tokens. A context with a
-large share of all tokens is spread over all partitions by the second word; its few totals are added up first.
+probabilities sum to one, and every chunk gets back the sums of its texts' tokens. A context with more tokens than a part of a
+partition is split by the second word, into pieces that go to partitions of their own; its few totals are added up first.
 """
 
 from __future__ import annotations
@@ -28,8 +28,8 @@ from tallyline.sources.staging import stage
 
 CHUNK_TOKENS = 1_500_000
 PART_TOKENS = 2_000_000
-HOT_SHARE = 64
-"""A context with more than one 64th of all training tokens is spread; there are 64 of them at most."""
+HOT_PARTS = 4
+"""A context with more than a quarter of a partition's tokens is split into as many pieces as it has such quarters."""
 START, UNKNOWN, FIRST_WORD = 0, 1, 2
 LARGEST = 5
 """Counts above it are not discounted."""
@@ -98,8 +98,31 @@ def backoff(kept: np.ndarray, total: np.ndarray, seen: np.ndarray, unknown: floa
     return divisor, np.where(total > 0, weight, 1.0)
 
 
-def _partition(numbers: np.ndarray, parts: int) -> np.ndarray:
-    return ((numbers * _MIX) >> np.uint64(33)) % np.uint64(parts)
+def _partition(numbers: np.ndarray, parts: int | np.ndarray) -> np.ndarray:
+    return ((numbers * _MIX) >> np.uint64(33)) % np.asarray(parts, np.uint64)
+
+
+@dataclass(frozen=True)
+class Split:
+    """The contexts that are split, in ascending order of their numbers, and into how many pieces each."""
+
+    numbers: np.ndarray
+    pieces: np.ndarray
+
+    @classmethod
+    def of(cls, counts: dict[int, int], part_tokens: int) -> Split:
+        some = {n: -(-c * HOT_PARTS // part_tokens) for n, c in counts.items() if c * HOT_PARTS > part_tokens}
+        numbers = np.array(sorted(some), np.uint64)
+        return cls(numbers, np.array([some[n] for n in numbers.tolist()], np.uint64))
+
+    def partitions(self, context: np.ndarray, second: np.ndarray, parts: int) -> np.ndarray:
+        """Where each bigram belongs: with all others of its context, or of its piece of it."""
+        key = context
+        if len(self.numbers):
+            at = np.minimum(np.searchsorted(self.numbers, context), len(self.numbers) - 1)
+            piece = _partition(second, self.pieces[at]) + np.uint64(1)
+            key = np.where(self.numbers[at] == context, (context ^ (context >> np.uint64(31))) * _MIX + piece * np.uint64(0xD6E8FEB86659FD93), context)
+        return _partition(key, parts)
 
 
 _CHUNKS = (
@@ -157,7 +180,7 @@ def chunks(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
 _NUMBERED = "chunk long, blob binary, counts array<long>, kinds array<long>"
 
 
-def numbered_words(cut: DataFrame, parts: int) -> DataFrame:
+def numbered_words(cut: DataFrame, parts: int, part_tokens: int) -> DataFrame:
     """For each chunk and partition of words, the words' numbers and counts; and with chunk -1 how many words have each count,
     and (``blob``) the numbers of the most frequent words with their counts."""
 
@@ -192,7 +215,7 @@ def numbered_words(cut: DataFrame, parts: int) -> DataFrame:
                 for i, a in zip(np.split(at, ends[:-1]), asked)
             ]
             values, kinds = np.unique(counts[counts > 0], return_counts=True)
-            top = order[:HOT_SHARE]
+            top = order[counts[order] * HOT_PARTS > part_tokens]
             blobs.append(pack(number[top], counts[top].astype(np.uint64)))
             n = len(asked)
             yield pa.RecordBatch.from_arrays(
@@ -219,7 +242,7 @@ _MODEL = (
 )
 
 
-def bigram_requests(cut: DataFrame, numbered: DataFrame, words: Unigrams, hot: np.ndarray, parts: int) -> DataFrame:
+def bigram_requests(cut: DataFrame, numbered: DataFrame, words: Unigrams, hot: Split, parts: int) -> DataFrame:
     """For each chunk its base results, and for each partition of contexts its distinct bigrams with the texts they occur in."""
     answers = numbered.filter("chunk >= 0").groupBy("chunk").agg(F.collect_list("blob").alias("answers"))
     joined = cut.select("chunk", "doc_ids", "held", "n_tokens", "tokens").join(answers, "chunk")
@@ -245,7 +268,7 @@ def bigram_requests(cut: DataFrame, numbered: DataFrame, words: Unigrams, hot: n
                 second, context = number[tokens], np.empty(len(tokens), np.uint64)
                 context[1:] = second[:-1]
                 context[begin] = START
-                part = _partition(np.where(np.isin(context, hot), second, context), parts)
+                part = hot.partitions(context, second, parts)
                 order = np.lexsort((owner, second, context, part))
                 part, context, second, owner = part[order], context[order], second[order], owner[order]
                 used = (~np.array(row["held"]))[owner].astype(np.uint32)
@@ -288,7 +311,7 @@ def bigram_requests(cut: DataFrame, numbered: DataFrame, words: Unigrams, hot: n
     return joined.mapInArrow(ask, _REQUESTS)
 
 
-def counted_bigrams(requests: DataFrame, words: Unigrams, hot: np.ndarray, parts: int) -> DataFrame:
+def counted_bigrams(requests: DataFrame, words: Unigrams, hot: Split, parts: int) -> DataFrame:
     """The model's table: for each partition its bigrams with their counts, and where they occur.
 
     The base results of the chunks pass through as rows of their own.
@@ -327,7 +350,7 @@ def counted_bigrams(requests: DataFrame, words: Unigrams, hot: np.ndarray, parts
 
             met = counts > 0
             small = np.bincount(np.minimum(counts[met], LARGEST + 2), minlength=LARGEST + 3)[: LARGEST + 2]
-            spread = met & np.isin(context, hot)
+            spread = met & np.isin(context, hot.numbers)
             totals = []
             if spread.any():
                 those, group = np.unique(context[spread], return_inverse=True)
@@ -409,7 +432,7 @@ def score_texts(
         F.coalesce(F.sum(F.size(F.filter("held", lambda x: ~x))), F.lit(0)),
     ).first()
     parts = max(32, -(-int(sums[0]) // part_tokens))
-    numbered = stage(numbered_words(cut, parts), "numbered-words")
+    numbered = stage(numbered_words(cut, parts, part_tokens), "numbered-words")
     totals = numbered.filter("chunk < 0")
     by_count = totals.select(F.inline(F.arrays_zip("counts", "kinds"))).groupBy("counts").agg(F.sum("kinds").alias("kinds"))
     # One row per distinct count: at most the root of twice the number of tokens.
@@ -420,21 +443,29 @@ def score_texts(
         for batch in batches:
             for row in batch.to_pylist():
                 number, count = unpack(row["blob"], "u8", "u8")
-                yield pa.RecordBatch.from_pydict({"number": number[count * HOT_SHARE > words.tokens].astype(np.int64)})
+                yield pa.RecordBatch.from_pydict({"number": number.astype(np.int64), "n": count.astype(np.int64)})
 
-    hot = [r.number for r in totals.select("blob").mapInArrow(above, "number long").collect()]
-    hot = np.array(hot + ([START] if sums[1] * HOT_SHARE > words.tokens else []), np.uint64)
+    # Words with a quarter of a partition's tokens: no more than four times the partitions.
+    frequent = {r.number: r.n for r in totals.select("blob").mapInArrow(above, "number long, n long").collect()}
+    # As a context, words not met in training have no counts that would have to be added up; they are at most the held-out tokens.
+    hot = Split.of(frequent | {START: int(sums[1]), UNKNOWN: int(sums[0]) - words.tokens}, part_tokens)
 
     model = stage(counted_bigrams(bigram_requests(cut, numbered, words, hot, parts), words, hot, parts), "bigrams")
     n_of_count = [F.coalesce(F.sum(F.get("n_of_count", F.lit(r))), F.lit(0)) for r in range(LARGEST + 2)]
     factor = discounts(np.array(model.select(*n_of_count).first(), float))
 
-    spread: dict[int, np.ndarray] = {}
-    # One row per partition, of 64 contexts at most.
-    for row in model.filter(F.col("hot").isNotNull()).select("hot").toLocalIterator():
-        numbers, *values = unpack(row.hot, "u8", *["f8"] * (LARGEST + 2))
-        for i, number in enumerate(numbers.tolist()):
-            spread[number] = spread.get(number, 0) + np.array([v[i] for v in values])
+    names = [f"t{i}" for i in range(LARGEST + 2)]
+
+    def of_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for blob in batch["hot"].to_pylist():
+                numbers, *values = unpack(blob, "u8", *["f8"] * (LARGEST + 2))
+                yield pa.RecordBatch.from_arrays([pa.array(numbers.astype(np.int64)), *map(pa.array, values)], names=["number", *names])
+
+    pieces = model.filter(F.col("hot").isNotNull()).select("hot").mapInArrow(of_pieces, ", ".join(["number long", *[f"{n} double" for n in names]]))
+    # The totals of a split context are added up in Spark; one row for each comes here.
+    whole = pieces.groupBy("number").agg(*[F.sum(n).alias(n) for n in names]).collect()
+    spread = {row.number: np.array(row[1:]) for row in whole}
 
     sums_of_texts = text_sums(model, words, factor, spread)
     base = model.filter(F.col("part").isNull()).select("chunk", "doc_ids", "held", "n_tokens", "n_known", "base")

@@ -74,7 +74,7 @@ def test_small_corpus_against_brute_force(spark):
     df = documents(spark, texts).repartition(4, "doc_id")
     # Small chunks and partitions, and contexts that are spread over the partitions.
     plain = _check(df, list(enumerate(texts)), chunk_tokens=500, part_tokens=200)
-    assert plain.one[b"the"] * katz.HOT_SHARE > plain.n
+    assert plain.one[b"the"] * katz.HOT_PARTS > 200
     for v in [b"the", b"cat", b"", b"w1", b"never"]:
         assert sum(plain.p2(v, w) for w in plain.one) + plain.p2(v, b"not met") == pytest.approx(1)
 
@@ -107,3 +107,20 @@ def test_discounts():
     assert out[-1] == 1 and ((out[1:-1] > 0) & (out[1:-1] < 1)).all()
     assert (katz.discounts(np.array([0, 3, 0, 0, 0, 0, 9.0]))[1:] > 0).all()
     assert (katz.discounts(np.zeros(7))[1:] > 0).all()
+
+
+def test_a_frequent_context_is_split_by_its_share_of_a_partition():
+    counts = {7: 501, 9: 499, 11: 500_000, 0: 2_000}
+    split = katz.Split.of(counts, 2_000)
+    assert dict(zip(split.numbers.tolist(), split.pieces.tolist())) == {0: 4, 7: 2, 11: 1000}
+    rng = np.random.default_rng(1)
+    context, second = rng.choice([0, 7, 9, 11, 13], 40_000).astype(np.uint64), rng.integers(0, 5_000, 40_000).astype(np.uint64)
+    part = split.partitions(context, second, 64)
+    assert part.max() < 64
+    # One bigram, one partition; one context, at most as many as it has pieces.
+    assert len(set(zip(context.tolist(), second.tolist()))) == len(set(zip(context.tolist(), second.tolist(), part.tolist())))
+    found = {c: len(set(part[context == c].tolist())) for c in (0, 7, 9, 11, 13)}
+    assert found[9] == found[13] == 1 and 2 <= found[0] <= 4 and found[7] == 2 and found[11] > 60
+    assert np.bincount(part[context == 11].astype(int), minlength=64).max() < 4 * (context == 11).sum() / 64
+    nothing = katz.Split.of({}, 2_000)
+    assert (nothing.partitions(context, second, 64) == katz._partition(context, 64)).all()

@@ -168,13 +168,13 @@ places AS (
 shingles AS (SELECT DISTINCT doc_id, array_to_string(words[place : place + n - 1], ' ') AS shingle FROM places),
 sizes AS (SELECT doc_id, count(*) AS size FROM shingles GROUP BY doc_id),
 common AS (
-    SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both
+    SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared
     FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL
 ),
 links AS (
-    SELECT a, b, both = x.size AND both = y.size AS same
+    SELECT a, b, shared = x.size AND shared = y.size AS same
     FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
-    WHERE 10 * both >= 8 * (x.size + y.size - both)
+    WHERE 10 * shared >= 8 * (x.size + y.size - shared)
 ),
 reached AS (
     SELECT doc_id, doc_id AS other FROM documents

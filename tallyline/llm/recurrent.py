@@ -13,8 +13,8 @@ from dataclasses import dataclass
 
 import numpy as np
 
-WINDOW, STRIDE = 64, 32
-"""Words of a window, and from one window to the next: a passage of up to 33 words lies whole in some window."""
+WINDOW, STRIDE = 64, 56
+"""Words of a window, and from one window to the next: a passage of up to 9 words lies whole in some window."""
 HIDDEN, WORD_SIZE, CHAR_SIZE, ATTENTION = 8, 10, 10, 6
 MAX_WORDS, MIN_TEXTS = 30_000, 3
 GRAMS, BUCKET_BITS = (3, 4), 16

@@ -153,3 +153,43 @@ def test_few_copies_are_spelled_out_without_a_shuffle_of_their_own(spark):
     text = flagged._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert "ReusedExchange" in text
     assert flagged.filter("is_duplicate").count() == 25
+
+
+@pytest.fixture(params=["few", "by bitmap", "by bitmap, some hot", "hot"])
+def sorted_out(request, monkeypatch):
+    """Every way in which suspects are sorted out, at test size."""
+    if "bitmap" in request.param:
+        monkeypatch.setattr(duplicates, "FEW_HASHES", 0)
+        monkeypatch.setattr(duplicates, "MOST_BITS", 64)
+    if "hot" in request.param:
+        monkeypatch.setattr(duplicates, "HOT", 1 if request.param == "hot" else 4)
+
+
+@pytest.mark.parametrize("keep", ["first", "last", False])
+def test_every_way_of_sorting_out_gives_the_same_rows(spark, sorted_out, keep):
+    rng = random.Random(5)
+    rows = [(rng.choice([None, *"abcdefghijklmnop"]), rng.randrange(6), rng.choice([None, 1, 2, 3])) for _ in range(120)]
+    rows += [(f"u{i}", i, i) for i in range(60)] + rng.sample(rows, 20)
+    df = spark.createDataFrame(rows, "k string, b int, at int")
+    frame = pd.DataFrame(sorted(rows, key=lambda row: (row[2] is not None, row[2] or 0, row[1])), columns=["k", "b", "at"], dtype=object)
+    flags = frame.duplicated(["k", "b"] if keep is False else ["k"], keep=keep)
+    keys = ["k", "b"] if keep is False else ["k"]
+    expected = Counter(zip(frame["k"], frame["b"], frame["at"], flags))
+    assert Counter(map(tuple, flag_duplicates(df, keys, keep, order_by=["at"]).collect())) == expected
+    kept = Counter(row[:3] for row in expected.elements() if not row[3])
+    assert Counter(map(tuple, drop_duplicates(df, keys, keep, order_by=["at"]).collect())) == kept
+    row = duplicate_counts(df, [None, keys], keep).first()
+    assert (row.n0, row.n1) == (frame.duplicated(keep=keep).sum(), flags.sum())
+
+
+def test_rows_are_shuffled_once_and_by_key(spark, monkeypatch):
+    """Many suspects: the rows of a key meet in one shuffle, and rows that the bitmap settles in none."""
+    monkeypatch.setattr(duplicates, "FEW_HASHES", 0)
+    df = spark.range(0, 3000).select((F.col("id") % 2000).alias("k"), F.col("id").alias("v"))
+    for keep in ("first", "last", False):
+        text = flag_duplicates(df, ["k"], keep, ["v"])._jdf.queryExecution().executedPlan().toString()
+        assert text.count("Exchange hashpartitioning") == 1
+        text = drop_duplicates(df, ["k"], keep, ["v"])._jdf.queryExecution().executedPlan().toString()
+        assert text.count("Exchange hashpartitioning") == 1
+    text = duplicate_counts(df, [None, ["k"]])._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Exchange hashpartitioning") == 1

@@ -356,11 +356,17 @@ def _dedup(keep: duplicates.Keep) -> Query:
     )
 
 
-def _delivered(trades: DataFrame) -> DataFrame:
+def _on_delivered(query: Callable[[DataFrame], DataFrame]) -> Query:
     """The trades as they arrive: in several files, the dearest last, rows in an order of their own."""
     rest = ["symbol", "digits", "cmd", "volume", "contractsize", "close_time"]
-    order = [F.col(name).asc_nulls_first() for name in ("open_price", *rest, "login_hash", "ticket_hash", "server_hash", "open_time")]
-    return stage(trades.repartitionByRange(7, "open_price").sortWithinPartitions(*order), "delivered")
+    names = ["open_price", *rest, "login_hash", "ticket_hash", "server_hash", "open_time"]
+
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        order = [F.col(name).asc_nulls_first() for name in names]
+        trades = sample_tables.lineitem_trades_by_price(spark, sf)
+        return query(stage(trades.sortWithinPartitions(*order), "delivered", compression="zstd"))
+
+    return run
 
 
 def _texts(trades: DataFrame) -> DataFrame:
@@ -472,11 +478,11 @@ def queries() -> dict[str, Query]:
         "dup_flags_first": _flags("first"),
         "dup_flags_last": _flags("last"),
         "dup_flags_keep_none": _flags(False),
-        "dup_flags_first_arrival": _on_lineitem_trades(
-            lambda trades: duplicates.flag_duplicates(_delivered(trades), suites.TRADES_KEY, "first")
+        "dup_flags_first_arrival": _on_delivered(
+            lambda trades: duplicates.flag_duplicates(trades, suites.TRADES_KEY, "first")
         ),
-        "dedup_drop_last_arrival": _on_lineitem_trades(
-            lambda trades: duplicates.drop_duplicates(_delivered(trades), suites.TRADES_KEY, "last")
+        "dedup_drop_last_arrival": _on_delivered(
+            lambda trades: duplicates.drop_duplicates(trades, suites.TRADES_KEY, "last")
         ),
         "dedup_drop_first": _dedup("first"),
         "dedup_drop_last": _dedup("last"),

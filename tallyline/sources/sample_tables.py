@@ -6,6 +6,8 @@ copies, so each source table is read once and as a whole.
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +16,9 @@ from tallyline.sources.tables import load_table
 # Currency of the accounts of each region, by region key.
 REGION_CURRENCY = ("USD", "EUR", "JPY", "GBP", "AUD")
 
+LEAST_RANGES, ROWS_PER_RANGE = 7, 1_000_000
+"""Ranges of prices, and about so many rows in each, which one task sorts in memory."""
+
 
 def _source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return load_table(spark, f"{sf_dir}/{name}.parquet")
@@ -76,13 +81,16 @@ def event_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def lineitem_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Many sparse trades over several years (trades L)."""
+def _line_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     lineitem = _source(spark, sf_dir, "lineitem")
     orders = _source(spark, sf_dir, "orders")
+    return lineitem.join(orders, lineitem.l_orderkey == orders.o_orderkey)
+
+
+def _trades_of(line_items: DataFrame) -> DataFrame:
     ticket = F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"))
     closed_at = F.col("l_shipdate") + F.make_dt_interval(hours=(F.col("l_partkey") % 24).cast("int"))
-    return lineitem.join(orders, lineitem.l_orderkey == orders.o_orderkey).select(
+    return line_items.select(
         _login("o_custkey").alias("login_hash"),
         F.md5(ticket).alias("ticket_hash"),
         _server("o_custkey").alias("server_hash"),
@@ -95,3 +103,15 @@ def lineitem_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(100000).cast("bigint").alias("contractsize"),
         F.when(F.col("l_linenumber") != 7, closed_at).alias("close_time"),
     )
+
+
+def lineitem_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Many sparse trades over several years (trades L)."""
+    return _trades_of(_line_items(spark, sf_dir))
+
+
+def lineitem_trades_by_price(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trades L, dealt out by ranges of their price in ascending order, seven or more. The source rows are dealt, which are narrower than trades."""
+    line_items = _line_items(spark, sf_dir)
+    parts = max(LEAST_RANGES, ceil(_source(spark, sf_dir, "lineitem").count() / ROWS_PER_RANGE))
+    return _trades_of(line_items.repartitionByRange(parts, "l_extendedprice"))

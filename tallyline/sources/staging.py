@@ -31,8 +31,8 @@ def shared_folder(spark: SparkSession) -> str:
     return _local_folder()
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and return the written table."""
+def stage(df: DataFrame, label: str, compression: str | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder, by default in Spark's usual compression, and return the written table."""
     path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,9 +1,11 @@
 from __future__ import annotations
 
 import tempfile
+from collections import Counter
 
 import pytest
 from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
 
 from tallyline.operators.spine import close_day_series
 from tallyline.plans import suites
@@ -191,3 +193,19 @@ def test_a_written_check_run_holds_what_the_suites_say(spark, tmp_path):
     assert sorted(nulls.collect()) == sorted(expected.collect()) and nulls.count() == 15
     unknown = spark.read.parquet(f"{path}/unknown_accounts").count()
     assert unknown == written.filter("suite = 'cross_reference'").first().bad_rows
+
+
+def test_trades_are_dealt_by_price_as_source_rows(spark, monkeypatch):
+    """The same rows as undealt, in as many ranges as their number asks for; hashes are spelled out after the shuffle."""
+    monkeypatch.setattr(sample_tables, "ROWS_PER_RANGE", 500)
+    dealt = sample_tables.lineitem_trades_by_price(spark, SF_DIR)
+    plan = dealt._jdf.queryExecution().executedPlan().toString()
+    assert "md5" in plan[: plan.index("rangepartitioning")] and "md5" not in plan[plan.index("rangepartitioning") :]
+    rows = dealt.select("*", F.spark_partition_id().alias("part")).collect()
+    undealt = sample_tables.lineitem_trades(spark, SF_DIR).collect()
+    assert Counter(tuple(r)[:-1] for r in rows) == Counter(map(tuple, undealt))
+    by_part = {}
+    for row in rows:
+        by_part.setdefault(row.part, []).append(row.open_price)
+    parts = [by_part[part] for part in sorted(by_part)]
+    assert len(parts) > 7 and all(max(a) < min(b) for a, b in zip(parts, parts[1:]))

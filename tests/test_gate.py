@@ -145,3 +145,9 @@ def test_a_load_of_nothing(spark, tmp_path):
     result = gate.load_trades(trades_table(spark, []), users_table(spark, USERS), str(tmp_path / "trades"))
     assert (result.accepted, result.rejected) == (0, 0)
     assert all(r.passed and r.bad_rows == 0 for r in result.verdicts.collect())
+
+
+def test_loads_are_written_compactly(spark, tmp_path):
+    gate.write_gated(gate.gate_users(users_table(spark, USERS)), str(tmp_path / "gated"))
+    files = [path.name for path in (tmp_path / "gated").rglob("*.parquet")]
+    assert files and all(name.endswith(".zstd.parquet") for name in files)

@@ -122,3 +122,9 @@ class WorkerIds:
 def worker_ids(path: str, kind: str) -> WorkerIds:
     """What one worker process remembers from task to task, as many pre-tokens as ``CACHE_SIZE``."""
     return WorkerIds(path, kind)
+
+
+def forget() -> None:
+    """Give back what this worker process remembers. Workers outlive a job, and the next operator needs the memory for its own."""
+    worker_ids.cache_clear()
+    load.cache_clear()

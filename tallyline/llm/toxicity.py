@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyline.llm import pretokens
 from tallyline.llm.columns import numbered
 from tallyline.llm.recurrent import Network, Scorer, train
 from tallyline.llm.text import lower_bytes, or_empty
@@ -70,6 +71,8 @@ def with_score(docs: DataFrame, net: Network, text_col: str = "text") -> DataFra
     schema = type(given.schema)([*fields]).add(SCORE, "double")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # A worker that has packed before still holds the ids that it learnt.
+        pretokens.forget()
         scorer = Scorer(model.value)
         for batch in batches:
             texts = batch.column(batch.num_columns - 1)

@@ -136,3 +136,12 @@ def test_against_round_robin_window_by_window(spark, sequence):
         tokens_of[r.source] += r.length
         got[r.sequence_id][r.source] += r.length
     assert [dict(got[k]) for k in sorted(got)] == [{n: c for n, c in w.items() if c} for w in round_robin(tokens_of, sequence)]
+
+
+def test_a_worker_gives_back_what_it_learnt():
+    """Workers are shared by the stages: the next one needs the memory."""
+    path = pretokens.tokenizer_path()
+    pretokens.worker_ids(path, "<u2").of_text("some words to learn")
+    assert pretokens.worker_ids.cache_info().currsize == 1
+    pretokens.forget()
+    assert pretokens.worker_ids.cache_info().currsize == pretokens.load.cache_info().currsize == 0

@@ -10,7 +10,7 @@ alone, so that windows can be filled anywhere, and deficits carry over between p
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +24,8 @@ from tallyline.sources.staging import stage
 
 SEQUENCE = 4096
 SEPARATOR = 2
+AT_ONCE = 500
+"""Rows that a worker holds as Python objects. Spark sends 10,000 in a batch, of which two workers would hold a few hundred megabytes."""
 
 _ENCODED = "part long, doc_id long, source string, before long, n long, ids binary"
 _PIECES = (
@@ -31,6 +33,13 @@ _PIECES = (
 )
 
 
+def few_rows(batches: Iterator[pa.RecordBatch], at_once: int = AT_ONCE) -> Iterator[pa.RecordBatch]:
+    """All rows of the batches in smaller ones."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, at_once):
+            yield batch.slice(start, at_once)
+
+
 def encoded(docs: DataFrame, path: str, separator: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
     """Each document's ids, with the tokens that its source has before it in the same task."""
     rows = docs.select(
@@ -47,7 +56,7 @@ def encoded(docs: DataFrame, path: str, separator: int, id_col: str, text_col: s
         memo = pretokens.worker_ids(path, kind.str)
         end = np.array([separator], kind).tobytes()
         so_far: dict[str, int] = {}
-        for batch in batches:
+        for batch in few_rows(batches):
             before, n, blobs = [], [], []
             sources = batch["source"].to_pylist()
             for source, text in zip(sources, batch["text"].to_pylist()):
@@ -138,6 +147,34 @@ class Windows:
             k += 1
 
 
+def cutter(total: int, sequence: int, with_ids: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Cuts documents, whose place in their queue is known, into the pieces of their windows."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # The ids are encoded: what the worker learnt for that is of no more use.
+        pretokens.forget()
+        names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source", "ids"]
+        types = [pa.int64()] * 7 + [pa.string(), pa.binary()]
+        windows: dict[int, Windows] = {}
+        for batch in few_rows(batches):
+            out: list[tuple] = []
+            for row in batch.to_pylist():
+                end = row["queue_end"]
+                if end not in windows:
+                    windows[end] = Windows(row["queue_size"], end, total, sequence)
+                # As wide as they were encoded; the tokenizer is not loaded again to ask.
+                ids = np.frombuffer(row["ids"], f"<u{len(row['ids']) // row['n']}")
+                wide = ids.astype("<u4")
+                for k, offset, start, length in windows[end].pieces(row["begin"], row["n"]):
+                    crc = zlib.crc32(wide[start : start + length])
+                    blob = ids[start : start + length].tobytes() if with_ids else None
+                    out.append((row["doc_id"], start, length, crc, row["n"], k, offset, row["source"][1:] if row["source"] != "n" else None, blob))
+            columns = list(zip(*out)) if out else [()] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
+
+    return cut
+
+
 def pack(
     docs: DataFrame,
     path: str | None = None,
@@ -164,27 +201,7 @@ def pack(
         "doc_id", "source", (F.col("base") + F.col("before")).alias("begin"), "n", "queue_size", "queue_end", "ids"
     )
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pretokens.id_type(path)
-        names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source", "ids"]
-        types = [pa.int64()] * 7 + [pa.string(), pa.binary()]
-        windows: dict[int, Windows] = {}
-        for batch in batches:
-            out: list[tuple] = []
-            for row in batch.to_pylist():
-                end = row["queue_end"]
-                if end not in windows:
-                    windows[end] = Windows(row["queue_size"], end, total, sequence)
-                ids = np.frombuffer(row["ids"], kind)
-                wide = ids.astype("<u4")
-                for k, offset, start, length in windows[end].pieces(row["begin"], row["n"]):
-                    crc = zlib.crc32(wide[start : start + length])
-                    blob = ids[start : start + length].tobytes() if with_ids else None
-                    out.append((row["doc_id"], start, length, crc, row["n"], k, offset, row["source"][1:] if row["source"] != "n" else None, blob))
-            columns = list(zip(*out)) if out else [()] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
-
-    return rows.mapInArrow(cut, _PIECES)
+    return rows.mapInArrow(cutter(total, sequence, with_ids), _PIECES)
 
 
 def padded_length(tokens: int, sequence: int = SEQUENCE) -> int:

@@ -10,7 +10,7 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterable
-from functools import cache
+from functools import cache, partial
 
 import numpy as np
 
@@ -100,16 +100,20 @@ class Memo:
         return [known[pre] if value is None else value for pre, value in zip(pre_tokens, found)]
 
 
+def id_blobs(kind: str, ids: list[int], ends: list[int]) -> list[bytes]:
+    """The ids of each pre-token as bytes."""
+    width = np.dtype(kind).itemsize
+    blob, places = np.array(ids, kind).tobytes(), [width * end for end in ends]
+    return [blob[a:b] for a, b in zip([0, *places], places)]
+
+
 class WorkerIds:
     """The ids of whole texts, as bytes, from what one worker remembers of their pre-tokens."""
 
     def __init__(self, path: str, kind: str):
-        self.path, self.kind, self.width = path, kind, np.dtype(kind).itemsize
-        self.memo = Memo(path, self._blobs)
-
-    def _blobs(self, ids: list[int], ends: list[int]) -> list[bytes]:
-        blob, places = np.array(ids, self.kind).tobytes(), [self.width * end for end in ends]
-        return [blob[a:b] for a, b in zip([0, *places], places)]
+        self.path, self.kind = path, kind
+        # Not a method of this object: in a cycle the memory would stay until Python looks for cycles.
+        self.memo = Memo(path, partial(id_blobs, kind))
 
     def of_text(self, text: str) -> bytes:
         pre = split(text)

@@ -1,9 +1,12 @@
 from __future__ import annotations
 
+import gc
+import weakref
 import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tallyline.llm import packing, pretokens
@@ -145,3 +148,38 @@ def test_a_worker_gives_back_what_it_learnt():
     assert pretokens.worker_ids.cache_info().currsize == 1
     pretokens.forget()
     assert pretokens.worker_ids.cache_info().currsize == pretokens.load.cache_info().currsize == 0
+
+
+def test_what_a_worker_learnt_goes_at_once():
+    """Not only when Python next looks for cycles, which texts and bytes do not make it do."""
+    path = pretokens.tokenizer_path()
+    pretokens.forget()
+    ids = pretokens.worker_ids(path, "<u2")
+    ids.of_text("some words to learn")
+    gone = weakref.ref(ids)
+    gc.disable()
+    try:
+        del ids
+        pretokens.forget()
+        assert gone() is None
+    finally:
+        gc.enable()
+
+
+def test_packing_holds_few_rows_at_once():
+    whole = [pa.RecordBatch.from_pydict({"a": list(range(n))}) for n in (0, 1, 1200, 500)]
+    parts = list(packing.few_rows(iter(whole)))
+    assert [len(p) for p in parts] == [1, 500, 500, 200, 500]
+    assert [x for p in parts for x in p["a"].to_pylist()] == [x for b in whole for x in b["a"].to_pylist()]
+
+
+def test_cutting_needs_nothing_that_encoding_learnt():
+    path = pretokens.tokenizer_path()
+    blob = pretokens.worker_ids(path, "<u2").of_text("some words to learn")
+    n = len(blob) // 2
+    row = {"doc_id": 1, "source": "sx", "begin": 0, "n": n, "queue_size": n, "queue_end": n, "ids": blob}
+    for kind, ids in (("<u2", blob), ("<u4", np.frombuffer(blob, "<u2").astype("<u4").tobytes())):
+        (out,) = packing.cutter(n, 4096, True)(iter([pa.RecordBatch.from_pylist([row | {"ids": ids}])]))
+        assert pretokens.worker_ids.cache_info().currsize == pretokens.load.cache_info().currsize == 0
+        assert out["ids"][0].as_py() == ids and out["length"][0].as_py() == n
+        assert out["ids_crc32"][0].as_py() == zlib.crc32(np.frombuffer(ids, kind).astype("<u4"))

@@ -9,7 +9,7 @@ follows from its day and the position of its key. Only at the end are the days s
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
-from datetime import date
+from datetime import date, timedelta
 from functools import reduce
 from math import ceil
 
@@ -101,36 +101,48 @@ def keys_in_order(report: ReportKeys) -> DataFrame:
 def days_of_keys(report: ReportKeys, keys: DataFrame) -> DataFrame:
     """The rows of the report for the given keys, without the columns that repeat another."""
     spec = report.spec
-    rows = keys.select("position", *REPORT_KEY, "symbol_ranks", "login_ranks", F.inline("stretches")).select(
-        "*", F.explode(F.sequence("from_day", "to_day")).alias("day")
-    )
-    day_index = F.datediff("day", spec.first_day())
     has_symbol = F.col("symbol").isNotNull()
+    first = spec.first_day()
 
     def volume(name: str) -> Column:
-        return F.when(has_symbol, F.col(name)).otherwise(F.lit(0)).cast("double")
+        return F.when(has_symbol, F.col(name)).otherwise(F.lit(0)).cast("double").alias(name)
+
+    # What a stretch holds is put into its last form before it becomes days: a decimal is a double once, not once a day.
+    stretches = keys.select("position", *REPORT_KEY, "symbol_ranks", "login_ranks", F.inline("stretches")).select(
+        "position",
+        *REPORT_KEY,
+        "symbol_ranks",
+        "login_ranks",
+        F.datediff("from_day", first).alias("from_index"),
+        F.datediff("to_day", first).alias("to_index"),
+        *[volume(name) for name in ("window_volume", "total_volume", "month_volume")],
+        F.when(has_symbol, F.col("first_trade")).alias("first_trade"),
+    )
+    rows = stretches.select("*", F.explode(F.sequence("from_index", "to_index")).alias("day_index"))
+    day_index = F.col("day_index")
 
     def rank(name: str) -> Column:
         return F.coalesce(F.get(name, day_index), F.lit(0))
 
     return rows.select(
         ((day_index.cast("long") + report.days_before) * report.n_keys + F.col("position")).alias("row_number"),
-        "day",
+        F.date_add(first, day_index).alias("day"),
         *REPORT_KEY,
-        volume("window_volume").alias("sum_volume_prev_7d"),
-        volume("total_volume").alias("sum_volume_prev_all"),
+        F.col("window_volume").alias("sum_volume_prev_7d"),
+        F.col("total_volume").alias("sum_volume_prev_all"),
         rank("symbol_ranks").alias("rank_volume_symbol_prev_7d"),
         rank("login_ranks").alias("rank_count_prev_7d"),
-        volume("month_volume").alias(spec.month_column),
-        F.when(has_symbol, F.col("first_trade")).alias("date_first_trade"),
+        F.col("month_volume").alias(spec.month_column),
+        F.col("first_trade").alias("date_first_trade"),
     )
 
 
 def presented(rows: DataFrame, spec: ReportSpec) -> DataFrame:
-    """The thirteen columns of the report."""
+    """The thirteen columns of the report. Its days are spelled out once, not on every row."""
+    names = F.array(*[F.lit(str(spec.start + timedelta(days=i))) for i in range(spec.n_days)])
     return rows.select(
         F.col("row_number").alias("id"),
-        F.col("day").cast("string").alias("dt_report"),
+        F.get(names, F.datediff("day", spec.first_day())).alias("dt_report"),
         *REPORT_KEY,
         "sum_volume_prev_7d",
         "sum_volume_prev_all",

@@ -436,3 +436,15 @@ def test_nan_shows_in_its_window_and_leaves_with_it(spark):
     timeline = measures.timelines(measures.daily_activity(trades, users, spec), spec)
     rows = {r.dt_report.day: r.sum_volume_prev_7d for r in measures.rolling_volume(timeline).collect()}
     assert all(rows[d] != rows[d] for d in range(10, 17)) and all(rows[d] == 1e23 for d in range(17, 22))
+
+
+def test_days_are_spelled_out_from_finished_stretches(spark):
+    """On every row of the report nothing is put into another type: volumes are, per stretch, and days are named once."""
+    trades = trades_table(spark, [trade("A", at("2024-01-09"), "1.50"), trade("A", at("2024-01-25"), symbol=None)])
+    rows = report_rows(trades, users_table(spark, [user("A")]), SPEC)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    after, before = plan.split("Generate explode(", 1)
+    assert "as string)" not in after and "as double)" not in after
+    assert "as double)" in before
+    names = sorted({r.dt_report for r in rows.collect()})
+    assert names == [str(SPEC.start + timedelta(days=i)) for i in range(SPEC.n_days)]
